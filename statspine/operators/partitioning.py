@@ -41,18 +41,13 @@ def with_partition_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"decade": decade(), "territory_group": territory_group()})
 
 
-def write_partitioned(df: DataFrame, path: str, mode: str = "append", files_per_partition: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
     """Store by decade and territory group, rows sorted by year and territory inside a file.
 
-    ``files_per_partition`` spreads each directory over that many tasks, so one large
-    territory group is not written by a single task.
+    The rebalance hint lets adaptive execution split a group that is too large for one
+    task and merge small ones.
     """
-    keyed = with_partition_columns(df)
-    if files_per_partition > 1:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in PARTITION_COLUMNS]), F.lit(files_per_partition))
-        keyed = keyed.repartition(*PARTITION_COLUMNS, salt)
-    else:
-        keyed = keyed.repartition(*PARTITION_COLUMNS)
+    keyed = with_partition_columns(df).hint("rebalance", *PARTITION_COLUMNS)
     sorted_rows = keyed.sortWithinPartitions(*PARTITION_COLUMNS, "year", "territory_code")
     sorted_rows.write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
 

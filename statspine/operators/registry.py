@@ -213,26 +213,28 @@ def categorise(datasets: DataFrame, rules: DataFrame, text_columns: list[str]) -
         ).alias("rules")
     )
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in text_columns]))
-    scored = F.filter(
-        F.transform(
+
+    def best(t: Column) -> Column:
+        scored = F.transform(
             F.col("_rules"),
             lambda r: F.struct(
                 r["category"].alias("category"),
                 (-r["o"]).alias("priority"),
-                F.size(F.filter(r["keywords"], lambda k: F.col("_text").contains(k))).alias("score"),
+                F.size(F.filter(r["keywords"], lambda k: t.contains(k))).alias("score"),
             ),
-        ),
-        lambda r: r["score"] > 0,
-    )
-    hit = datasets.withColumn("_rules", ordered.scalar()).withColumn("_text", text)
-    hit = hit.withColumn("_hit", F.try_element_at(scored, F.lit(1)))
+        )
+        return F.try_element_at(F.filter(scored, lambda r: r["score"] > 0), F.lit(1))
+
+    # the text is bound as a lambda variable, so it is lowered once and not once per keyword
+    hit = datasets.withColumn("_rules", ordered.scalar())
+    hit = hit.withColumn("_hit", F.transform(F.array(text), best)[0])
     return hit.withColumns(
         {
             "category": F.coalesce("_hit.category", F.lit(DEFAULT_CATEGORY)),
             "priority": F.coalesce("_hit.priority", F.lit(DEFAULT_PRIORITY)),
             "score": F.coalesce("_hit.score", F.lit(0)),
         }
-    ).drop("_rules", "_text", "_hit")
+    ).drop("_rules", "_hit")
 
 
 def validate_dataset_ids(df: DataFrame, column: str = "dataset_id") -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from statspine.model import Star
 from statspine.operators import analytics as D
 from statspine.operators.registry import with_analytics
 from statspine.plans import standin as S
@@ -37,10 +38,10 @@ def _(spark, d):
 
 
 @query("D2_time_series_territories", f"""SELECT d.dataset_id, d.year, time_period, territory_code, territory_name, measure_code, measure_name,
-  obs_value, obs_status, category, unit_of_measure FROM {S.JOINED} WHERE obs_value IS NOT NULL AND d.dataset_id IN (1, 5, 17, 42, 99, 3, 4)
+  obs_value, obs_status, category, unit_of_measure FROM {S.JOINED} WHERE obs_value IS NOT NULL AND d.dataset_id BETWEEN 1 AND 80
   AND d.year BETWEEN 1995 AND 2001 AND territory_code IN ('ITA0', 'ITB6', 'EC2', 'ED8')""")
 def _(spark, d):
-    return D.time_series(S.star(spark, d), [1, 5, 17, 42, 99, 3, 4], 1995, 2001, ["ITA0", "ITB6", "EC2", "ED8"])
+    return D.time_series(S.star(spark, d), list(range(1, 81)), 1995, 2001, ["ITA0", "ITB6", "EC2", "ED8"])
 
 
 @query("D3_territory_aggregates", f"""SELECT territory_code, territory_name, d.year, category, COUNT(*) AS indicator_count, {S.AVG} AS avg_value,
@@ -62,9 +63,12 @@ def _(spark, d):
 
 @query("D5_territory_comparison_dataset", f"""SELECT *, RANK() OVER (ORDER BY avg_value DESC) AS rank FROM (SELECT territory_code, territory_name,
   COUNT(*) AS indicators, {S.AVG} AS avg_value, CAST(MIN(obs_value) AS DOUBLE) AS min_value, CAST(MAX(obs_value) AS DOUBLE) AS max_value
-  FROM {S.SERIES_OBS} WHERE d.dataset_id = 42 AND d.year = 1997 AND obs_value IS NOT NULL GROUP BY territory_code, territory_name)""")
+  FROM {S.SERIES_OBS} WHERE d.measure_code = '{URGENT}' AND d.year = 1997 AND obs_value IS NOT NULL GROUP BY territory_code, territory_name)""")
 def _(spark, d):
-    return D.territory_comparison_dataset(S.star(spark, d), 42, 1997)
+    # a customer has one territory: take the measures as the datasets here
+    star = S.star(spark, d)
+    series = star.series.withColumn("dataset_id", F.col("measure_code"))
+    return D.territory_comparison_dataset(Star(star.metadata, series, star.observations), URGENT, 1997)
 
 
 @query("D6_territory_comparison_simple", f"""SELECT territory_code, territory_name, {S.AVG} AS avg_value, COUNT(*) AS observation_count
@@ -132,16 +136,16 @@ def _(spark, d):
 
 @query("D13_dataset_time_series", f"""SELECT dataset_id, time_period, CASE WHEN regexp_full_match(time_period, '[0-9]+') THEN CAST(time_period AS INTEGER) END AS year,
   TRY_CAST(obs_value AS DOUBLE) AS obs_value, record_id, ingestion_timestamp, territory_code, territory_name, measure_code, measure_name,
-  CASE WHEN obs_value = 'c' THEN 'c' ELSE obs_status END AS obs_status FROM {S.RAW} r WHERE dataset_id = '42'""")
+  CASE WHEN obs_value = 'c' THEN 'c' ELSE obs_status END AS obs_status FROM {S.RAW} r WHERE dataset_id = '7'""")
 def _(spark, d):
-    return D.dataset_time_series(S.raw_observations(spark, d), "42")
+    return D.dataset_time_series(S.raw_observations(spark, d), "7")
 
 
 @query("D13_dataset_time_series_years", f"""SELECT dataset_id, time_period, CAST(time_period AS INTEGER) AS year, TRY_CAST(obs_value AS DOUBLE) AS obs_value,
   record_id, ingestion_timestamp, territory_code, territory_name, measure_code, measure_name, CASE WHEN obs_value = 'c' THEN 'c' ELSE obs_status END AS obs_status
-  FROM {S.RAW} r WHERE dataset_id = '42' AND TRY_CAST(time_period AS INTEGER) BETWEEN 1996 AND 1999""")
+  FROM {S.RAW} r WHERE dataset_id = '7' AND TRY_CAST(time_period AS INTEGER) BETWEEN 1996 AND 1999""")
 def _(spark, d):
-    return D.dataset_time_series(S.raw_observations(spark, d), "42", start_year=1996, end_year=1999)
+    return D.dataset_time_series(S.raw_observations(spark, d), "7", start_year=1996, end_year=1999)
 
 
 STATS = f"""(SELECT d.dataset_id, COUNT(*) AS record_count, MIN(d.year) AS min_year, MAX(d.year) AS max_year,

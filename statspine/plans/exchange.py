@@ -1 +1,320 @@
+"""Ingestion, storage and export queries. Files are written by Spark from the given
+tables into the shared scratch folder and read back."""
 
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statspine.operators import partitioning as N
+from statspine.plans import standin as S
+from statspine.plans.catalog import query
+from statspine.session import scratch_dir
+from statspine.sinks import export as K
+from statspine.sources import sdmx as X
+from statspine.sources import store as I
+
+NOW = F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+ORDERS_PER_FILE = 250_000
+ROOT = "message:GenericData"
+HEADER = f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- <not a="tag"> -->\n<{ROOT}>\n<message:DataSet>'
+FOOTER = f"</message:DataSet>\n</{ROOT}>"
+
+# dataset of a line item: orders spread over as many files as their number asks for
+FILES_SQL = f"(SELECT CAST(greatest(4, ceil(COUNT(*) / {ORDERS_PER_FILE}.0)) AS BIGINT) FROM orders)"
+DATASET_SQL = f"'DS_' || CAST(l_orderkey % {FILES_SQL} AS VARCHAR)"
+# datasets whose number leaves 3 (mod 4) are cut off in the middle
+WHOLE_SQL = f"(l_orderkey % {FILES_SQL}) % 4 <> 3"
+
+
+def write_sdmx(spark: SparkSession, sf_dir: str) -> str:
+    """Line items as SDMX files, one per dataset; returns the folder.
+
+    Line 7 has an empty value, line 6 none, line 5 carries plain attributes, line 4 of
+    flag N a timestamp as its period; dataset 1 gives its periods without an id.
+    """
+    path = scratch_dir(spark, "sdmx")
+    orders = S.table(spark, sf_dir, "orders").count()
+    files = max(4, -(-orders // ORDERS_PER_FILE))
+    number = lambda key: (F.col(key) % files).alias("_d")
+    lines = S.table(spark, sf_dir, "lineitem").select(
+        number("l_orderkey"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), "l_returnflag", "l_linestatus", "l_shipdate",
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("v"),
+    )
+    stray = (F.col("b") == 4) & (F.col("l_returnflag") == "N")
+    period = F.when(stray, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("l_shipdate", "yyyy-MM"))
+    dimension = F.concat(
+        F.when(F.col("_d") == 1, "<generic:ObsDimension").otherwise('<generic:ObsDimension id="TIME_PERIOD"'),
+        F.lit(' value="'), period, F.lit('"/>'),
+    )
+    value = (
+        F.when(F.col("b") == 7, '<generic:ObsValue value=""/>')
+        .when(F.col("b") == 6, "")
+        .otherwise(F.concat(F.lit('<generic:ObsValue value="'), F.col("v"), F.lit('"/>')))
+    )
+    status = F.concat(
+        F.lit('<generic:Attributes><generic:Value id="OBS_STATUS" value="'), F.col("l_linestatus"), F.lit('"/></generic:Attributes>')
+    )
+    nested = F.concat(F.lit("<generic:Obs>"), dimension, value, status, F.lit("</generic:Obs>"))
+    plain = F.concat(
+        F.lit("<generic:Obs TIME_PERIOD='"), period, F.lit("' OBS_VALUE=\""), F.col("v"), F.lit('" note="'),
+        F.col("l_returnflag"), F.lit(' &amp; more"></generic:Obs>'),
+    )
+    obs = lines.select("_d", "a", "b", F.when(F.col("b") == 5, plain).otherwise(nested).alias("t"))
+    series = lines.select("_d", "a").distinct()
+    opened = series.select("_d", "a", F.lit(-1).alias("b"), F.concat(F.lit('<generic:Series>\n<generic:SeriesKey><generic:Value id="ORDER" value="'), F.col("a").cast("string"), F.lit('"/></generic:SeriesKey>')).alias("t"))
+    closed = series.select("_d", "a", F.lit(1_000_000).alias("b"), F.lit("</generic:Series>").alias("t"))
+    datasets = series.select("_d").distinct()
+    head = datasets.select("_d", F.lit(-1).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(HEADER).alias("t"))
+    foot = datasets.where("_d % 4 <> 3").select("_d", F.lit(2**62).alias("a"), F.lit(0).alias("b"), F.lit(FOOTER).alias("t"))
+    rows = obs.unionByName(opened).unionByName(closed).unionByName(head).unionByName(foot)
+    (
+        rows.withColumn("dataset_id", F.concat(F.lit("DS_"), F.col("_d").cast("string")))
+        .repartition("dataset_id")
+        .sortWithinPartitions("dataset_id", "a", "b", "t")
+        .select("dataset_id", F.col("t").alias("value"))
+        .write.partitionBy("dataset_id")
+        .text(path)
+    )
+    return path
+
+
+STRAY = "(l_linenumber = 4 AND l_returnflag = 'N')"
+PERIOD = "strftime(l_shipdate, '%Y-%m')"
+VALUE = "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)"
+PARSED_SQL = f"""SELECT {DATASET_SQL} AS dataset_id, CASE WHEN l_linenumber IN (6, 7) THEN NULL ELSE {VALUE} END AS obs_value,
+  CASE WHEN {STRAY} OR (l_orderkey % {FILES_SQL} = 1 AND l_linenumber <> 5) THEN '' ELSE {PERIOD} END AS time_period,
+  CASE WHEN l_linenumber = 5 THEN l_returnflag || ' & more' END AS note FROM lineitem WHERE {WHOLE_SQL}"""
+
+
+@query("I1_ingest_sdmx", PARSED_SQL)
+def _(spark, d):
+    rows = X.ingest_sdmx(spark, write_sdmx(spark, d), NOW)
+    return rows.select("dataset_id", "obs_value", "time_period", F.col("additional_attributes")["obs_note"].alias("note"))
+
+
+@query("I1_record_ids", f"""SELECT {DATASET_SQL} AS dataset_id, COUNT(*) AS records, CAST(0 AS BIGINT) AS first_id, COUNT(*) - 1 AS last_id, COUNT(*) AS ids
+  FROM lineitem WHERE {WHOLE_SQL} GROUP BY 1""")
+def _(spark, d):
+    rows = X.ingest_sdmx(spark, write_sdmx(spark, d), NOW)
+    return rows.groupBy("dataset_id").agg(
+        F.count("*").alias("records"),
+        F.min("record_id").alias("first_id"),
+        F.max("record_id").alias("last_id"),
+        F.count_distinct("record_id").alias("ids"),
+    )
+
+
+@query("I2_clean_observations", f"""SELECT record_id, CASE WHEN obs_value = '' OR (length(obs_value) > 15 AND (contains(obs_value, 'T') OR regexp_matches(obs_value, '-.*-'))) THEN NULL ELSE obs_value END AS obs_value,
+  CASE WHEN time_period IS NULL OR (length(time_period) > 15 AND (contains(time_period, 'T') OR regexp_matches(time_period, '-.*-'))) THEN '' ELSE time_period END AS time_period
+  FROM (SELECT record_id, CASE WHEN record_id % 50 = 1 THEN '2024-01-01 00:00:00' ELSE obs_value END AS obs_value, time_period FROM {S.RAW} r)""")
+def _(spark, d):
+    raw = S.raw_observations(spark, d).select("record_id", "obs_value", "time_period")
+    raw = raw.withColumn("obs_value", F.when(F.col("record_id") % 50 == 1, "2024-01-01 00:00:00").otherwise(F.col("obs_value")))
+    return X.clean_observations(raw)
+
+
+@query("I3_attributes_map", f"""WITH l AS (SELECT *, l_orderkey % {FILES_SQL} AS ds, CASE WHEN {STRAY} THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') ELSE {PERIOD} END AS p FROM lineitem),
+  kv AS (SELECT 'obsdimension_id' AS key, 'TIME_PERIOD' AS value FROM l WHERE l_linenumber <> 5 AND ds <> 1 UNION ALL SELECT 'obsdimension_value', p FROM l WHERE l_linenumber <> 5
+  UNION ALL SELECT 'obsvalue_value', CASE WHEN l_linenumber = 7 THEN '' ELSE {VALUE} END FROM l WHERE l_linenumber NOT IN (5, 6) UNION ALL SELECT 'obs_time_period', p FROM l WHERE l_linenumber = 5
+  UNION ALL SELECT 'obs_obs_value', {VALUE} FROM l WHERE l_linenumber = 5 UNION ALL SELECT 'obs_note', l_returnflag || ' & more' FROM l WHERE l_linenumber = 5)
+  SELECT key, COUNT(*) AS n, COUNT(DISTINCT value) AS distinct_values FROM kv GROUP BY key""")
+def _(spark, d):
+    parsed = X.parse_observations(X.read_fragments(spark, write_sdmx(spark, d)))
+    pairs = parsed.select(F.explode("additional_attributes"))
+    return pairs.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
+
+
+@query("I4_quarantine_malformed", f"""SELECT DISTINCT {DATASET_SQL} AS dataset_id, 'not well-formed: unbalanced tags' AS parse_error, TIMESTAMP '2024-01-20' AS ingestion_timestamp,
+  true AS has_sample FROM lineitem WHERE NOT ({WHOLE_SQL})""")
+def _(spark, d):
+    rows = X.quarantine(X.read_fragments(spark, write_sdmx(spark, d)), NOW)
+    sample = F.col("raw_data_sample").startswith("<?xml") & (F.length("raw_data_sample") <= 500)
+    return rows.select("dataset_id", "parse_error", "ingestion_timestamp", sample.alias("has_sample"))
+
+
+@query("I5_dataset_overrides", f"""SELECT {DATASET_SQL} AS dataset_id, CASE WHEN l_linenumber = 5 THEN {VALUE} WHEN l_linenumber IN (6, 7) THEN NULL ELSE {VALUE} END AS obs_value,
+  CASE WHEN {STRAY} OR (l_orderkey % {FILES_SQL} = 1 AND l_linenumber IN (6, 7)) THEN '' ELSE {PERIOD} END AS time_period FROM lineitem""")
+def _(spark, d):
+    parsed = X.parse_observations(X.read_fragments(spark, write_sdmx(spark, d)), overrides=("DS_1",))
+    return X.clean_observations(parsed).select("dataset_id", "obs_value", "time_period")
+
+
+LOADED = "CAST(dataset_id AS INTEGER) % 4 = 0"
+
+
+@query("I6_skip_loaded_datasets", f"SELECT dataset_id, record_id FROM {S.RAW} r WHERE NOT ({LOADED})")
+def _(spark, d):
+    raw = S.raw_observations(spark, d)
+    return I.skip_loaded_datasets(raw, raw.where("CAST(dataset_id AS INT) % 4 = 0")).select("dataset_id", "record_id")
+
+
+@query("I6_skipped_report", f"SELECT dataset_id, COUNT(*) AS existing_records FROM {S.RAW} r WHERE {LOADED} GROUP BY dataset_id")
+def _(spark, d):
+    raw = S.raw_observations(spark, d)
+    return I.skipped_datasets(raw, raw.where("CAST(dataset_id AS INT) % 4 = 0"))
+
+
+NEW_SQL = f"""(SELECT * FROM {S.RAW} r WHERE NOT EXISTS (SELECT 1 FROM {S.RAW} k WHERE k.record_id % 3 = 0 AND k.dataset_id = r.dataset_id
+  AND k.obs_value IS NOT DISTINCT FROM r.obs_value AND k.time_period IS NOT DISTINCT FROM r.time_period))"""
+
+
+@query("I7_new_records_only", f"SELECT dataset_id, record_id, obs_value, time_period FROM {NEW_SQL} n")
+def _(spark, d):
+    raw = S.raw_observations(spark, d).drop("additional_attributes")
+    return I.new_records_only(raw, raw.where("record_id % 3 = 0")).select("dataset_id", "record_id", "obs_value", "time_period")
+
+
+STORED_SQL = f"(SELECT * FROM {S.RAW} s WHERE {LOADED})"
+REPORT_SQL = f"""(SELECT dataset_id, SUM(CASE WHEN {LOADED} THEN 0 ELSE 1 END)::BIGINT AS records_processed, SUM(CASE WHEN {LOADED} THEN 1 ELSE 0 END)::BIGINT AS records_skipped,
+  SUM(CASE WHEN obs_value = 'c' THEN 1 ELSE 0 END)::BIGINT AS records_failed, CASE WHEN {LOADED} THEN 'empty' ELSE 'active' END AS status FROM {S.RAW} r GROUP BY dataset_id)"""
+
+
+def _report(spark, d) -> DataFrame:
+    raw = S.raw_observations(spark, d)
+    return I.ingest_report(raw, raw.where("CAST(dataset_id AS INT) % 4 = 0"), raw.where("obs_value = 'c'"))
+
+
+@query("I8_ingest_report", f"SELECT * FROM {REPORT_SQL} r")
+def _(spark, d):
+    return _report(spark, d)
+
+
+@query("I8_batch_totals", f"""SELECT COUNT(*) AS total_datasets, COUNT(CASE WHEN records_failed = 0 THEN 1 END) AS successful, COUNT(CASE WHEN records_failed > 0 THEN 1 END) AS failed,
+  SUM(records_processed)::BIGINT AS total_records FROM {REPORT_SQL} r""")
+def _(spark, d):
+    return I.batch_totals(_report(spark, d))
+
+
+@query("I9_dataflow_catalogue", "SELECT 'DF_' || CAST(c_custkey AS VARCHAR) AS id, 'Flusso ' || c_name AS name, 'IT1' AS agency, CASE WHEN c_custkey % 2 = 0 THEN '1.1' ELSE '1.0' END AS version FROM customer")
+def _(spark, d):
+    path = scratch_dir(spark, "catalogue")
+    key = F.col("c_custkey").cast("string")
+    flow = F.concat(
+        F.lit('<str:Dataflow id="DF_'), key, F.lit('"'),
+        F.when(F.col("c_custkey") % 2 == 0, ' agencyID="IT1" version="1.1"').otherwise(""),
+        F.lit('><common:Name xml:lang="it">Flusso '), F.col("c_name"), F.lit('</common:Name><common:Name xml:lang="en">Flow '),
+        F.col("c_name"), F.lit("</common:Name></str:Dataflow>"),
+    )
+    S.table(spark, d, "customer").select(flow.alias("value")).write.text(path)
+    return X.parse_dataflow_catalogue(spark, path)
+
+
+@query("I10_align_and_append", f"""SELECT CAST(1 AS BIGINT) AS dataset_row_id, 'D1' AS dataset_id, TRY_CAST(time_period AS INTEGER) AS year, territory_code, TRY_CAST(obs_value AS DECIMAL(20,6)) AS obs_value,
+  obs_status, 'NUMERIC' AS value_type, 1 AS unit_multiplier, 2 AS decimals, false AS is_estimated, TIMESTAMP '2024-01-20' AS created_at FROM {S.RAW} r""")
+def _(spark, d):
+    raw = S.raw_observations(spark, d)
+    source = raw.select(
+        F.col("obs_value").alias("OBS_VALUE"),
+        F.col("time_period").alias("TIME_PERIOD"),
+        F.col("additional_attributes")["territory_code"].alias("TERRITORY"),
+        F.col("additional_attributes")["obs_status"].alias("OBS_STATUS"),
+        F.lit("x").alias("unknown_column"),
+    )
+    path = scratch_dir(spark, "append")
+    I.append(I.align(source, "D1", F.lit(datetime(2024, 1, 20))), path)
+    return I.read_store(spark, path).select(
+        "dataset_row_id", "dataset_id", "year", "territory_code", "obs_value", "obs_status", "value_type", "unit_multiplier", "decimals",
+        "is_estimated", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@query("I11_scan_dataset", f"SELECT time_period, obs_value FROM {S.RAW} r WHERE dataset_id = '7' AND time_period >= '1996-01-01' AND time_period <= '1998'")
+def _(spark, d):
+    return I.scan_dataset(S.raw_observations(spark, d), "7", "1996-01-01", "1998", ["time_period", "obs_value", "no_such_column"])
+
+
+# export
+
+
+def _exported(spark, d, fmt: str, name: str = "orders", **options) -> DataFrame:
+    rows = S.table(spark, d, name)
+    path = scratch_dir(spark, f"export-{fmt}")
+    K.export(rows, path, fmt, **options)
+    return K.read_export(spark, path, fmt, rows.schema)
+
+
+@query("K1_export_csv", "SELECT * FROM orders")
+def _(spark, d):
+    return _exported(spark, d, "csv")
+
+
+@query("K2_export_json", "SELECT * FROM events")
+def _(spark, d):
+    return _exported(spark, d, "json", "events")
+
+
+@query("K2_export_json_metadata", "SELECT 'orders' AS dataset_id, COUNT(*) AS total_records, ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'] AS columns FROM orders")
+def _(spark, d):
+    path = scratch_dir(spark, "export-json")
+    K.export(S.table(spark, d, "orders"), path, "json", "orders", datetime(2024, 1, 20))
+    return spark.read.schema("dataset_id string, total_records long, columns array<string>").json(f"{path}/metadata")
+
+
+@query("K3_export_parquet", "SELECT * FROM lineitem")
+def _(spark, d):
+    return _exported(spark, d, "parquet", "lineitem")
+
+
+@query("K4_export_chunked", "SELECT (SELECT COUNT(*) FROM lineitem) AS total_rows, true AS within_chunk, true AS has_chunks")
+def _(spark, d):
+    path = scratch_dir(spark, "export-chunked")
+    K.export_chunked(S.table(spark, d, "lineitem"), path, "csv", 1000)
+    files = K.validate_export(spark, path, "csv")
+    return files.agg(
+        F.sum("row_count").alias("total_rows"), (F.max("row_count") <= 1000).alias("within_chunk"), (F.count("*") > 1).alias("has_chunks")
+    )
+
+
+@query("K5_export_empty", "SELECT f.format, (SELECT COUNT(*) FROM orders WHERE o_totalprice < 0) AS n FROM (VALUES ('csv'), ('json'), ('parquet')) f(format)")
+def _(spark, d):
+    rows = S.table(spark, d, "orders").where("o_totalprice < 0")
+    parts = []
+    for fmt in K.FORMATS:
+        path = scratch_dir(spark, f"export-empty-{fmt}")
+        K.export(rows, path, fmt)
+        parts.append(K.read_export(spark, path, fmt, rows.schema).agg(F.count("*").alias("n")).select(F.lit(fmt).alias("format"), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("K6_export_filters", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-06-30'")
+def _(spark, d):
+    return K.export_filters(
+        S.table(spark, d, "orders"), ["o_orderkey", "o_orderdate", "o_totalprice", "nothing"], datetime(1996, 1, 1), datetime(1996, 6, 30)
+    )
+
+
+@query("K6_export_filters_text_dates", f"""SELECT dataset_id, CASE WHEN length(time_period) = 4 THEN TRY_CAST(time_period || '-01-01' AS TIMESTAMP) WHEN length(time_period) = 7 AND NOT contains(time_period, 'Q')
+  THEN TRY_CAST(time_period || '-01' AS TIMESTAMP) ELSE TRY_CAST(time_period AS TIMESTAMP) END AS time_period, obs_value FROM {S.RAW} r
+  WHERE CASE WHEN length(time_period) = 4 THEN TRY_CAST(time_period || '-01-01' AS TIMESTAMP) WHEN length(time_period) = 7 AND NOT contains(time_period, 'Q')
+  THEN TRY_CAST(time_period || '-01' AS TIMESTAMP) ELSE TRY_CAST(time_period AS TIMESTAMP) END >= TIMESTAMP '1999-01-01'""")
+def _(spark, d):
+    return K.export_filters(S.raw_observations(spark, d), ["dataset_id", "time_period", "obs_value"], start=datetime(1999, 1, 1))
+
+
+@query("K7_export_estimate", f"""SELECT dataset_id, n AS row_count, round(n * 100 / (1024.0 * 1024.0), 2)::DOUBLE AS csv_mb, round(n * 150 / (1024.0 * 1024.0), 2)::DOUBLE AS json_mb,
+  round(n * 50 / (1024.0 * 1024.0), 2)::DOUBLE AS parquet_mb, n > 50000 AS recommended_streaming, CASE WHEN n > 10000 THEN 'parquet' ELSE 'csv' END AS optimal_format,
+  least(n / 10000.0::DOUBLE, 300.0::DOUBLE) AS estimated_seconds FROM (SELECT dataset_id, COUNT(*) AS n FROM {S.RAW} r GROUP BY dataset_id)""")
+def _(spark, d):
+    return K.export_estimate(S.raw_observations(spark, d))
+
+
+@query("K8_validate_export", "SELECT COUNT(*) AS total_rows, 1.0::DOUBLE AS valid_share, true AS passed FROM lineitem")
+def _(spark, d):
+    rows = S.raw_observations(spark, d).select(F.col("time_period").alias("TIME_PERIOD"), F.col("obs_value").alias("OBS_VALUE"))
+    path = scratch_dir(spark, "export-checked")
+    K.export(rows, path, "parquet", chunk_rows=5000)
+    files = K.validate_export(spark, path, "parquet")
+    share = K.export_is_valid(files)
+    return files.agg(F.sum("row_count").alias("total_rows")).withColumns(
+        {"valid_share": share.select("valid_share").scalar(), "passed": share.select("passed").scalar()}
+    )
+
+
+@query("N2_write_partitioned", f"SELECT id, dataset_id, year, territory_code, CAST(year // 10 * 10 AS INTEGER) AS decade, substr(territory_code, 1, 2) AS territory_group FROM {S.SERIES} d WHERE year BETWEEN 1996 AND 1999 AND territory_code IN ('ITA0', 'EC2')")
+def _(spark, d):
+    path = scratch_dir(spark, "partitioned")
+    N.write_partitioned(S.series(spark, d).select("id", "dataset_id", "year", "territory_code"), path)
+    return N.prune(spark.read.parquet(path), 1996, 1999, ["ITA0", "EC2"])

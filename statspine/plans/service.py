@@ -63,7 +63,7 @@ def _(spark, d):
 
 
 UPSERT_COLS = "dataset_id, name, category, priority, is_active, updated_at"
-INCOMING = f"""(SELECT dataset_id + 3 AS dataset_id, name || ' v' || CAST(v AS VARCHAR) AS name, category, CAST(priority + v AS INTEGER) AS priority,
+INCOMING = f"""(SELECT dataset_id + 8 AS dataset_id, name || ' v' || CAST(v AS VARCHAR) AS name, category, CAST(priority + v AS INTEGER) AS priority,
   true AS is_active, updated_at + to_minutes(v * 10000) AS updated_at FROM {S.REGISTRY} r, (VALUES (1), (2)) t(v) WHERE dataset_id % 5 = 0)"""
 
 
@@ -73,7 +73,7 @@ def _incoming(spark, d):
         .where("dataset_id % 5 = 0")
         .withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
         .select(
-            (F.col("dataset_id") + 3).alias("dataset_id"),
+            (F.col("dataset_id") + 8).alias("dataset_id"),
             F.concat("name", F.lit(" v"), F.col("v").cast("string")).alias("name"),
             "category",
             (F.col("priority") + F.col("v")).alias("priority"),
@@ -533,17 +533,17 @@ ENTITY_SQL = f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY time_period NULLS LAST,
   measure_code, measure_name, TRY_CAST(obs_value AS DOUBLE) NULLS LAST, status NULLS LAST) AS BIGINT) AS "Id", dataset_id AS "DatasetId",
   CASE WHEN regexp_full_match(time_period, '[0-9]+') THEN CAST(time_period AS INTEGER) END AS "Year", time_period AS "TimePeriod", territory_code AS "TerritoryCode",
   territory_name AS "TerritoryName", measure_code AS "MeasureCode", measure_name AS "MeasureName", TRY_CAST(obs_value AS DOUBLE) AS "ObsValue", status AS "ObsStatus"
-  FROM (SELECT *, CASE WHEN obs_value = 'c' THEN 'c' ELSE obs_status END AS status FROM {S.RAW} r WHERE dataset_id = '42')"""
+  FROM (SELECT *, CASE WHEN obs_value = 'c' THEN 'c' ELSE obs_status END AS status FROM {S.RAW} r WHERE dataset_id = '7')"""
 
 
 @query("O6_observations_of_dataset", f"""SELECT * FROM ({ENTITY_SQL}) WHERE "ObsValue" > 20000""")
 def _(spark, d):
-    return O.observation_entities(S.raw_observations(spark, d), "42", [("ObsValue", "gt", "20000")])
+    return O.observation_entities(S.raw_observations(spark, d), "7", [("ObsValue", "gt", "20000")])
 
 
 @query("O7_row_ids", ENTITY_SQL)
 def _(spark, d):
-    return O.observation_entities(S.raw_observations(spark, d), "42")
+    return O.observation_entities(S.raw_observations(spark, d), "7")
 
 
 @query("O7_row_ids_whole_table", "SELECT ROW_NUMBER() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity) AS id, l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem")

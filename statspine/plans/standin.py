@@ -103,7 +103,7 @@ AVG = "CAST(SUM(o.obs_value) AS DOUBLE) / NULLIF(COUNT(o.obs_value), 0)"
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-text observations with attributes; with empty, missing, flag and stray values."""
+    """All-text observations with attributes, in 40 datasets; with empty, missing, flag and stray values."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.expr("l_orderkey * 10 + l_linenumber").alias("record_id"),
@@ -124,7 +124,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         for p in (F.lit(c), F.col(c))
     ]
     return rows.select(
-        F.col("dataset_id").cast("string").alias("dataset_id"),
+        (F.col("dataset_id") % 40).cast("string").alias("dataset_id"),
         "record_id",
         "ingestion_timestamp",
         "obs_value",
@@ -135,7 +135,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RAW = f"""(SELECT CAST(dataset_id AS VARCHAR) AS dataset_id, l_orderkey * 10 + l_linenumber AS record_id,
+RAW = f"""(SELECT CAST(dataset_id % 40 AS VARCHAR) AS dataset_id, l_orderkey * 10 + l_linenumber AS record_id,
   l_shipdate AS ingestion_timestamp,
   CASE WHEN l_linenumber = 7 THEN '' WHEN l_linenumber = 6 THEN NULL
     WHEN l_linenumber = 5 AND l_returnflag = 'R' THEN 'c'
