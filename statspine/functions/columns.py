@@ -10,6 +10,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    The optimizer may copy the expression of a column into every place that uses it; a
+    lambda variable it leaves alone.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def exact_avg(c: Column | str) -> Column:
     """Mean of a decimal column through its exact sum.
 

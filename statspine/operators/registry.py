@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statspine.functions.columns import contains_ci, nulls_last, ratio
+from statspine.functions.columns import contains_ci, let, nulls_last, ratio
 from statspine.operators.aggregates import limit_offset
 
 DEFAULT_CATEGORY, DEFAULT_PRIORITY = "altro", 1
@@ -225,9 +225,7 @@ def categorise(datasets: DataFrame, rules: DataFrame, text_columns: list[str]) -
         )
         return F.try_element_at(F.filter(scored, lambda r: r["score"] > 0), F.lit(1))
 
-    # the text is bound as a lambda variable, so it is lowered once and not once per keyword
-    hit = datasets.withColumn("_rules", ordered.scalar())
-    hit = hit.withColumn("_hit", F.transform(F.array(text), best)[0])
+    hit = datasets.withColumn("_rules", ordered.scalar()).withColumn("_hit", let(text, best))
     return hit.withColumns(
         {
             "category": F.coalesce("_hit.category", F.lit(DEFAULT_CATEGORY)),

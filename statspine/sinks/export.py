@@ -18,6 +18,11 @@ CHUNKED_ABOVE, PARQUET_ABOVE, MAX_SECONDS, ROWS_PER_SECOND = 50_000, 10_000, 300
 DATE_WORDS = ("time", "date", "anno", "year")
 REQUIRED_COLUMNS = ("TIME_PERIOD", "OBS_VALUE")
 VALID_SHARE = 0.8
+# text formats keep microseconds
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def export_filters(
@@ -72,12 +77,12 @@ def export(
     if chunk_rows:
         writer = writer.option("maxRecordsPerFile", chunk_rows)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **TIME_FORMATS).csv(path)
     elif fmt == "parquet":
         writer.option("compression", "snappy").parquet(path)
     else:
         # NULL fields are written, so that every record has every column
-        writer.option("ignoreNullFields", False).json(f"{path}/data")
+        writer.options(ignoreNullFields=False, **TIME_FORMATS).json(f"{path}/data")
         meta = [(dataset_id, exported_at, counted.get["total_records"], df.columns)]
         df.sparkSession.createDataFrame(
             meta, "dataset_id string, exported_at timestamp, total_records long, columns array<string>"
@@ -92,8 +97,8 @@ def export_chunked(df: DataFrame, path: str, fmt: str, chunk_rows: int = CHUNK_R
 def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
     """Read an export back with its known schema."""
     if fmt == "csv":
-        return spark.read.option("header", True).schema(schema).csv(path)
-    return spark.read.schema(schema).format(fmt).load(f"{path}/data" if fmt == "json" else path)
+        return spark.read.options(header=True, **TIME_FORMATS).schema(schema).csv(path)
+    return spark.read.options(**TIME_FORMATS).schema(schema).format(fmt).load(f"{path}/data" if fmt == "json" else path)
 
 
 def export_estimate(df: DataFrame, key: str = "dataset_id") -> DataFrame:
