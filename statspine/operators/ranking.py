@@ -1,10 +1,10 @@
 """Ranks, row numbers and exact medians without a single-task window.
 
 A window without PARTITION BY moves every row to one task, and a window over a hot
-key moves that key's rows to one task. Here the distinct sort keys are first
-counted (copies collapse before the shuffle), then cut into order-preserving
-buckets at boundaries taken from a small deterministic sample, and numbered
-inside each bucket. The boundaries only steer balance; they never change results.
+key moves that key's rows to one task. Here the distinct sort keys are counted first
+(copies collapse before the shuffle) and cut into ordered ranges; the ranges are
+written to the shared scratch folder, so that the totals per range and the numbering
+inside a range are taken from the same cut.
 """
 
 from __future__ import annotations
@@ -12,110 +12,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
-SAMPLE_PER_BUCKET = 16
-COPY_CHUNK = 100_000
-
-
-def _ascending(name: str) -> list[Column]:
-    """Sort key parts that order NULLs last; ``-name`` (numbers only) orders descending."""
-    if name.startswith("-"):
-        c = F.col(name[1:])
-        return [c.isNull(), -c]
-    return [F.col(name).isNull(), F.col(name)]
-
+from statspine.functions.columns import nulls_last
+from statspine.session import scratch_dir
 
-def _bucket_of(order: Column, bounds: Column, n_bounds: int) -> Column:
-    """Index of the last boundary <= order, by binary search over the sorted array."""
-    steps = max(1, n_bounds.bit_length())
+COPY_CHUNK = 100_000
 
-    def halve(state: Column, _: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.try_element_at(bounds, mid + 1) <= order
-        return (
-            F.when(lo >= hi, state)
-            .when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
-            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
-        )
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(F.array_repeat(F.lit(0), steps + 1), start, halve, lambda s: s["lo"])
+def cut_into_ranges(keys: DataFrame, order_by: list[str]) -> DataFrame:
+    """The same rows as a written table, with the number of their range in ``_bucket``.
 
+    Every row of a range sorts before every row of the next. ``keys`` must be unique on
+    ``order_by``: then no range can be much larger than the others.
+    """
+    path = scratch_dir(keys.sparkSession, "ranges")
+    ranged = keys.repartitionByRange(*nulls_last(*order_by)).withColumn("_bucket", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return keys.sparkSession.read.schema(ranged.schema).parquet(path)
 
-def running_start(keys: DataFrame, order_by: list[str], weight: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``start``: the sum of ``weight`` over all rows that sort before this one.
 
-    ``keys`` must be unique on ``order_by``.
-    """
-    parts = [p for name in order_by for p in _ascending(name)]
-    keyed = keys.withColumn("_order", F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
-    size = buckets * SAMPLE_PER_BUCKET
-    sample = (
-        keyed.select("_order", F.xxhash64("_order").alias("_h"))
-        .orderBy("_h", "_order")
-        .limit(size)
-        .agg(F.sort_array(F.collect_list("_order")).alias("s"))
-        .select(F.filter("s", lambda _, i: i % SAMPLE_PER_BUCKET == 0).alias("bounds"))
-    )
-    bucketed = (
-        keyed.withColumn("_bounds", sample.scalar())
-        .withColumn("_bucket", _bucket_of(F.col("_order"), F.col("_bounds"), buckets))
-        .drop("_bounds")
-    )
-    # at most buckets + 1 rows from here on
-    totals = bucketed.groupBy("_bucket").agg(F.sum(weight).alias("_total"))
+def running_start(ranged: DataFrame, order_by: list[str], weight: str) -> DataFrame:
+    """Add ``start``: the sum of ``weight`` over all rows that sort before this one."""
+    # one row per range, that is at most one per shuffle partition
+    totals = ranged.groupBy("_bucket").agg(F.sum(weight).alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    inside = (
+        Window.partitionBy("_bucket").orderBy(*nulls_last(*order_by)).rowsBetween(Window.unboundedPreceding, -1)
+    )
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn("start", F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .drop("_order", "_bucket", "_offset")
+        ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn("start", F.col("_offset") + F.col("_inside"))
+        .drop("_bucket", "_offset", "_inside")
     )
 
 
-def global_rank(df: DataFrame, by: str, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def global_rank(df: DataFrame, by: str, name: str = "rank") -> DataFrame:
     """RANK() OVER (ORDER BY by); write ``-column`` for descending. Ties share a rank.
 
-    Equal keys collapse to one row before they are bucketed, so a key that holds a
-    third of the rows weighs no more than any other.
+    Equal keys collapse to one row before they are ranged, so a key that holds a third
+    of the rows weighs no more than any other.
     """
     key = by.lstrip("-")
-    counted = df.groupBy(key).agg(F.count("*").alias("_n"))
-    ranks = running_start(counted, [by], "_n", buckets).select(
+    ranged = cut_into_ranges(df.groupBy(key).agg(F.count("*").alias("_n")), [by])
+    ranks = running_start(ranged, [by], "_n").select(
         F.col(key).alias("_key"), (F.col("start") + 1).cast("long").alias(name)
     )
     return df.join(ranks, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
-def global_row_number(df: DataFrame, order_by: list[str], name: str = "Id", buckets: int = BUCKETS) -> DataFrame:
+def global_row_number(df: DataFrame, order_by: list[str], name: str = "Id") -> DataFrame:
     """ROW_NUMBER() OVER (ORDER BY order_by, remaining columns), numbered from 1.
 
     All columns take part in the order, so the numbering is the same in every run;
-    identical rows are counted first and written out again in chunks, so a large
-    group of copies is spread over tasks. Columns must be sortable (no maps).
+    identical rows are counted first and written out again in chunks, so a large group
+    of copies is spread over tasks. Columns must be sortable (no maps).
     """
     named = {c.lstrip("-") for c in order_by}
     order = order_by + [c for c in df.columns if c not in named]
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    started = running_start(counted, order, "_n", buckets)
+    ranged = cut_into_ranges(df.groupBy(*df.columns).agg(F.count("*").alias("_n")), order)
+    started = running_start(ranged, order, "_n")
     first = F.lit(0).cast("long")
-    single = started.where(f"_n <= {COPY_CHUNK}").withColumn("_copy", F.explode(F.sequence(first, F.col("_n") - 1)))
-    # a row with very many copies is cut into chunks that move to other tasks before they are written out
-    many = (
-        started.where(f"_n > {COPY_CHUNK}")
-        .withColumn("_chunk", F.explode(F.sequence(first, F.col("_n") - 1, F.lit(COPY_CHUNK).cast("long"))))
-        .repartition("_chunk", "start")
-        .withColumn(
-            "_copy",
-            F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + COPY_CHUNK, F.col("_n")) - 1)),
+    out = started.where(f"_n <= {COPY_CHUNK}").withColumn("_copy", F.explode(F.sequence(first, F.col("_n") - 1)))
+    if ranged.where(f"_n > {COPY_CHUNK}").limit(1).count():
+        # a row with very many copies is cut into chunks that move to other tasks before they are written out
+        chunks = F.explode(F.sequence(first, F.col("_n") - 1, F.lit(COPY_CHUNK).cast("long")))
+        last = F.least(F.col("_chunk") + COPY_CHUNK, F.col("_n")) - 1
+        many = (
+            started.where(f"_n > {COPY_CHUNK}")
+            .withColumn("_chunk", chunks)
+            .repartition("_chunk", "start")
+            .withColumn("_copy", F.explode(F.sequence(F.col("_chunk"), last)))
+            .drop("_chunk")
         )
-        .drop("_chunk")
-    )
-    return single.unionByName(many).select(
-        (F.col("start") + F.col("_copy") + 1).cast("long").alias(name), *df.columns
-    )
+        out = out.unionByName(many)
+    return out.select((F.col("start") + F.col("_copy") + 1).cast("long").alias(name), *df.columns)
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order_by: list[Column], k: int, name: str = "row_number") -> DataFrame:

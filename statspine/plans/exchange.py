@@ -130,7 +130,7 @@ def _(spark, d):
 @query("I4_quarantine_malformed", f"""SELECT DISTINCT {DATASET_SQL} AS dataset_id, 'not well-formed: unbalanced tags' AS parse_error, TIMESTAMP '2024-01-20' AS ingestion_timestamp,
   true AS has_sample FROM lineitem WHERE NOT ({WHOLE_SQL})""")
 def _(spark, d):
-    rows = X.quarantine(X.read_fragments(spark, write_sdmx(spark, d)), NOW)
+    rows = X.quarantine(X.file_index(X.read_fragments(spark, write_sdmx(spark, d))), NOW)
     sample = F.col("raw_data_sample").startswith("<?xml") & (F.length("raw_data_sample") <= 500)
     return rows.select("dataset_id", "parse_error", "ingestion_timestamp", sample.alias("has_sample"))
 
