@@ -1,0 +1,35 @@
+"""Small stars written out as literals."""
+
+from decimal import Decimal
+
+from pyspark.sql import types as T
+
+from statspine.model import VALUE, Star
+
+
+def star(spark, observations, metadata):
+    """``observations``: (dataset, year, territory, measure, value); ``metadata``: (dataset, name, category, priority)."""
+    series = [(i, d, y, str(y), t, t, m, m) for i, (d, y, t, m, _) in enumerate(observations)]
+    values = [(i, None if v is None else Decimal(str(v)), "A", "NUMERIC") for i, (*_, v) in enumerate(observations)]
+    meta = [(d, n, c, p, None, None, "EUR") for d, n, c, p in metadata]
+    value_schema = T.StructType(
+        [
+            T.StructField("dataset_row_id", T.LongType()),
+            T.StructField("obs_value", VALUE),
+            T.StructField("obs_status", T.StringType()),
+            T.StructField("value_type", T.StringType()),
+        ]
+    )
+    return Star(
+        spark.createDataFrame(
+            meta,
+            "dataset_id string, dataset_name string, category string, priority int, completeness_score double, "
+            "data_quality_score double, unit_of_measure string",
+        ),
+        spark.createDataFrame(
+            series,
+            "id long, dataset_id string, year int, time_period string, territory_code string, territory_name string, "
+            "measure_code string, measure_name string",
+        ),
+        spark.createDataFrame(values, value_schema),
+    )
