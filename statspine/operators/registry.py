@@ -11,6 +11,7 @@ from statspine.functions.columns import contains_ci, let, nulls_last, ratio
 from statspine.operators.aggregates import limit_offset
 
 DEFAULT_CATEGORY, DEFAULT_PRIORITY = "altro", 1
+MAX_RULES = 10_000
 HIGH_PRIORITY = 7
 
 # fixed values: default categorisation rules (rule id, category, priority, keywords)
@@ -205,12 +206,16 @@ def categorise(datasets: DataFrame, rules: DataFrame, text_columns: list[str]) -
 
     The highest-priority active rule with a keyword in the text wins; score is the
     number of its keywords found; no hit gives the default category. The rule list
-    is configuration, read once and placed in the plan as one array value.
+    is configuration, read once and placed in the plan as one array value; a list of
+    more than ``MAX_RULES`` is refused.
     """
-    ordered = rules.where("is_active").agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.col("priority")).alias("o"), "created_at", "rule_id", "category", "keywords"))
-        ).alias("rules")
+    rule = F.struct((-F.col("priority")).alias("o"), "created_at", "rule_id", "category", "keywords")
+    too_many = F.raise_error(F.lit(f"more than {MAX_RULES} active rules"))
+    ordered = (
+        rules.where("is_active")
+        .limit(MAX_RULES + 1)
+        .agg(F.count("*").alias("n"), F.sort_array(F.collect_list(rule)).alias("rules"))
+        .select(F.when(F.col("n") <= MAX_RULES, F.col("rules")).otherwise(too_many.cast("void")).alias("rules"))
     )
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in text_columns]))
 

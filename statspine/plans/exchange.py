@@ -16,7 +16,7 @@ from statspine.sinks import export as K
 from statspine.sources import sdmx as X
 from statspine.sources import store as I
 
-NOW = F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+NOW = datetime(2024, 1, 20)
 ORDERS_PER_FILE = 250_000
 ROOT = "message:GenericData"
 HEADER = f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- <not a="tag"> -->\n<{ROOT}>\n<message:DataSet>'
@@ -133,7 +133,8 @@ def _(spark, d):
 def _(spark, d):
     rows = X.quarantine(X.file_index(X.read_fragments(spark, write_sdmx(spark, d))), NOW)
     sample = F.col("raw_data_sample").startswith("<?xml") & (F.length("raw_data_sample") <= 500)
-    return rows.select("dataset_id", "parse_error", "ingestion_timestamp", sample.alias("has_sample"))
+    stamp = F.col("ingestion_timestamp").cast("timestamp_ntz").alias("ingestion_timestamp")
+    return rows.select("dataset_id", "parse_error", stamp, sample.alias("has_sample"))
 
 
 @query("I5_dataset_overrides", f"""SELECT {DATASET_SQL} AS dataset_id, CASE WHEN l_linenumber = 5 THEN {VALUE} WHEN l_linenumber IN (6, 7) THEN NULL ELSE {VALUE} END AS obs_value,
@@ -215,7 +216,7 @@ def _(spark, d):
         F.lit("x").alias("unknown_column"),
     )
     path = scratch_dir(spark, "append")
-    I.append(I.align(source, "D1", F.lit(datetime(2024, 1, 20))), path)
+    I.append(I.align(source, "D1", NOW), path)
     return I.read_store(spark, path).select(
         "dataset_row_id", "dataset_id", "year", "territory_code", "obs_value", "obs_status", "value_type", "unit_multiplier", "decimals",
         "is_estimated", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
@@ -250,7 +251,7 @@ def _(spark, d):
 @query("K2_export_json_metadata", "SELECT 'orders' AS dataset_id, COUNT(*) AS total_records, ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'] AS columns FROM orders")
 def _(spark, d):
     path = scratch_dir(spark, "export-json")
-    K.export(S.table(spark, d, "orders"), path, "json", "orders", datetime(2024, 1, 20))
+    K.export(S.table(spark, d, "orders"), path, "json", "orders", NOW)
     return spark.read.schema("dataset_id string, total_records long, columns array<string>").json(f"{path}/metadata")
 
 

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
         "spark.driver.memory": "8g",
+        "spark.sql.maxMetadataStringLength": "10000",
     }
     session = get_session("tests", "local[4]", conf)
     session.sparkContext.setLogLevel("ERROR")
