@@ -58,16 +58,21 @@ def duplicate_record_ids(raw: DataFrame) -> DataFrame:
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key by ``order``; the remaining columns break ties.
 
-    An aggregate keeps one candidate per key and task before the shuffle, so a key
-    with many copies does not gather on one task. Maps cannot be compared and are
-    carried along instead of taking part in the order.
+    An aggregate keeps one candidate per key and task before the shuffle, so a key with
+    many copies does not gather on one task. Maps cannot be compared and take part as
+    arrays of their entries.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    maps = [c for c in rest if isinstance(df.schema[c].dataType, T.MapType)]
-    sortable = [c for c in rest if c not in maps]
-    rank = F.struct(*order, *sortable, *[F.map_entries(c).cast("string").alias(f"_{c}") for c in maps])
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), rank).alias("r"))
-    return kept.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
+    maps = {c for c in rest if isinstance(df.schema[c].dataType, T.MapType)}
+    columns = [F.map_entries(c).alias(c) if c in maps else F.col(c) for c in [*order, *rest]]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("r"))
+
+    def column(c: str) -> Column:
+        if c in keys:
+            return F.col(c)
+        return (F.map_from_entries(f"r.{c}") if c in maps else F.col(f"r.{c}")).alias(c)
+
+    return first.select(*[column(c) for c in df.columns])
 
 
 def _any_empty(df: DataFrame, test) -> Column:

@@ -105,6 +105,10 @@ def grouped_median(
     bracket and the distinct values inside it: about 1 / 2000 of a group's values.
     The ranks are checked against those counts and the job stops if they fall
     outside, so the result is never approximate.
+
+    The brackets are written to the shared scratch folder: as a table their size is
+    known, so the rows meet them in a broadcast join where they are few, and in a
+    shuffled one where they are not.
     """
     v = F.col(value).cast("double")
     margin = 2.0 / accuracy + 1e-9
@@ -125,6 +129,9 @@ def grouped_median(
             F.when(F.col("_n") <= accuracy, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
         )
     )
+    path = scratch_dir(df.sparkSession, "brackets")
+    bracket.write.parquet(path)
+    bracket = df.sparkSession.read.schema(bracket.schema).parquet(path)
     same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
     on = same[0]
     for c in same[1:]:

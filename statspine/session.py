@@ -13,7 +13,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # file sizes are of compressed columns: without this, tables many times the broadcast
+    # threshold in memory would pass its check
+    "spark.sql.sources.fileCompressionFactor": "6.0",
     "spark.ui.enabled": "false",
 }
 
