@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VALUE = T.DecimalType(20, 6)
@@ -124,8 +125,16 @@ class Star:
     observations: DataFrame
 
     def joined(self) -> DataFrame:
-        """Observations with their series and dataset columns (inner joins)."""
-        return self.series_observations().join(self.metadata, "dataset_id")
+        """Observations with their series and dataset columns (inner joins).
+
+        Series meet their dataset first: then the observations, the largest table, are
+        shuffled once, by series, and only series of the chosen datasets meet them.
+        """
+        described = self.series.join(self.metadata, "dataset_id")
+        return Star(self.metadata, described, self.observations).series_observations()
 
     def series_observations(self) -> DataFrame:
-        return self.series.join(self.observations, self.series["id"] == self.observations["dataset_row_id"])
+        """Observations with their series. Columns that both have are the series' own."""
+        repeated = [c for c in self.observations.columns if c in self.series.columns]
+        values = self.observations.drop(*repeated)
+        return self.series.join(values, F.col("id") == F.col("dataset_row_id"))

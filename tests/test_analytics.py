@@ -1,10 +1,12 @@
 """Literal stars with known answers."""
 
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from statspine import model
 from statspine.operators import aggregates as A
 from statspine.operators import analytics as D
 from statspine.operators import predicates as P
@@ -160,6 +162,28 @@ def test_pages(spark, monkeypatch):
         A.limit_offset(df, [F.col("v")], -1)
 
 
+def test_canonical_tables(spark):
+    """The full schemas, in which observations repeat columns of their series."""
+
+    def table(schema, *rows):
+        return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
+
+    base = {"dataset_id": "D1", "year": 2020, "territory_code": "IT"}
+    s = model.Star(
+        table(model.METADATA, {"dataset_id": "D1", "dataset_name": "One", "category": "c", "priority": 1}),
+        table(model.SERIES, {"id": 1, "territory_name": "Italia", "measure_code": "M", "time_period": "2020", **base}),
+        table(model.OBSERVATIONS, *({"dataset_row_id": 1, "obs_value": Decimal(v), "value_type": "NUMERIC", **base} for v in (2, 4))),
+    )
+    assert D.dataset_summary(s).first().avg_value == 3.0
+    assert D.time_series(s, ["D1"], 2020, 2020).count() == 2
+    assert D.territory_comparison(s, ["M"], 2020).first().avg_value == 3.0
+    assert D.category_trends(s, ["c"], 2020, 2020).first().median_value == 3.0
+    assert D.top_performers(s, "c", "M", 2020).first()["rank"] == 1
+    assert D.dataset_stats(s).first().measure_count == 1
+    assert D.kpi_metrics(s, ["c"], 2020, 2020).first().points == 2
+    assert D.territory_aggregates(s).first().indicator_count == 2
+
+
 def test_empty_tables(spark):
     s = star(spark, [("D1", 2020, "IT", "M", 1)], META)
     none = type(s)(s.metadata.where("false"), s.series.where("false"), s.observations.where("false"))
