@@ -169,7 +169,7 @@ def _rule_sql() -> str:
     """The default rules as SQL: score per rule, best first."""
     hits, category, priority, score = [], [], [], []
     for i, (_, name, prio, words) in enumerate(M.DEFAULT_RULES):
-        found = " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in words.split(" "))
+        found = " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in words)
         hits.append(f"{found} AS s{i}")
         category.append(f"WHEN s{i} > 0 THEN '{name}'")
         priority.append(f"WHEN s{i} > 0 THEN {prio}")
