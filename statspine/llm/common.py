@@ -54,6 +54,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """(text, label) of at most ``sample`` labelled rows, chosen by a hash of their id; none is held out."""
+    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50) -> tuple[float, float]:
+    """Intercept and slope by Newton steps, with a small ridge that keeps separable classes finite."""
+    a = np.stack([np.ones_like(x), x], axis=1)
+    b = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        move = np.linalg.solve(h, a.T @ (y - p) - ridge * b)
+        b += move
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(b[0]), float(max(b[1], 0.0))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that end where a group of equal ``keys`` ends; rows of a group must come together.
 

@@ -1,0 +1,123 @@
+"""SimHash near-duplicates against every pair."""
+
+import random
+
+import pytest
+from xxhash import xxh64_intdigest
+
+from statspine.llm import simhash
+from statspine.llm.common import components, spanning
+
+WORDS = [f"w{i}" for i in range(300)]
+
+
+def brute_components(rows, distance):
+    """Smallest id reachable over pairs of rows (id, fp) within ``distance`` bits."""
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((rows[i][1] ^ rows[j][1]) & (2**64 - 1)).bit_count() <= distance:
+                parent[find(i)] = find(j)
+    ids = {}
+    for i, (doc, _) in enumerate(rows):
+        ids.setdefault(find(i), []).append(doc)
+    return [min((d for d in ids[find(i)] if d is not None), default=None) for i in range(len(rows))]
+
+
+def brute_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", ["", None, "One", "a b c", "A b\tc\nd  e F Ä", "x " * 50, "é ü ñ ß ö"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) % 2**64 == brute_fingerprint(text)
+
+
+def test_hash_is_sparks(spark):
+    one = spark.sql("SELECT xxhash64('a b c d') AS h").first().h
+    assert simhash.fingerprint("a b c d") == one
+
+
+@pytest.mark.parametrize("distance", [0, 1, 4, 7])
+def test_position_sets_cover(distance):
+    from itertools import combinations
+
+    for width in range(1, 8 - distance + 1):
+        sets = simhash.position_sets(width, distance)
+        for met in combinations(range(8), 8 - distance):
+            assert any(set(s) <= set(met) for s in sets)
+
+
+def test_components_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 16)  # lists that are dealt into tiles
+    rng, rows = random.Random(3), []
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    for i in range(400):
+        fp = rng.choice(centres) if i % 2 else rng.getrandbits(64)
+        for _ in range(rng.randrange(0, 8)):
+            fp ^= 1 << rng.randrange(64)
+        rows.append((i * 7 % 400, fp - 2**64 if fp >= 2**63 else fp))
+    rows += rows[:20]  # repeated rows
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = sorted((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(df).collect())
+    expected = brute_components(rows, simhash.DISTANCE)
+    assert got == sorted((d, f, c) for (d, f), c in zip(rows, expected))
+
+
+def documents(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choices(WORDS, k=120)) for _ in range(20)]
+    rows = [(i, t, "en") for i, t in enumerate(base)]
+    rows += [(100 + i, t, "en") for i, t in enumerate(base[:10])]
+    rows += [(200 + i, t + " more", "de") for i, t in enumerate(base[5:15])]
+    rows += [(300, None, None), (301, "", "x"), (302, " \n\t", "x"), (None, "only here and never elsewhere at all", "x"), (303, "long " * 20_000, "x")]
+    rows += [(0, base[0], "en")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, fp string")
+
+
+def test_documents(spark):
+    rows, docs = documents(spark)
+    got = simhash.components_of(docs).collect()
+    prints = [(d, simhash.fingerprint(t)) for d, t, _ in rows]
+    expected = [(d, f, c) for (d, f), c in zip(prints, brute_components(prints, 4))]
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in got), key=key) == sorted(expected, key=key)
+
+
+def test_keep_first_keeps_one_of_each(spark):
+    rows, docs = documents(spark)
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    ids = sorted((r.doc_id is not None, r.doc_id) for r in kept.collect())
+    prints = [(d, simhash.fingerprint(t)) for d, t, _ in rows]
+    first = {c for c in brute_components(prints, 4)}
+    assert ids == sorted((d is not None, d) for d in first)
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.components_of(none).count() == 0
+    assert simhash.keep_first(none).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)] + [(2000, 1999)] * 3
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(200)}, 1999: 1999, 2000: 1999}
+
+
+def test_spanning_links_all():
+    near = lambda i, rest: abs(rest - i) <= 1
+    assert len(spanning(50, near)) == 49
+    assert spanning(5, lambda i, rest: rest < 0) == []
