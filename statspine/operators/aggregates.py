@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statspine.functions.columns import col, exact_avg
+from statspine.functions.columns import col, exact_avg, nulls_last
 from statspine.operators.ranking import global_row_number, grouped_median
 
 _FUNCTIONS = {
@@ -21,7 +23,10 @@ _FUNCTIONS = {
 }
 
 MAX_PAGE_SIZE = 1000
-DEEP_PAGE_ROWS = 100_000
+# rows from the top up to which a slice is taken as a top-k; the result is the same on either side
+NEAR_ROWS = 100_000
+# codes of a coded column that may be joined into one text
+MAX_CODES = 1000
 
 
 def aggregate(df: DataFrame, keys: list[str], **columns: tuple[str, str]) -> DataFrame:
@@ -57,10 +62,13 @@ def having(df: DataFrame, condition: Column | str) -> DataFrame:
 def joined_values(df: DataFrame, keys: list[str], value: str, name: str, separator: str = ", ") -> DataFrame:
     """Distinct values of a coded column per key, sorted and joined into one text.
 
-    For columns with a short code list (status flags, units): the text holds every
-    distinct value. For free values use ``distinct_values``, one row per value.
+    For columns with a short code list (status flags, units). The list is read from the data and
+    checked first: free values, more than ``MAX_CODES`` of them, are refused; ``distinct_values``
+    gives those as rows.
     """
     pairs = distinct_values(df, keys, value).where(F.col(value).isNotNull())
+    if pairs.select(value).distinct().limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"{value} is no coded column: it has more than {MAX_CODES} values")
     return pairs.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), separator).alias(name))
 
 
@@ -82,9 +90,25 @@ def first(df: DataFrame, *order: Column) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(1)
 
 
-def limit_offset(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+def _with_ties(df: DataFrame, order_by: list[str]) -> list[str]:
+    """``order_by`` and then all other columns that can be sorted: no two different rows tie."""
+    named = {c.lstrip("-") for c in order_by}
+    return [*order_by, *(f.name for f in df.schema if f.name not in named and not isinstance(f.dataType, T.MapType))]
+
+
+def limit_offset(df: DataFrame, order_by: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A slice in the order of the named columns (``-name`` for descending), ties broken by the other columns.
+
+    A slice near the top is a top-k. For one without an end or far down every task would send all
+    rows before it to one place, so that is cut out of a distributed numbering, in the same order.
+    """
     if (limit is not None and limit < 0) or offset < 0:
         raise ValueError("limit and offset must not be negative")
+    order = nulls_last(*_with_ties(df, order_by))
+    if offset and (limit is None or offset + limit > NEAR_ROWS):
+        numbered = global_row_number(df, order_by, "_row")
+        last = F.lit(True) if limit is None else F.col("_row") <= offset + limit
+        return numbered.where((F.col("_row") > offset) & last).orderBy("_row").drop("_row")
     out = df.orderBy(*order)
     if offset:
         out = out.offset(offset)
@@ -94,20 +118,13 @@ def limit_offset(df: DataFrame, order: list[Column], limit: int | None = None, o
 def page(df: DataFrame, order_by: list[str], page_number: int, page_size: int) -> DataFrame:
     """One page of an ordered result with ``total_count`` and ``has_next`` on every row.
 
-    A near page is a top-k. A page far down would make every task keep all the rows
-    before it, so it is cut out of a distributed numbering instead.
-    ``order_by`` are column names, ``-name`` for descending.
+    ``order_by`` are column names, ``-name`` for descending; the other columns break ties, so
+    every row is on one page.
     """
-    from statspine.functions.columns import nulls_last
-
     if page_number < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError("page starts at 1; page_size is 1 to 1000")
     start = (page_number - 1) * page_size
-    if start + page_size <= DEEP_PAGE_ROWS:
-        rows = limit_offset(df, nulls_last(*order_by), page_size, start)
-    else:
-        numbered = global_row_number(df, order_by, "_row")
-        rows = numbered.where(F.col("_row").between(start + 1, start + page_size)).drop("_row")
+    rows = limit_offset(df, order_by, page_size, start)
     total = df.agg(F.count("*")).scalar()
     return rows.withColumn("total_count", total).withColumn("has_next", F.col("total_count") > start + page_size)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statspine.functions.columns import exact_avg, growth_pct, nulls_last, percent, ratio
 from statspine.model import Star
 from statspine.operators.aggregates import join_on
 from statspine.operators.predicates import attribute, territories, year_range
-from statspine.operators.ranking import global_rank, grouped_median, top_k_per_group
+from statspine.operators.ranking import cut_into_ranges, global_rank, ranged_median, top_k_per_group
 
 
 def series_totals(observations: DataFrame) -> DataFrame:
@@ -25,6 +25,11 @@ def series_totals(observations: DataFrame) -> DataFrame:
     )
 
 
+def _valued(star: Star) -> Star:
+    """The star with its observations reduced to one row per series that has a value."""
+    return Star(star.metadata, star.series, series_totals(star.observations).where("_values > 0"))
+
+
 def dataset_summary(star: Star) -> DataFrame:
     """Per dataset: observations, years, territories, values. Datasets without data stay."""
     totals = series_totals(star.observations)
@@ -112,12 +117,12 @@ def territory_comparison(
 def territory_comparison_dataset(star: Star, dataset_id, year: int) -> DataFrame:
     """Territories of one dataset in one year, with their overall rank."""
     series = star.series.where((F.col("dataset_id") == dataset_id) & (F.col("year") == year))
-    rows = Star(star.metadata, series, star.observations.where("obs_value IS NOT NULL")).series_observations()
+    rows = _valued(Star(star.metadata, series, star.observations)).series_observations()
     stats = rows.groupBy("territory_code", "territory_name").agg(
-        F.count("*").alias("indicators"),
-        exact_avg("obs_value").alias("avg_value"),
-        F.min("obs_value").cast("double").alias("min_value"),
-        F.max("obs_value").cast("double").alias("max_value"),
+        F.sum("_values").alias("indicators"),
+        ratio(F.sum("_sum"), F.sum("_values")).alias("avg_value"),
+        F.min("_min").cast("double").alias("min_value"),
+        F.max("_max").cast("double").alias("max_value"),
     )
     return global_rank(stats, "-avg_value").orderBy(*nulls_last("-avg_value", "territory_code"))
 
@@ -125,10 +130,10 @@ def territory_comparison_dataset(star: Star, dataset_id, year: int) -> DataFrame
 def territory_comparison_simple(star: Star, measure_code: str, year: int) -> DataFrame:
     """Mean and count per territory for one measure and year, highest first."""
     series = star.series.where((F.col("measure_code") == measure_code) & (F.col("year") == year))
-    rows = Star(star.metadata, series, star.observations.where("obs_value IS NOT NULL")).series_observations()
+    rows = _valued(Star(star.metadata, series, star.observations)).series_observations()
     return (
         rows.groupBy("territory_code", "territory_name")
-        .agg(exact_avg("obs_value").alias("avg_value"), F.count("*").alias("observation_count"))
+        .agg(ratio(F.sum("_sum"), F.sum("_values")).alias("avg_value"), F.sum("_values").alias("observation_count"))
         .orderBy(*nulls_last("-avg_value", "territory_code"))
     )
 
@@ -141,14 +146,24 @@ def _category_rows(star: Star, categories: list[str], start: int | None, end: in
 
 
 def _yearly(rows: DataFrame) -> DataFrame:
-    keys = ["category", "year"]
-    stats = rows.groupBy(*keys).agg(
+    """Counts, mean, spread and median of every category and year.
+
+    The joined observations are counted by value once and written in ranges; all numbers are taken from those.
+    """
+    keys, n = ["category", "year"], F.col("_n")
+    order = [*keys, "obs_value", "dataset_id"]
+    ranged = cut_into_ranges(rows.groupBy(*order).agg(F.count("*").alias("_n")), order)
+    stats = ranged.groupBy(*keys).agg(
         F.count_distinct("dataset_id").alias("dataset_count"),
-        F.count("obs_value").alias("total_observations"),
-        exact_avg("obs_value").alias("avg_value"),
-        F.stddev_samp("obs_value").alias("std_dev"),
+        F.sum("_n").alias("total_observations"),
+        ratio(F.sum(F.col("obs_value") * n), F.sum("_n")).alias("avg_value"),
+    )
+    off = F.col("obs_value").cast("double") - F.col("avg_value")
+    spread = join_on(ranged, stats, keys).groupBy(*keys).agg(
+        F.sqrt(F.try_divide(F.sum(n * off * off), F.sum("_n") - 1)).alias("std_dev")
     )
-    return join_on(stats, grouped_median(rows, keys, "obs_value"), keys, "left")
+    median = ranged_median(ranged, keys, order, "obs_value", "_n", "median_value")
+    return join_on(join_on(stats, spread, keys), median, keys)
 
 
 def category_trends(star: Star, categories: list[str], start_year: int, end_year: int) -> DataFrame:
@@ -208,11 +223,11 @@ def top_performers(star: Star, category: str, measure_code: str, year: int, k: i
     """The k best territories with their rank; the rank runs over those k rows only."""
     meta = star.metadata.where(F.col("category") == category).select("dataset_id", "unit_of_measure")
     series = star.series.where((F.col("measure_code") == measure_code) & (F.col("year") == year))
-    rows = Star(meta, series, star.observations.where("obs_value IS NOT NULL")).joined()
+    rows = _valued(Star(meta, series, star.observations)).joined()
     keys = ["territory_code", "territory_name", "measure_code", "measure_name", "unit_of_measure"]
     best = (
         rows.groupBy(*keys)
-        .agg(exact_avg("obs_value").alias("avg_value"), F.count("obs_value").alias("obs_count"))
+        .agg(ratio(F.sum("_sum"), F.sum("_values")).alias("avg_value"), F.sum("_values").alias("obs_count"))
         .orderBy(*nulls_last("-avg_value", "territory_code", "unit_of_measure"))
         .limit(k)
     )
@@ -262,8 +277,12 @@ def demographic_split(
     """Mean of two measures side by side per year and territory with more than one dataset."""
     meta = star.metadata.where(F.col("category") == category).select("dataset_id")
     series = year_range(star.series.where(F.col("measure_code").isin(male, female)), start_year, end_year)
-    rows = Star(meta, series, star.observations.where("obs_value IS NOT NULL")).joined()
-    only = lambda code: exact_avg(F.when(F.col("measure_code") == code, F.col("obs_value")))
+    rows = _valued(Star(meta, series, star.observations)).joined()
+
+    def only(code: str) -> Column:
+        of = lambda c: F.sum(F.when(F.col("measure_code") == code, F.col(c)))
+        return ratio(of("_sum"), of("_values"))
+
     return (
         rows.groupBy("year", "territory_code", "territory_name")
         .agg(
@@ -310,13 +329,13 @@ def dataset_time_series(
 
 def dataset_stats(star: Star) -> DataFrame:
     """Per dataset with data: rows, years, territories, kinds of value. One job for all datasets."""
-    keyed = star.observations.select("dataset_row_id", "value_type")
+    # counts by series and kind before the join, then by every distinct column: no group is larger than its combinations
+    keyed = star.observations.groupBy("dataset_row_id", "value_type").agg(F.count("*").alias("_n"))
     rows = Star(star.metadata, star.series.select("id", "dataset_id", "year", "territory_code"), keyed)
-    # partial counts by every distinct column first: no group is larger than its distinct combinations
     cells = (
         rows.series_observations()
         .groupBy("dataset_id", "year", "territory_code", "value_type")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_n").alias("_n"))
     )
     return cells.groupBy("dataset_id").agg(
         F.sum("_n").alias("record_count"),

@@ -62,7 +62,7 @@ def audit_logs(
     for name, value in equals.items():
         if value is not None:
             rows = rows.where(F.col(name) == value)
-    return _with_details(limit_offset(rows, nulls_last("-timestamp", "-id"), limit, offset if limit else 0))
+    return _with_details(limit_offset(rows, ["-timestamp", "-id"], limit, offset if limit else 0))
 
 
 def audit_statistics(log: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def user_activity(
     log: DataFrame, user_id, start: datetime | None = None, end: datetime | None = None, limit: int = 50
 ) -> DataFrame:
     rows = between_times(log.where(F.col("user_id") == user_id), start, end)
-    newest = limit_offset(rows, nulls_last("-timestamp", "-id"), limit)
+    newest = limit_offset(rows, ["-timestamp", "-id"], limit)
     return newest.select("action", "resource_type", "resource_id", "success", "timestamp", "error_message")
 
 
@@ -112,7 +112,7 @@ def security_events(
     """Named actions or failures, newest first; the time bounds hold for both kinds."""
     wanted = F.col("action").isin(list(actions or SECURITY_ACTIONS)) | ~F.col("success")
     rows = between_times(log.where(wanted), start, end)
-    return _with_details(limit_offset(rows, nulls_last("-timestamp", "-id"), limit))
+    return _with_details(limit_offset(rows, ["-timestamp", "-id"], limit))
 
 
 def usage_analytics(
@@ -210,23 +210,43 @@ def limit_violations(counts: DataFrame, limit: Column) -> DataFrame:
     )
 
 
+# parts of a rolling window that are summed by tasks of their own
+SPANS = 60
+
+
 def rolling_request_count(requests: DataFrame, seconds: int = 3600, max_requests: int | None = None) -> DataFrame:
     """Requests of an identifier in the last ``seconds``, at each time it made one.
 
-    Equal times collapse first. Time is cut into spans of the window's length and
-    each row also enters the next span as history, so a task holds two spans of one
-    identifier, never its whole history. Exact to the microsecond.
+    Each time adds its requests to a running sum and takes them away again when the window has passed,
+    so a row is read once however many the window holds. Time is cut into ``SPANS`` parts of a window;
+    a part's sum starts from the totals of the parts before it, so a busy identifier is many tasks.
+    Exact to the microsecond.
     """
     size = seconds * 1_000_000
+    part = max(1, size // SPANS)
     per_time = requests.groupBy("identifier", "timestamp").agg(F.count("*").alias("_n"))
-    micros = per_time.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    span = F.floor(F.col("_us") / size)
-    placed = micros.withColumn(
-        "_p", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))))
-    ).select("identifier", "timestamp", "_us", "_n", F.col("_p.span").alias("_span"), F.col("_p.own").alias("_own"))
-    w = Window.partitionBy("identifier", "_span").orderBy("_us").rangeBetween(-(size - 1), 0)
-    counted = placed.withColumn("rolling_count", F.sum("_n").over(w)).where("_own")
-    out = counted.select("identifier", "timestamp", F.col("_n").alias("request_count"), "rolling_count")
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    change = F.explode(
+        F.array(
+            F.struct(at.alias("us"), F.col("_n").alias("by"), F.col("timestamp").alias("own")),
+            F.struct((at + size).alias("us"), (-F.col("_n")).alias("by"), F.lit(None).cast(requests.schema["timestamp"].dataType).alias("own")),
+        )
+    ).alias("c")
+    # a time that one request enters and another leaves is one row
+    steps = (
+        per_time.select("identifier", change)
+        .groupBy("identifier", F.floor(F.col("c.us") / part).alias("_part"), F.col("c.us").alias("_us"))
+        .agg(F.sum("c.by").alias("_by"), F.max("c.own").alias("timestamp"), F.sum(F.greatest("c.by", F.lit(0))).alias("request_count"))
+    )
+    before = Window.partitionBy("identifier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = steps.groupBy("identifier", "_part").agg(F.sum("_by").alias("_total"))
+    starts = totals.select("identifier", "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    upto = Window.partitionBy("identifier", "_part").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.withColumn("_sum", F.sum("_by").over(upto)).where("timestamp IS NOT NULL").alias("s")
+    same = F.col("s.identifier").eqNullSafe(F.col("t.identifier")) & (F.col("s._part") == F.col("t._part"))
+    out = sums.join(starts.alias("t"), same).select(
+        "s.identifier", "timestamp", "request_count", (F.col("_start") + F.col("_sum")).alias("rolling_count")
+    )
     return out if max_requests is None else out.withColumn("allowed", F.col("rolling_count") <= max_requests)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statspine.operators.predicates import territories, year_range
 
@@ -52,6 +53,12 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
     sorted_rows.write.mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(path)
 
 
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A partitioned table whose rows have ``schema``; groups stay text, ``01`` is not the number 1."""
+    keys = [T.StructField("decade", T.IntegerType()), T.StructField("territory_group", T.StringType())]
+    return spark.read.schema(T.StructType([*(f for f in schema if f.name not in PARTITION_COLUMNS), *keys])).parquet(path)
+
+
 def prune(
     df: DataFrame, start_year: int | None = None, end_year: int | None = None, codes: list[str] | None = None
 ) -> DataFrame:

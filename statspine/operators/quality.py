@@ -120,8 +120,8 @@ def dataset_quality_score(datasets: DataFrame) -> DataFrame:
     lost = F.when(none, 50.0).otherwise(0.0) + F.when(small, 10.0).otherwise(0.0)
     messages = F.array_compact(
         F.array(
-            F.when(none, "No observations found in dataset"),
-            F.when(small, "Dataset appears to be very small"),
+            F.when(none, "no_observations"),
+            F.when(small, "small_payload"),
         )
     )
     return datasets.withColumns(

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statspine.functions.columns import nulls_last
 from statspine.session import scratch_dir
 
+# copies of a row that one task writes out at a time
 COPY_CHUNK = 100_000
 
 
@@ -64,29 +66,21 @@ def global_rank(df: DataFrame, by: str, name: str = "rank") -> DataFrame:
 def global_row_number(df: DataFrame, order_by: list[str], name: str = "Id") -> DataFrame:
     """ROW_NUMBER() OVER (ORDER BY order_by, remaining columns), numbered from 1.
 
-    All columns take part in the order, so the numbering is the same in every run;
-    identical rows are counted first and written out again in chunks, so a large group
-    of copies is spread over tasks. Columns must be sortable (no maps).
+    All columns take part in the order, so the numbering is the same in every run; maps do
+    as arrays of their entries. Identical rows are counted first; a group of copies is cut into
+    chunks before the ranges are, so a large one spreads over ranges, and written out again after.
     """
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    rows = df.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps}) if maps else df
     named = {c.lstrip("-") for c in order_by}
-    order = order_by + [c for c in df.columns if c not in named]
-    ranged = cut_into_ranges(df.groupBy(*df.columns).agg(F.count("*").alias("_n")), order)
-    started = running_start(ranged, order, "_n")
-    first = F.lit(0).cast("long")
-    out = started.where(f"_n <= {COPY_CHUNK}").withColumn("_copy", F.explode(F.sequence(first, F.col("_n") - 1)))
-    if ranged.where(f"_n > {COPY_CHUNK}").limit(1).count():
-        # a row with very many copies is cut into chunks that move to other tasks before they are written out
-        chunks = F.explode(F.sequence(first, F.col("_n") - 1, F.lit(COPY_CHUNK).cast("long")))
-        last = F.least(F.col("_chunk") + COPY_CHUNK, F.col("_n")) - 1
-        many = (
-            started.where(f"_n > {COPY_CHUNK}")
-            .withColumn("_chunk", chunks)
-            .repartition("_chunk", "start")
-            .withColumn("_copy", F.explode(F.sequence(F.col("_chunk"), last)))
-            .drop("_chunk")
-        )
-        out = out.unionByName(many)
-    return out.select((F.col("start") + F.col("_copy") + 1).cast("long").alias(name), *df.columns)
+    order = [*order_by, *(c for c in df.columns if c not in named), "_chunk"]
+    first, size = F.lit(0).cast("long"), F.lit(COPY_CHUNK).cast("long")
+    chunks = F.explode(F.sequence(first, F.col("_n") - 1, size)).alias("_chunk")
+    counted = rows.groupBy(*df.columns).agg(F.count("*").alias("_n")).select(*df.columns, "_n", chunks)
+    ranged = cut_into_ranges(counted.withColumn("_n", F.least(F.col("_n") - F.col("_chunk"), size)), order)
+    out = running_start(ranged, order, "_n").withColumn("_copy", F.explode(F.sequence(first, F.col("_n") - 1)))
+    own = [F.map_from_entries(c).alias(c) if c in maps else F.col(c) for c in df.columns]
+    return out.select((F.col("start") + F.col("_copy") + 1).cast("long").alias(name), *own)
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order_by: list[Column], k: int, name: str = "row_number") -> DataFrame:
@@ -95,61 +89,30 @@ def top_k_per_group(df: DataFrame, keys: list[str], order_by: list[Column], k: i
     return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
 
 
-def grouped_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median_value", accuracy: int = 10_000
-) -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
     """Exact interpolated median per group, also for groups too large for one task.
 
-    A quantile sketch (bounded, merged before the shuffle) gives for every group a
-    bracket that holds the middle ranks. One more pass counts the rows below the
-    bracket and the distinct values inside it: about 1 / 2000 of a group's values.
-    The ranks are checked against those counts and the job stops if they fall
-    outside, so the result is never approximate.
-
-    The brackets are written to the shared scratch folder: as a table their size is
-    known, so the rows meet them in a broadcast join where they are few, and in a
-    shuffled one where they are not.
+    Equal values of a group are counted first, then all groups are cut into ranges together:
+    a large group is many ranges, and no group's values are held in memory.
     """
-    v = F.col(value).cast("double")
-    margin = 2.0 / accuracy + 1e-9
-    rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL")
-    bracket = (
-        rows.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_b"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-        )
-        .select(
-            *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)],
-            "_n",
-            # a small group's bracket is its whole range
-            F.when(F.col("_n") <= accuracy, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-            F.when(F.col("_n") <= accuracy, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
-        )
-    )
-    path = scratch_dir(df.sparkSession, "brackets")
-    bracket.write.parquet(path)
-    bracket = df.sparkSession.read.schema(bracket.schema).parquet(path)
-    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    counted = (
-        rows.join(bracket, on)
-        .where("_v <= _hi")
-        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_w"))
-        .agg(F.count("*").alias("_c"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    return ranged_median(cut_into_ranges(counted, [*keys, "_v"]), keys, [*keys, "_v"], "_v", "_n", name)
+
+
+def ranged_median(ranged: DataFrame, keys: list[str], order: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """Median per group of values that stand ``weight`` times each, from ranges in the order of keys and value."""
+    started = running_start(ranged, order, weight)
+    groups = started.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(
+        F.min("start").alias("_base"), F.sum(weight).alias("_total")
     )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    holds = lambda r: (F.col("_cum") >= r) & (F.col("_cum") - F.col("_c") < r)
-    picked = ranked.groupBy(*keys).agg(
-        F.max(F.when(holds(low), F.col("_w"))).alias("_m1"),
-        F.max(F.when(holds(high), F.col("_w"))).alias("_m2"),
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    placed = started.join(groups, on).withColumn("_at", F.col("start") - F.col("_base"))
+    holds = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col(weight))
+    middle = [F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)]
+    picked = placed.where(holds(middle[0]) | holds(middle[1])).groupBy(*keys).agg(
+        *[F.max(F.when(holds(m), F.col(value).cast("double"))).alias(f"_m{i}") for i, m in enumerate(middle)]
     )
-    outside = F.raise_error(F.lit("median rank outside its bracket; raise accuracy"))
-    middle = (F.col("_m1") + F.col("_m2")) / 2
-    return picked.select(*keys, F.when(middle.isNull(), outside.cast("double")).otherwise(middle).alias(name))
+    return picked.select(*keys, ((F.col("_m0") + F.col("_m1")) / 2).alias(name))

@@ -11,7 +11,6 @@ from statspine.functions.columns import contains_ci, let, nulls_last, ratio
 from statspine.operators.aggregates import limit_offset
 
 DEFAULT_CATEGORY, DEFAULT_PRIORITY = "altro", 1
-MAX_RULES = 10_000
 HIGH_PRIORITY = 7
 
 # fixed values: default categorisation rules (rule id, category, priority, keywords)
@@ -86,7 +85,7 @@ def list_datasets(
         rows = rows.where(F.col("category") == category)
     if active_only:
         rows = rows.where("is_active")
-    return limit_offset(rows, nulls_last("-priority", "name", "dataset_id"), limit, offset if limit else 0)
+    return limit_offset(rows, ["-priority", "name", "dataset_id"], limit, offset if limit else 0)
 
 
 def categories(registry: DataFrame) -> DataFrame:
@@ -151,19 +150,27 @@ UPSERT_COLUMNS = (
 def upsert_partial(
     stored: DataFrame, incoming: DataFrame, key: str = "dataset_id", overwrite: tuple[str, ...] = UPSERT_COLUMNS
 ) -> DataFrame:
-    """Insert new keys; for a stored key overwrite only the named columns (also with NULL)."""
-    s, i = stored.alias("s"), incoming.alias("i")
-    joined = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full")
-    is_new, is_kept = F.col(f"s.{key}").isNull(), F.col(f"i.{key}").isNull()
+    """Insert new keys; for a stored key overwrite only the named columns (also with NULL).
+
+    Incoming rows of one key take effect as if applied one after another: by ``updated_at`` where there is one,
+    then by all other columns in their order, NULL first. The last sets the overwritten columns, the first of a
+    new key the others.
+    """
+    rest = [c for c in incoming.columns if c != key]
+    row = F.struct(*sorted(rest, key=lambda c: c != "updated_at"))
+    i = incoming.groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    joined = stored.join(i, F.col(key) == F.col("_key"), "full")
+    is_new, is_kept = F.col(key).isNull(), F.col("_key").isNull()
 
     def pick(name: str) -> Column:
-        old = F.col(f"s.{name}")
-        new = F.col(f"i.{name}") if name in incoming.columns else F.lit(None)
+        old = F.col(name)
         if name == key:
-            return F.coalesce(old, new).alias(name)
-        if name in overwrite and name in incoming.columns:
-            return F.when(is_kept, old).otherwise(new).alias(name)
-        return F.when(is_new, new).otherwise(old).alias(name)
+            return F.coalesce(old, F.col("_key")).alias(name)
+        if name not in rest:
+            return F.when(is_new, F.lit(None)).otherwise(old).alias(name)
+        if name in overwrite:
+            return F.when(is_kept, old).otherwise(F.col(f"_last.{name}")).alias(name)
+        return F.when(is_new, F.col(f"_first.{name}")).otherwise(old).alias(name)
 
     return joined.select(*[pick(c) for c in stored.columns])
 
@@ -178,9 +185,15 @@ def with_insert_defaults(rows: DataFrame) -> DataFrame:
 
 
 def update_stats(registry: DataFrame, changes: DataFrame, as_of: datetime, key: str = "dataset_id") -> DataFrame:
-    """Apply a change set (record_count, quality_score, last_updated); NULL leaves a field as it is."""
+    """Apply a change set (record_count, quality_score, last_updated); NULL leaves a field as it is.
+
+    Several changes of one key take effect one after another, by last_updated (NULL first), then record_count,
+    then quality_score: each field gets its last value.
+    """
     fields = [c for c in ("record_count", "quality_score", "last_updated") if c in changes.columns]
-    renamed = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in fields])
+    order = F.struct(*sorted(fields, key=lambda c: c != "last_updated"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in fields]
+    renamed = changes.groupBy(F.col(key).alias("_key")).agg(*last)
     joined = registry.join(renamed, F.col(key) == F.col("_key"), "left")
     changed = F.lit(False)
     for c in fields:
@@ -248,17 +261,10 @@ def categorise(datasets: DataFrame, rules: DataFrame, text_columns: list[str]) -
 
     The highest-priority active rule with a keyword in the text wins; score is the
     number of its keywords found; no hit gives the default category. The rule list
-    is configuration, read once and placed in the plan as one array value; a list of
-    more than ``MAX_RULES`` is refused.
+    is configuration, read once and placed in the plan as one array value.
     """
     rule = F.struct((-F.col("priority")).alias("o"), "created_at", "rule_id", "category", "keywords")
-    too_many = F.raise_error(F.lit(f"more than {MAX_RULES} active rules"))
-    ordered = (
-        rules.where("is_active")
-        .limit(MAX_RULES + 1)
-        .agg(F.count("*").alias("n"), F.sort_array(F.collect_list(rule)).alias("rules"))
-        .select(F.when(F.col("n") <= MAX_RULES, F.col("rules")).otherwise(too_many.cast("void")).alias("rules"))
-    )
+    ordered = rules.where("is_active").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in text_columns]))
 
     def best(t: Column) -> Column:
@@ -295,10 +301,8 @@ def validate_dataset_ids(df: DataFrame, column: str = "dataset_id") -> DataFrame
         .when(c.rlike(r"[_-]{2}"), "consecutive_separators")
         .otherwise("valid")
     )
-    s = F.regexp_replace(F.col(column), r"[^A-Za-z0-9_\s-]", "_")
-    s = F.regexp_replace(s, r"\s+", "_")
-    s = F.regexp_replace(s, r"[_-]+", "_")
-    s = F.regexp_replace(s, r"^[_-]+|[_-]+$", "")
+    # every run of characters other than letters and digits is one separator; none at the ends
+    s = F.array_join(F.regexp_extract_all(F.col(column), F.lit("[A-Za-z0-9]+"), F.lit(0)), "_")
     return df.withColumns({"problem": problem, "suggestion": F.when(F.length(s) >= 3, F.upper(s))})
 
 

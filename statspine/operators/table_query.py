@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from statspine.functions.columns import contains_ci, nulls_last
+from statspine.functions.columns import contains_ci
+from statspine.operators.aggregates import limit_offset
 from statspine.operators.analytics import dataset_time_series
 from statspine.operators.ranking import global_row_number
 
@@ -39,14 +39,14 @@ def filter_rows(df: DataFrame, conditions: list[tuple[str, str, str]]) -> DataFr
 
 def order_rows(df: DataFrame, order: str | None) -> DataFrame:
     """``"Field"``, ``"Field asc"`` or ``"Field desc"``; the other columns break ties."""
-    if not order:
-        return df
+    return limit_offset(df, [_sort_name(df, order)]) if order else df
+
+
+def _sort_name(df: DataFrame, order: str) -> str:
     field, *direction = order.split()
     if field not in df.columns:
         raise ValueError(f"unknown field: {field}")
-    desc = bool(direction) and direction[0].lower() == "desc"
-    ties = [f.name for f in df.schema if f.name != field and not isinstance(f.dataType, T.MapType)]
-    return df.orderBy(*nulls_last(f"-{field}" if desc else field, *ties))
+    return f"-{field}" if direction and direction[0].lower() == "desc" else field
 
 
 def query(
@@ -62,11 +62,10 @@ def query(
     rows = filter_rows(df, conditions or [])
     if not order and (skip or top):
         order = df.columns[0]
-    rows = order_rows(rows, order)
-    if skip:
-        rows = rows.offset(skip)
-    if top:
-        rows = rows.limit(top)
+    if skip or top:
+        rows = limit_offset(rows, [_sort_name(df, order)], top or None, skip)
+    else:
+        rows = order_rows(rows, order)
     if select:
         rows = rows.select(*[c for c in df.columns if c in {s.strip() for s in select}])
     return rows

@@ -243,6 +243,18 @@ def _(spark, d):
     return _exported(spark, d, "csv")
 
 
+@query("K1_export_csv_nested", f"SELECT dataset_id, record_id, obs_value, time_period, territory_code, measure_name FROM {S.RAW} r")
+def _(spark, d):
+    raw = S.raw_observations(spark, d)
+    path = scratch_dir(spark, "export-csv")
+    # an empty value and none are the same in CSV unless they are told apart by a text
+    K.export(raw.withColumn("obs_value", F.coalesce("obs_value", F.lit("none"))), path, "csv")
+    back = K.read_export(spark, path, "csv", raw.schema)
+    attributes = [F.col("additional_attributes")[c].alias(c) for c in ("territory_code", "measure_name")]
+    value = F.when(F.col("obs_value").isNull(), "").when(F.col("obs_value") != "none", F.col("obs_value")).alias("obs_value")
+    return back.select("dataset_id", "record_id", value, "time_period", *attributes)
+
+
 @query("K2_export_json", "SELECT * FROM events")
 def _(spark, d):
     return _exported(spark, d, "json", "events")
@@ -260,14 +272,12 @@ def _(spark, d):
     return _exported(spark, d, "parquet", "lineitem")
 
 
-@query("K4_export_chunked", "SELECT (SELECT COUNT(*) FROM lineitem) AS total_rows, true AS within_chunk, true AS has_chunks")
+@query("K4_export_chunked", "SELECT * FROM lineitem")
 def _(spark, d):
+    rows = S.table(spark, d, "lineitem")
     path = scratch_dir(spark, "export-chunked")
-    K.export_chunked(S.table(spark, d, "lineitem"), path, "csv", 1000)
-    files = K.validate_export(spark, path, "csv")
-    return files.agg(
-        F.sum("row_count").alias("total_rows"), (F.max("row_count") <= 1000).alias("within_chunk"), (F.count("*") > 1).alias("has_chunks")
-    )
+    K.export_chunked(rows, path, "csv")
+    return K.read_export(spark, path, "csv", rows.schema)
 
 
 @query("K5_export_empty", "SELECT f.format, (SELECT COUNT(*) FROM orders WHERE o_totalprice < 0) AS n FROM (VALUES ('csv'), ('json'), ('parquet')) f(format)")
@@ -296,6 +306,12 @@ def _(spark, d):
     return K.export_filters(S.raw_observations(spark, d), ["dataset_id", "time_period", "obs_value"], start=datetime(1999, 1, 1))
 
 
+@query("K6_export_limit", f"SELECT dataset_id, record_id, obs_value FROM {S.RAW} r ORDER BY dataset_id, record_id, ingestion_timestamp, obs_value, time_period LIMIT 100")
+def _(spark, d):
+    # the rows have a map among their columns
+    return K.export_filters(S.raw_observations(spark, d), limit=100).select("dataset_id", "record_id", "obs_value")
+
+
 @query("K7_export_estimate", f"""SELECT dataset_id, n AS row_count, round(n * 100 / (1024.0 * 1024.0), 2)::DOUBLE AS csv_mb, round(n * 150 / (1024.0 * 1024.0), 2)::DOUBLE AS json_mb,
   round(n * 50 / (1024.0 * 1024.0), 2)::DOUBLE AS parquet_mb, n > 50000 AS recommended_streaming, CASE WHEN n > 10000 THEN 'parquet' ELSE 'csv' END AS optimal_format,
   least(n / 10000.0::DOUBLE, 300.0::DOUBLE) AS estimated_seconds FROM (SELECT dataset_id, COUNT(*) AS n FROM {S.RAW} r GROUP BY dataset_id)""")
@@ -303,20 +319,58 @@ def _(spark, d):
     return K.export_estimate(S.raw_observations(spark, d))
 
 
-@query("K8_validate_export", "SELECT COUNT(*) AS total_rows, 1.0::DOUBLE AS valid_share, true AS passed FROM lineitem")
-def _(spark, d):
+def _checked(spark, d, fmt: str) -> DataFrame:
+    """A folder of good files, one without a required column and one without rows, checked file by file."""
     rows = S.raw_observations(spark, d).select(F.col("time_period").alias("TIME_PERIOD"), F.col("obs_value").alias("OBS_VALUE"))
     path = scratch_dir(spark, "export-checked")
-    K.export(rows, path, "parquet", chunk_rows=5000)
-    files = K.validate_export(spark, path, "parquet")
-    share = K.export_is_valid(files)
-    return files.agg(F.sum("row_count").alias("total_rows")).withColumns(
-        {"valid_share": share.select("valid_share").scalar(), "passed": share.select("passed").scalar()}
+    K.export(rows, f"{path}/good", fmt)
+    K.export(S.table(spark, d, "region").select(F.col("r_name").alias("other")).coalesce(1), f"{path}/other", fmt)
+    K.export(rows.where("false").coalesce(1), f"{path}/empty", fmt)
+    return K.validate_export(spark, path, fmt)
+
+
+def _check_counts(files: DataFrame) -> DataFrame:
+    return files.agg(
+        F.sum(F.when(F.col("is_valid"), F.col("row_count"))).alias("valid_rows"),
+        F.sum(F.when(~F.col("is_valid"), F.col("row_count"))).alias("other_rows"),
+        F.count_if(~F.col("is_valid")).alias("bad_files"),
     )
 
 
+CHECKED = "SELECT (SELECT COUNT(*) FROM lineitem) AS valid_rows, (SELECT COUNT(*) FROM region) AS other_rows"
+
+
+@query("K8_validate_export", f"{CHECKED}, 2 AS bad_files")
+def _(spark, d):
+    return _check_counts(_checked(spark, d, "parquet"))
+
+
+@query("K8_validate_export_csv", f"{CHECKED}, 2 AS bad_files")
+def _(spark, d):
+    return _check_counts(_checked(spark, d, "csv"))
+
+
+@query("K8_validate_export_json", "SELECT COUNT(*) AS valid_rows, true AS passed FROM orders")
+def _(spark, d):
+    # the metadata beside the records is no data file
+    path = scratch_dir(spark, "export-checked")
+    K.export(S.table(spark, d, "orders").select(F.col("o_totalprice").alias("OBS_VALUE")), path, "json", "orders", NOW)
+    files = K.validate_export(spark, path, "json")
+    return files.agg(F.sum(F.when(F.col("is_valid"), F.col("row_count"))).alias("valid_rows"), F.min(F.col("is_valid")).alias("passed"))
+
+
 @query("N2_write_partitioned", f"SELECT id, dataset_id, year, territory_code, CAST(year // 10 * 10 AS INTEGER) AS decade, substr(territory_code, 1, 2) AS territory_group FROM {S.SERIES} d WHERE year BETWEEN 1996 AND 1999 AND territory_code IN ('ITA0', 'EC2')")
 def _(spark, d):
     path = scratch_dir(spark, "partitioned")
-    N.write_partitioned(S.series(spark, d).select("id", "dataset_id", "year", "territory_code"), path)
-    return N.prune(spark.read.parquet(path), 1996, 1999, ["ITA0", "EC2"])
+    rows = S.series(spark, d).select("id", "dataset_id", "year", "territory_code")
+    N.write_partitioned(rows, path)
+    return N.prune(N.read_partitioned(spark, path, rows.schema), 1996, 1999, ["ITA0", "EC2"])
+
+
+@query("N2_write_partitioned_text_groups", "SELECT c_custkey AS id, printf('%02d', c_nationkey) AS territory_code, printf('%02d', c_nationkey) AS territory_group, 2020 AS decade FROM customer")
+def _(spark, d):
+    path = scratch_dir(spark, "partitioned")
+    code = F.format_string("%02d", "c_nationkey").alias("territory_code")
+    rows = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), code, F.lit(2021).alias("year"))
+    N.write_partitioned(rows, path)
+    return N.read_partitioned(spark, path, rows.schema).drop("year")

@@ -170,14 +170,15 @@ def _(spark, d):
 
 @query(
     "J3_right_full_join",
-    "SELECT 'right' AS kind, c.c_custkey AS left_key, s.s_suppkey AS right_key FROM (SELECT c_custkey FROM customer WHERE c_custkey >= 50) c "
-    "RIGHT JOIN supplier s ON c.c_custkey = s.s_suppkey UNION ALL "
-    "SELECT 'full', c.c_custkey, s.s_suppkey FROM (SELECT c_custkey FROM customer WHERE c_custkey >= 50) c "
-    "FULL JOIN supplier s ON c.c_custkey = s.s_suppkey",
+    # parts shipped, by number, against customers: both sides have keys that the other lacks
+    "SELECT 'right' AS kind, p.p_partkey AS left_key, c.o_custkey AS right_key FROM part p "
+    "RIGHT JOIN (SELECT DISTINCT o_custkey FROM orders) c ON p.p_partkey = c.o_custkey UNION ALL "
+    "SELECT 'full', p.p_partkey, c.o_custkey FROM part p "
+    "FULL JOIN (SELECT DISTINCT o_custkey FROM orders) c ON p.p_partkey = c.o_custkey",
 )
 def _(spark, d):
-    left = S.table(spark, d, "customer").where("c_custkey >= 50").select(F.col("c_custkey").alias("left_key"))
-    right = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("right_key"))
+    left = S.table(spark, d, "part").select(F.col("p_partkey").alias("left_key"))
+    right = S.table(spark, d, "orders").select(F.col("o_custkey").alias("right_key")).distinct()
     on = F.col("left_key") == F.col("right_key")
     kind = lambda how: left.join(right, on, how).select(F.lit(how).alias("kind"), "left_key", "right_key")
     return kind("right").unionByName(kind("full"))
@@ -451,13 +452,13 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = S.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return A.limit_offset(rows, nulls_last("-o_totalprice", "o_orderkey"), 25, 50)
+    return A.limit_offset(rows, ["-o_totalprice", "o_orderkey"], 25, 50)
 
 
 @query("L3_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def _(spark, d):
     rows = S.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return A.limit_offset(rows, nulls_last("-o_totalprice", "o_orderkey"), 10)
+    return A.limit_offset(rows, ["-o_totalprice", "o_orderkey"], 10)
 
 
 @query(

@@ -90,32 +90,41 @@ def _(spark, d):
     return M.upsert_latest(stored, _incoming(spark, d))
 
 
+# two rows for every key: the later name, by text, wins; the unit of a new key is that of its first row
+M6_INCOMING = f"""(SELECT dataset_id + 7 AS dataset_id, dataset_name || suffix AS dataset_name, 'altro' AS category, 1 AS priority, unit AS unit_of_measure
+  FROM {S.METADATA} m, (VALUES (' new', 'kg'), (' newer', 'g')) v(suffix, unit) WHERE dataset_id % 3 = 0)"""
+
+
 @query("M6_upsert_partial", f"""SELECT COALESCE(s.dataset_id, i.dataset_id) AS dataset_id, CASE WHEN i.dataset_id IS NULL THEN s.dataset_name ELSE i.dataset_name END AS dataset_name,
   CASE WHEN i.dataset_id IS NULL THEN s.category ELSE i.category END AS category, CASE WHEN i.dataset_id IS NULL THEN s.priority ELSE i.priority END AS priority,
   CASE WHEN s.dataset_id IS NULL THEN i.unit_of_measure ELSE s.unit_of_measure END AS unit_of_measure FROM {S.METADATA} s FULL JOIN
-  (SELECT dataset_id + 7 AS dataset_id, dataset_name || ' new' AS dataset_name, 'altro' AS category, 1 AS priority, 'kg' AS unit_of_measure FROM {S.METADATA} m WHERE dataset_id % 3 = 0) i
-  ON s.dataset_id = i.dataset_id""")
+  (SELECT dataset_id, MAX(dataset_name) AS dataset_name, MIN(category) AS category, MIN(priority) AS priority, arg_min(unit_of_measure, dataset_name) AS unit_of_measure
+   FROM {M6_INCOMING} GROUP BY dataset_id) i ON s.dataset_id = i.dataset_id""")
 def _(spark, d):
     meta = S.metadata(spark, d).select("dataset_id", "dataset_name", "category", "priority", "unit_of_measure")
-    incoming = meta.where("dataset_id % 3 = 0").select(
-        (F.col("dataset_id") + 7).alias("dataset_id"),
-        F.concat("dataset_name", F.lit(" new")).alias("dataset_name"),
-        F.lit("kg").alias("unit_of_measure"),
-    )
+    twice = F.explode(F.array(*[F.struct(F.lit(s).alias("suffix"), F.lit(u).alias("unit")) for s, u in ((" new", "kg"), (" newer", "g"))]))
+    incoming = meta.where("dataset_id % 3 = 0").select((F.col("dataset_id") + 7).alias("dataset_id"), "dataset_name", twice.alias("v"))
+    incoming = incoming.select("dataset_id", F.concat("dataset_name", "v.suffix").alias("dataset_name"), F.col("v.unit").alias("unit_of_measure"))
     return M.upsert_partial(meta, M.with_insert_defaults(incoming))
 
 
-@query("M7_update_stats", f"""SELECT r.dataset_id, COALESCE(c.n, r.record_count) AS record_count, COALESCE(c.q, r.quality_score) AS quality_score,
-  CASE WHEN c.n IS NOT NULL OR c.q IS NOT NULL THEN {AS_OF_SQL} ELSE r.updated_at END AS updated_at FROM {S.REGISTRY} r LEFT JOIN
-  (SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN COUNT(*) END AS n, CASE WHEN o_custkey % 3 = 0 THEN CAST(o_custkey % 100 AS DOUBLE) END AS q FROM orders GROUP BY o_custkey) c
+# a change for every order, in order of its date: each field ends with its last value that is not NULL
+M7_CHANGES = """SELECT o_custkey, o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS n, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 100 AS DOUBLE) END AS q FROM orders"""
+
+
+@query("M7_update_stats", f"""SELECT r.dataset_id, COALESCE(c.n, r.record_count) AS record_count, COALESCE(c.q, r.quality_score) AS quality_score, COALESCE(c.u, r.last_updated) AS last_updated,
+  CASE WHEN c.u IS NOT NULL THEN {AS_OF_SQL} ELSE r.updated_at END AS updated_at FROM {S.REGISTRY} r LEFT JOIN
+  (SELECT o_custkey, MAX(o_orderdate) AS u, arg_max(n, struct_pack(a := o_orderdate, b := COALESCE(n, -1), c := COALESCE(q, -1))) FILTER (n IS NOT NULL) AS n,
+   arg_max(q, struct_pack(a := o_orderdate, b := COALESCE(n, -1), c := COALESCE(q, -1))) FILTER (q IS NOT NULL) AS q FROM ({M7_CHANGES}) GROUP BY o_custkey) c
   ON r.dataset_id = c.o_custkey""")
 def _(spark, d):
-    registry = S.registry(spark, d).select("dataset_id", "record_count", "quality_score", "updated_at")
-    counted = S.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("dataset_id")).agg(F.count("*").alias("n"))
-    changes = counted.select(
-        "dataset_id",
-        F.when(F.col("dataset_id") % 2 == 0, F.col("n")).alias("record_count"),
-        F.when(F.col("dataset_id") % 3 == 0, (F.col("dataset_id") % 100).cast("double")).alias("quality_score"),
+    registry = S.registry(spark, d).select("dataset_id", "record_count", "quality_score", "last_updated", "updated_at")
+    key = F.col("o_orderkey")
+    changes = S.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("dataset_id"),
+        F.when(key % 2 == 0, key).alias("record_count"),
+        F.when(key % 3 == 0, (key % 100).cast("double")).alias("quality_score"),
+        F.col("o_orderdate").alias("last_updated"),
     )
     return M.update_stats(registry, changes, AS_OF)
 
@@ -467,7 +476,7 @@ def _(spark, d):
 
 @query("Q7_dataset_quality_score", """SELECT dataset_id, CASE WHEN n = 0 THEN 50.0 ELSE 100.0 END::DOUBLE - CASE WHEN size < 1000 THEN 10.0 ELSE 0.0 END::DOUBLE AS quality_score,
   CASE WHEN n = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS completeness, 100.0::DOUBLE AS consistency,
-  list_filter([CASE WHEN n = 0 THEN 'No observations found in dataset' END, CASE WHEN size < 1000 THEN 'Dataset appears to be very small' END], lambda m: m IS NOT NULL) AS validation_errors
+  list_filter([CASE WHEN n = 0 THEN 'no_observations' END, CASE WHEN size < 1000 THEN 'small_payload' END], lambda m: m IS NOT NULL) AS validation_errors
   FROM (SELECT c_custkey AS dataset_id, COUNT(o_orderkey) AS n, COUNT(o_orderkey) * 120 AS size FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND year(o_orderdate) = 1996 GROUP BY c_custkey)""")
 def _(spark, d):
     counts = S.table(spark, d, "orders").where(F.year("o_orderdate") == 1996).groupBy("o_custkey").agg(F.count("*").alias("n"))

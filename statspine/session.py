@@ -31,12 +31,16 @@ def get_session(app: str = "statspine", master: str | None = None, conf: dict[st
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the shared folder named by ``spark.checkpoint.dir``.
+    """A new folder name under the shared folder named by ``spark.checkpoint.dir``, or under the checkpoint
+    folder that the session was given.
 
-    A machine-local folder is used only where the setting is absent, that is in
-    local tests.
+    Without either, a local master writes to a temporary folder; on a cluster that would be a
+    folder of each machine's own, so it is an error there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="statspine-")
     return f"{root.rstrip('/')}/statspine/{purpose}-{uuid.uuid4().hex}"

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statspine.functions.columns import nulls_last
-
 FORMATS = ("csv", "json", "parquet")
-CHUNK_ROWS = 10_000
 # fixed values: bytes per row, advice limits, seconds cap
 BYTES_PER_ROW = {"csv": 100, "json": 150, "parquet": 50}
 CHUNKED_ABOVE, PARQUET_ABOVE, MAX_SECONDS, ROWS_PER_SECOND = 50_000, 10_000, 300, 10_000
@@ -59,20 +57,28 @@ def export_filters(
         if end:
             rows = rows.where(F.col(name) <= F.lit(end).cast(dtype))
     if limit and limit > 0:
-        rows = rows.orderBy(*nulls_last(*rows.columns)).limit(limit)
+        # maps take part in the order as arrays of their entries
+        order = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema]
+        rows = rows.orderBy(*[c.asc_nulls_last() for c in order]).limit(limit)
     return rows
 
 
+def _nested(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+
+
 def export(
     df: DataFrame, path: str, fmt: str, dataset_id: str | None = None, exported_at: datetime | None = None, chunk_rows: int = 0
 ) -> None:
-    """Write one folder. CSV has a header, Parquet is snappy, JSON gets a metadata row
-    next to its records. ``chunk_rows`` bounds the rows of a file. Zero rows leave a
+    """Write one folder. CSV has a header, and its maps, arrays and structs are JSON text; Parquet is snappy,
+    JSON gets a metadata row next to its records. ``chunk_rows`` bounds the rows of a file. Zero rows leave a
     folder that still carries the columns where the format can."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}; use one of {FORMATS}")
     counted = Observation()
     rows = df.observe(counted, F.count("*").alias("total_records")) if fmt == "json" else df
+    if fmt == "csv":
+        rows = rows.withColumns({c: F.to_json(c) for c in _nested(df.schema)})
     writer = rows.write.mode("overwrite")
     if chunk_rows:
         writer = writer.option("maxRecordsPerFile", chunk_rows)
@@ -89,15 +95,19 @@ def export(
         ).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def export_chunked(df: DataFrame, path: str, fmt: str, chunk_rows: int = CHUNK_ROWS, **meta) -> None:
-    """The files of the folder are the chunks."""
-    export(df, path, fmt, chunk_rows=chunk_rows, **meta)
+def export_chunked(df: DataFrame, path: str, fmt: str, chunk_rows: int | None = None, **meta) -> None:
+    """The files of the folder are the chunks: of the size that partitions have after a shuffle
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), or of ``chunk_rows`` at most where a caller asks for rows."""
+    export(df.hint("rebalance") if chunk_rows is None else df, path, fmt, chunk_rows=chunk_rows or 0, **meta)
 
 
 def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
     """Read an export back with its known schema."""
     if fmt == "csv":
-        return spark.read.options(header=True, **TIME_FORMATS).schema(schema).csv(path)
+        nested = _nested(schema)
+        flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in nested else f.dataType) for f in schema])
+        rows = spark.read.options(header=True, **TIME_FORMATS).schema(flat).csv(path)
+        return rows.withColumns({c: F.from_json(c, schema[c].dataType) for c in nested})
     return spark.read.options(**TIME_FORMATS).schema(schema).format(fmt).load(f"{path}/data" if fmt == "json" else path)
 
 
@@ -119,26 +129,44 @@ def export_estimate(df: DataFrame, key: str = "dataset_id") -> DataFrame:
     )
 
 
-def validate_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None) -> DataFrame:
-    """Per file: bytes, rows and whether it is valid (rows, and a required column)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+def validate_export(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """Per file: bytes, rows and whether it is valid: it has rows, and a required column.
+
+    A CSV file has the columns of its own first line; a Parquet or JSON file those in which any of its rows has a
+    value. The metadata of a JSON export is no data file.
+    """
+    data = f"{path}/data" if fmt == "json" and _exists(spark, f"{path}/data") else path
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data).select("path", "length")
     reader = spark.read.option("recursiveFileLookup", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    rows = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-    has_columns = any(c in rows.columns for c in REQUIRED_COLUMNS)
-    counts = rows.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_rows"))
+    file = F.col("_metadata.file_path").alias("_path")
+    if fmt == "csv":
+        # the first line of a file is where its first split starts
+        lines = reader.text(data).select(file, F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"), "value")
+        names = F.transform(F.split("_head", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+        counts = lines.groupBy("_path").agg((F.count("*") - 1).alias("_rows"), F.min_by("value", F.struct("b", "n")).alias("_head"))
+        counts = counts.select("_path", "_rows", F.arrays_overlap(names, F.array(*map(F.lit, REQUIRED_COLUMNS))).alias("_has"))
+    else:
+        rows = (reader.option("mergeSchema", True) if fmt == "parquet" else reader).format(fmt).load(data)
+        found = [F.count(c) > 0 for c in REQUIRED_COLUMNS if c in rows.columns]
+        has = reduce(lambda a, b: a | b, found, F.lit(False))
+        counts = rows.groupBy(file).agg(F.count("*").alias("_rows"), has.alias("_has"))
     # the two sources write the scheme of a path differently
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
     joined = files.join(counts, plain("path") == plain("_path"), "left")
+    n = F.greatest(F.coalesce("_rows", F.lit(0)), F.lit(0))
     return joined.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("length").alias("bytes"),
-        F.coalesce("_rows", F.lit(0)).alias("row_count"),
-        ((F.coalesce("_rows", F.lit(0)) > 0) & F.lit(has_columns)).alias("is_valid"),
+        n.alias("row_count"),
+        ((n > 0) & F.coalesce("_has", F.lit(False))).alias("is_valid"),
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def export_is_valid(checked: DataFrame) -> DataFrame:
     """Share of valid files and whether it reaches the limit."""
     share = F.coalesce(F.try_divide(F.count_if("is_valid").cast("double"), F.count("*")), F.lit(0.0))

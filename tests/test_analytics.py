@@ -152,14 +152,37 @@ def test_pages(spark, monkeypatch):
     near = A.page(df, ["v"], 4, 30).collect()
     assert [r.v for r in near] == [91, 92, 93, 94, 95] and not near[0].has_next and near[0].total_count == 95
     # a page beyond the limit is cut out of the numbering and gives the same rows
-    monkeypatch.setattr(A, "DEEP_PAGE_ROWS", 10)
+    monkeypatch.setattr(A, "NEAR_ROWS", 10)
     deep = A.page(df, ["-v"], 2, 30).collect()
     assert sorted(r.v for r in deep) == list(range(36, 66)) and deep[0].has_next
     for number, size in ((0, 10), (1, 0), (1, 1001)):
         with pytest.raises(ValueError):
             A.page(df, ["v"], number, size)
     with pytest.raises(ValueError):
-        A.limit_offset(df, [F.col("v")], -1)
+        A.limit_offset(df, ["v"], -1)
+
+
+def test_tied_rows_are_on_one_page(spark, monkeypatch):
+    df = spark.range(90).select((F.col("id") % 3).alias("v"), F.col("id").alias("k"))
+    near = [r.k for n in range(1, 10) for r in A.page(df, ["-v"], n, 10).collect()]
+    monkeypatch.setattr(A, "NEAR_ROWS", 35)  # ties on both sides of the change of plan
+    deep = [r.k for n in range(1, 10) for r in A.page(df, ["-v"], n, 10).collect()]
+    assert near == deep and sorted(near) == list(range(90))
+
+
+def test_slice_without_an_end_keeps_maps_and_order(spark):
+    df = spark.range(50).select((50 - F.col("id")).alias("v"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    rest = A.limit_offset(df, ["v"], None, 45).collect()
+    assert [(r.v, r.m) for r in rest] == [(v, {"a": 50 - v}) for v in range(46, 51)]
+
+
+def test_joined_values_are_a_code_list(spark, monkeypatch):
+    df = spark.range(20).select(F.lit(1).alias("k"), F.col("id").cast("string").alias("v"))
+    monkeypatch.setattr(A, "MAX_CODES", 20)
+    assert A.joined_values(df, ["k"], "v", "t").first().t.count(",") == 19
+    monkeypatch.setattr(A, "MAX_CODES", 19)
+    with pytest.raises(ValueError):
+        A.joined_values(df, ["k"], "v", "t")
 
 
 def test_canonical_tables(spark):

@@ -235,6 +235,20 @@ def test_export_estimate(spark):
     assert (got["small"].recommended_streaming, got["small"].optimal_format) == (False, "csv")
 
 
+def test_csv_keeps_nested_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, {"a": "x,y", "b": None}, [1, 2]), (2, None, None)], "id long, m map<string,string>, l array<int>")
+    K.export(df, str(tmp_path / "nested"), "csv")
+    back = {r.id: (r.m, r.l) for r in K.read_export(spark, str(tmp_path / "nested"), "csv", df.schema).collect()}
+    assert back[1][0]["a"] == "x,y" and back[1][1] == [1, 2] and back[2] == (None, None)
+    assert [r.id for r in K.export_filters(df, limit=1).collect()] == [1]
+
+
+def test_chunks_of_rows(spark, tmp_path):
+    K.export_chunked(spark.range(2500).select(F.col("id").alias("OBS_VALUE")), str(tmp_path / "chunks"), "csv", 100)
+    files = K.validate_export(spark, str(tmp_path / "chunks"), "csv").collect()
+    assert sum(f.row_count for f in files) == 2500 and max(f.row_count for f in files) == 100
+
+
 def test_validate_export(spark, tmp_path):
     path = str(tmp_path / "checked")
     spark.createDataFrame([("2020", "1")], "TIME_PERIOD string, OBS_VALUE string").write.csv(path, header=True)

@@ -51,6 +51,43 @@ def test_upsert_partial_keeps_other_columns(spark):
     assert got == [("A", "a2", None, "kg"), ("B", "b", "y", "m"), ("C", "c", "z", "l")]
 
 
+def test_repeated_keys_of_a_change_set(spark, registry):
+    schema = "dataset_id string, dataset_name string, category string, unit_of_measure string, updated_at timestamp"
+    at = lambda day: datetime(2024, 1, day)
+    stored = spark.createDataFrame([("A", "a", "x", "kg", at(1))], schema)
+    incoming = [("A", "a3", "y", "cm", at(3)), ("A", "a2", None, "l", at(2)), ("N", "n2", "q", "m", at(5)), ("N", "n1", "p", "t", at(4)), ("N", "n1", "p", "t", at(4))]
+    got = sorted(tuple(r)[:4] for r in M.upsert_partial(stored, spark.createDataFrame(incoming, schema)).collect())
+    assert got == [("A", "a3", "y", "kg"), ("N", "n2", "q", "t")]
+    changes = spark.createDataFrame([("OLD", 5, at(2)), ("OLD", None, at(3)), ("OLD", 4, at(1))], "dataset_id string, record_count long, last_updated timestamp")
+    table = registry.withColumns({"last_updated": F.col("updated_at"), "record_count": F.lit(1).cast("long")})
+    stats = M.update_stats(table, changes, datetime(2024, 6, 1))
+    assert stats.count() == registry.count()
+    assert [(r.record_count, r.last_updated) for r in stats.where("dataset_id = 'OLD'").collect()] == [(5, at(3))]
+
+
+def test_rolling_count_of_one_busy_identifier(spark):
+    rows = [("hot", datetime(2024, 1, 1) + timedelta(seconds=i // 3)) for i in range(6000)] + [("cold", datetime(2024, 1, 1))] * 2
+    df = spark.createDataFrame(rows, "identifier string, timestamp timestamp")
+    out = G.rolling_request_count(df, 600)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan
+    got = {(r.identifier, r.timestamp): (r.request_count, r.rolling_count) for r in out.collect()}
+    for s in (0, 1, 599, 600, 601, 1999):
+        assert got["hot", datetime(2024, 1, 1) + timedelta(seconds=s)] == (3, 3 * min(s + 1, 600))
+    assert got["cold", datetime(2024, 1, 1)] == (2, 2) and len(got) == 2001
+
+
+def test_many_rules(spark):
+    rules = spark.range(10_050).select(
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("category"),
+        F.array(F.concat(F.lit("key"), F.col("id").cast("string"), F.lit("."))).alias("keywords"), F.lit(1).alias("priority"),
+        F.lit(True).alias("is_active"), F.lit(datetime(2024, 1, 1)).alias("created_at"),
+    )
+    df = spark.createDataFrame([("x key10049. y",), ("nothing",)], "name string")
+    got = {r.name: r.category for r in M.categorise(df, rules, ["name"]).collect()}
+    assert got == {"x key10049. y": "c10049", "nothing": M.DEFAULT_CATEGORY}
+
+
 def test_update_delete_retain(spark, registry):
     as_of = datetime(2024, 6, 1)
     changes = spark.createDataFrame([("OLD", 5), ("DCCN_PIL", None)], "dataset_id string, record_count long")
