@@ -32,8 +32,9 @@ WHOLE_SQL = f"(l_orderkey % {FILES_SQL}) % 4 <> 3"
 def write_sdmx(spark: SparkSession, sf_dir: str) -> str:
     """Line items as SDMX files, one per dataset; returns the folder.
 
-    Line 7 has an empty value, line 6 none, line 5 carries plain attributes, line 4 of
-    flag N a timestamp as its period; dataset 1 gives its periods without an id.
+    Line 7 has an empty value, line 6 none, line 5 carries plain attributes and, of even orders, closes itself; line 4
+    of flag N has a timestamp as its period; dataset 1 gives its periods without an id, dataset 2 has observations
+    without a prefix, dataset 0 with another one. One more file has no observation.
     """
     path = scratch_dir(spark, "sdmx")
     orders = S.table(spark, sf_dir, "orders").count()
@@ -60,9 +61,13 @@ def write_sdmx(spark: SparkSession, sf_dir: str) -> str:
     nested = F.concat(F.lit("<generic:Obs>"), dimension, value, status, F.lit("</generic:Obs>"))
     plain = F.concat(
         F.lit("<generic:Obs TIME_PERIOD='"), period, F.lit("' OBS_VALUE=\""), F.col("v"), F.lit('" note="'),
-        F.col("l_returnflag"), F.lit(' &amp; more"></generic:Obs>'),
+        F.col("l_returnflag"), F.when(F.col("a") % 2 == 0, ' &amp; more"/>').otherwise(' &amp; more"></generic:Obs>'),
     )
-    obs = lines.select("_d", "a", "b", F.when(F.col("b") == 5, plain).otherwise(nested).alias("t"))
+    text = F.when(F.col("b") == 5, plain).otherwise(nested)
+    for number_, prefix in ((2, ""), (0, "gen:")):
+        renamed = F.regexp_replace(text, r"(</?)generic:Obs(?=[\s>])", f"$1{prefix}Obs")
+        text = F.when(F.col("_d") == number_, renamed).otherwise(text)
+    obs = lines.select("_d", "a", "b", text.alias("t"))
     series = lines.select("_d", "a").distinct()
     opened = series.select("_d", "a", F.lit(-1).alias("b"), F.concat(F.lit('<generic:Series>\n<generic:SeriesKey><generic:Value id="ORDER" value="'), F.col("a").cast("string"), F.lit('"/></generic:SeriesKey>')).alias("t"))
     closed = series.select("_d", "a", F.lit(1_000_000).alias("b"), F.lit("</generic:Series>").alias("t"))
@@ -78,6 +83,8 @@ def write_sdmx(spark: SparkSession, sf_dir: str) -> str:
         .write.partitionBy("dataset_id")
         .text(path)
     )
+    none = spark.range(1).select(F.lit("DS_NONE").alias("dataset_id"), F.lit(HEADER + FOOTER).alias("value"))
+    none.write.mode("append").partitionBy("dataset_id").text(path)
     return path
 
 
@@ -107,6 +114,12 @@ def _(spark, d):
     )
 
 
+@query("I1_files_without_observations", "SELECT 'DS_NONE' AS dataset_id, (SELECT COUNT(*) FROM orders) > 0 AS looked")
+def _(spark, d):
+    index = X.file_index(X.read_fragments(spark, write_sdmx(spark, d)))
+    return X.files_without_observations(index).select("dataset_id", F.lit(True).alias("looked"))
+
+
 @query("I2_clean_observations", f"""SELECT record_id, CASE WHEN obs_value = '' OR (length(obs_value) > 15 AND (contains(obs_value, 'T') OR regexp_matches(obs_value, '-.*-'))) THEN NULL ELSE obs_value END AS obs_value,
   CASE WHEN time_period IS NULL OR (length(time_period) > 15 AND (contains(time_period, 'T') OR regexp_matches(time_period, '-.*-'))) THEN '' ELSE time_period END AS time_period
   FROM (SELECT record_id, CASE WHEN record_id % 50 = 1 THEN '2024-01-01 00:00:00' ELSE obs_value END AS obs_value, time_period FROM {S.RAW} r)""")
@@ -122,7 +135,7 @@ def _(spark, d):
   UNION ALL SELECT 'obs_obs_value', {VALUE} FROM l WHERE l_linenumber = 5 UNION ALL SELECT 'obs_note', l_returnflag || ' & more' FROM l WHERE l_linenumber = 5)
   SELECT key, COUNT(*) AS n, COUNT(DISTINCT value) AS distinct_values FROM kv GROUP BY key""")
 def _(spark, d):
-    parsed = X.parse_observations(X.read_fragments(spark, write_sdmx(spark, d)))
+    parsed = X.parse_observations(X.elements(X.read_fragments(spark, write_sdmx(spark, d))))
     # explode() would push a test of the map below the parse and run it twice
     pairs = parsed.select(F.explode_outer("additional_attributes"))
     return pairs.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"))
@@ -131,8 +144,9 @@ def _(spark, d):
 @query("I4_quarantine_malformed", f"""SELECT DISTINCT {DATASET_SQL} AS dataset_id, 'not well-formed: unbalanced tags' AS parse_error, TIMESTAMP '2024-01-20' AS ingestion_timestamp,
   true AS has_sample FROM lineitem WHERE NOT ({WHOLE_SQL})""")
 def _(spark, d):
-    rows = X.quarantine(X.file_index(X.read_fragments(spark, write_sdmx(spark, d))), NOW)
-    sample = F.col("raw_data_sample").startswith("<?xml") & (F.length("raw_data_sample") <= 500)
+    fragments = X.read_fragments(spark, write_sdmx(spark, d))
+    rows = X.quarantine(fragments, X.file_index(fragments), NOW)
+    sample = F.col("raw_data_sample").startswith(HEADER) & (F.length("raw_data_sample") == 500)
     stamp = F.col("ingestion_timestamp").cast("timestamp_ntz").alias("ingestion_timestamp")
     return rows.select("dataset_id", "parse_error", stamp, sample.alias("has_sample"))
 
@@ -140,7 +154,7 @@ def _(spark, d):
 @query("I5_dataset_overrides", f"""SELECT {DATASET_SQL} AS dataset_id, CASE WHEN l_linenumber = 5 THEN {VALUE} WHEN l_linenumber IN (6, 7) THEN NULL ELSE {VALUE} END AS obs_value,
   CASE WHEN {STRAY} OR (l_orderkey % {FILES_SQL} = 1 AND l_linenumber IN (6, 7)) THEN '' ELSE {PERIOD} END AS time_period FROM lineitem""")
 def _(spark, d):
-    parsed = X.parse_observations(X.read_fragments(spark, write_sdmx(spark, d)), overrides=("DS_1",))
+    parsed = X.parse_observations(X.elements(X.read_fragments(spark, write_sdmx(spark, d))), overrides=("DS_1",))
     return X.clean_observations(parsed).select("dataset_id", "obs_value", "time_period")
 
 
@@ -190,7 +204,7 @@ def _(spark, d):
     return I.batch_totals(_report(spark, d))
 
 
-@query("I9_dataflow_catalogue", "SELECT 'DF_' || CAST(c_custkey AS VARCHAR) AS id, 'Flusso ' || c_name AS name, 'IT1' AS agency, CASE WHEN c_custkey % 2 = 0 THEN '1.1' ELSE '1.0' END AS version FROM customer")
+@query("I9_dataflow_catalogue", "SELECT 'DF_' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'DF_' || CAST(c_custkey AS VARCHAR) ELSE 'Flusso ' || c_name END AS name, 'IT1' AS agency, CASE WHEN c_custkey % 2 = 0 THEN '1.1' ELSE '1.0' END AS version FROM customer")
 def _(spark, d):
     path = scratch_dir(spark, "catalogue")
     key = F.col("c_custkey").cast("string")
@@ -200,7 +214,11 @@ def _(spark, d):
         F.lit('><common:Name xml:lang="it">Flusso '), F.col("c_name"), F.lit('</common:Name><common:Name xml:lang="en">Flow '),
         F.col("c_name"), F.lit("</common:Name></str:Dataflow>"),
     )
-    S.table(spark, d, "customer").select(flow.alias("value")).write.text(path)
+    # every third entry closes itself, every fifth has another prefix
+    alone = F.concat(F.regexp_replace(flow, "><common.*$", ""), F.lit("/>"))
+    text = F.when(F.col("c_custkey") % 3 == 0, alone).otherwise(flow)
+    text = F.when(F.col("c_custkey") % 5 == 0, F.regexp_replace(text, "str:Dataflow", "s:Dataflow")).otherwise(text)
+    S.table(spark, d, "customer").select(text.alias("value")).write.text(path)
     return X.parse_dataflow_catalogue(spark, path)
 
 
