@@ -10,9 +10,10 @@ Equal token sets are one class before the join. Within a list of classes that sh
 and the next earlier one first; only classes that neither of them removes meet the rest of the list. So a large group of
 near copies costs two pairs for each of its members.
 
-A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null first), then a smaller line number;
-rows that share an id but not the text come in the order they are read. Words are the parts of a lower-cased line
-between single spaces. Lines of fewer than ``WORDS`` words always stay.
+A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
+document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
+place, so that one long number names and orders it. Words are the parts of a lower-cased line between single spaces.
+Lines of fewer than ``WORDS`` words always stay.
 
 Defined results: null texts stay null; empty texts stay empty; a document that loses all lines becomes an empty text and
 keeps its row; rows with the same id and text count as one document, and each copy gets the same cleaned text; an empty
@@ -27,11 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statspine.llm.common import small_enough, written
+from statspine.operators.ranking import global_row_number
 
 WORDS = 5
 SIMILARITY = 0.8
 #: rows of the table of token counts, whatever the corpus
 BUCKETS = 1 << 12
+#: bits of a line's number that are its place in the document; the others number documents
+PLACE_BITS = 27
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -43,7 +47,7 @@ def lines(text: Column) -> Column:
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def shingle(w: Column, at: Column) -> Column:
@@ -55,11 +59,11 @@ def bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
 
-def long_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line, w) of lines with enough words."""
+def long_lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, line, w) of lines with enough words."""
     # lines become words before they become rows: a filter on the rows would else split every line twice
     split = F.transform(lines(F.col("text")), words)
-    return docs.select("doc_id", document_key().alias("key"), F.posexplode(split).alias("line", "w")).where(F.size("w") >= WORDS)
+    return docs.select(*keep, F.posexplode(split).alias("line", "w")).where(F.size("w") >= WORDS)
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -90,12 +94,18 @@ def prefix_length(n: Column, similarity: float) -> Column:
     return (n - F.ceil(n * round(similarity * 1000) / F.lit(1000)) + 1).cast("int")
 
 
-def possible(similarity: float) -> Column:
-    """Length and positional filter of two postings x (earlier) and y, positions counted from 0."""
+#: a posting's set size and position in one number
+def packed(size: Column, pos: Column) -> Column:
+    return F.shiftleft(size.cast("long"), 32).bitwiseOR(pos.cast("long"))
+
+
+def possible(x: str, y: str, similarity: float) -> Column:
+    """Length and positional filter of two packed columns, positions counted from 0."""
     t = round(similarity * 1000)
-    x, y = F.col("x.size"), F.col("y.size")
-    room = F.least(x - F.col("x.pos"), y - F.col("y.pos"))
-    return (x * 1000 >= y * t) & (y * 1000 >= x * t) & (room >= overlap(x, y, similarity))
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    low = F.lit((1 << 32) - 1)
+    room = F.least(n - F.col(x).bitwiseAND(low), m - F.col(y).bitwiseAND(low))
+    return (n * 1000 >= m * t) & (m * 1000 >= n * t) & (room >= overlap(n, m, similarity))
 
 
 def _guarded(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -103,66 +113,74 @@ def _guarded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df.count(), row_bytes) else df
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(n, key): documents numbered in their order; rows with the same id and text are one."""
+    keys = docs.where("text IS NOT NULL").select("doc_id", document_key().alias("key")).distinct()
+    return written(global_row_number(keys, ["doc_id", "key"], "n").select("n", "key"), "line-documents")
+
+
+def line_number(n: Column, line: Column) -> Column:
+    far = F.raise_error(F.lit(f"a document has more than 2^{PLACE_BITS} lines")).cast("long")
+    return F.when(line < (1 << PLACE_BITS), F.shiftleft(n, PLACE_BITS).bitwiseOR(line.cast("long"))).otherwise(far)
+
+
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, key, line) of the lines that an earlier line matches."""
-    ranks = rarity(docs)
-    tokens = long_lines(docs).select("doc_id", "key", "line", token_set(F.col("w"), ranks).alias("tokens"))
+    """(key, lines): the lines that an earlier line matches, by document."""
+    ranks, order = rarity(docs), numbered(docs)
+    keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 24), "key")
+    tokens = long_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("w"), ranks).alias("tokens"))
     each = written(
         tokens.select(
-            F.monotonically_increasing_id().alias("id"), "doc_id", "key", "line", F.size("tokens").alias("size"),
-            F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), F.reverse("tokens")).alias("h2"),
+            "id", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"),
             F.slice("tokens", F.lit(1), prefix_length(F.size("tokens"), similarity)).alias("prefix"),
         ),
         "lines",
     )
     # equal token sets: all but the first line of a class are copies
-    slim = each.select("id", "h1", "h2", F.struct("doc_id", "key", "line").alias("place"))
-    first = slim.groupBy("h1", "h2").agg(F.min(F.struct("place", "id")).alias("first"))
-    copies = written(
-        slim.join(first, ["h1", "h2"]).where("id <> first.id").select("id", "place", "first"), "line-copies"
-    )
+    first = each.groupBy("h1", "h2").agg(F.min("id").alias("first"))
+    copies = written(each.select("id", "h1", "h2").join(first, ["h1", "h2"]).where("id <> first").select("id", "first").distinct(), "line-copies")
     classes = each.join(_guarded(copies.select("id"), 16), "id", "left_anti")
-    gone = _later_classes(docs, ranks, classes, similarity)
-    near = each.join(_guarded(gone, 16), "id", "left_semi").select("doc_id", "key", "line")
-    # a copy goes unless it is the first line itself, read once more; or if its class goes
-    exact = copies.join(gone.select(F.col("id").alias("gone")), F.col("first.id") == F.col("gone"), "left")
-    exact = exact.where((F.col("place") != F.col("first.place")) | F.col("gone").isNotNull())
-    return near.union(exact.select("place.*"))
+    near = _later_classes(docs, order, ranks, classes, similarity)
+    # a copy has an earlier line that equals it
+    gone = near.union(copies.select("id")).distinct()
+    line = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    listed = gone.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_set(line).alias("lines"))
+    return written(listed.join(order, "n").select("key", "lines"), "line-removals")
 
 
-def _later_classes(docs: DataFrame, ranks: Column, classes: DataFrame, similarity: float) -> DataFrame:
+def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float) -> DataFrame:
     """(id) of the classes whose first line an earlier line matches."""
-    posting = classes.select("doc_id", "id", "size", F.posexplode("prefix").alias("pos", "token"))
-    posting = posting.select("token", F.struct("doc_id", "id").alias("at"), F.struct("id", "size", "pos").alias("y"))
-    order = Window.partitionBy("token").orderBy("at")
+    posting = classes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
+    posting = posting.select("token", "id", packed(F.col("size"), F.col("pos")).alias("y"))
+    by = Window.partitionBy("token").orderBy("id")
     lists = posting.select(
-        "token", "at", "y", F.first("y").over(order).alias("first"), F.lag("y").over(order).alias("last"),
-        F.lead("at").over(order).isNotNull().alias("more"), F.row_number().over(order).alias("n"),
+        "token", "id", "y", F.first("id").over(by).alias("first"), F.first("y").over(by).alias("first_x"),
+        F.lag("id").over(by).alias("last"), F.lag("y").over(by).alias("last_x"), F.lead("id").over(by).isNotNull().alias("more"),
     )
     lists = written(lists.where(F.col("last").isNotNull() | F.col("more")), "line-lists")
-    two = lists.where("n > 1").select("y", F.explode(F.array_distinct(F.array("first", "last"))).alias("x"))
-    tried = written(
-        two.where(possible(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct(), "line-pairs"
-    )
-    gone = written(_verified(docs, ranks, classes, tried, similarity), "line-gone")
+    one = lists.where("last IS NOT NULL").select(F.col("first").alias("x"), F.col("id").alias("y"), F.col("first_x").alias("x_at"), F.col("y").alias("y_at"))
+    two = lists.where("last > first").select(F.col("last").alias("x"), F.col("id").alias("y"), F.col("last_x").alias("x_at"), F.col("y").alias("y_at"))
+    tried = one.union(two).where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
+    tried = written(tried, "line-pairs")
+    gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
     # the others meet the rest of their lists
-    open_ = lists.where("n > 2").join(gone.select(F.col("id").alias("gone")), F.col("y.id") == F.col("gone"), "left_anti")
-    x = lists.select("token", F.col("at").alias("x_at"), F.col("y").alias("x"))
-    rest = open_.drop("first", "last").join(x, "token").where((F.col("x_at") < F.col("at")) & possible(similarity))
-    rest = rest.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    more = _verified(docs, ranks, classes, written(rest, "line-pairs"), similarity)
-    return written(gone.union(more), "line-gone")
+    open_ = lists.where("last > first").join(gone.withColumnRenamed("id", "gone"), F.col("id") == F.col("gone"), "left_anti")
+    x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"))
+    rest = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at")).join(x, "token")
+    rest = rest.where((F.col("x") < F.col("y_id")) & possible("x_at", "y_at", similarity)).select("x", F.col("y_id").alias("y")).distinct()
+    rest = written(rest.join(tried, ["x", "y"], "left_anti"), "line-pairs")
+    return written(gone.union(_verified(docs, order, ranks, rest, similarity)), "line-gone")
 
 
-def _verified(docs: DataFrame, ranks: Column, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float) -> DataFrame:
     """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
     t = round(similarity * 1000)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    places = written(classes.join(wanted, "id").select("id", F.col("key").alias("k"), F.col("line").alias("l")), "line-places")
-    at = (F.col("key") == F.col("k")) & (F.col("line") == F.col("l"))
-    found = long_lines(docs).select("key", "line", "w").join(_guarded(places, 40), at)
-    # a place read twice has the same tokens twice
-    sets = written(found.select("id", token_set(F.col("w"), ranks).alias("tokens")).dropDuplicates(["id"]), "line-tokens")
+    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-wanted")
+    # only documents with a wanted line are taken apart again
+    whose = written(wanted.select(F.shiftright("id", PLACE_BITS).alias("n")).distinct().join(order, "n").select("n", "key"), "line-whose")
+    keyed = docs.select("text", document_key().alias("key")).join(_guarded(whose, 24), "key")
+    found = long_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), "w").join(_guarded(wanted, 16), "id")
+    sets = written(found.select("id", token_set(F.col("w"), ranks).alias("tokens")), "line-tokens")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     same = shared * (1000 + t) >= (F.size("a") + F.size("b")) * t
@@ -171,8 +189,7 @@ def _verified(docs: DataFrame, ranks: Column, classes: DataFrame, pairs: DataFra
 
 def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; n_lines and n_removed replace columns of these names."""
-    gone = removals(docs, similarity).groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    gone = written(gone, "line-removals")
+    gone = removals(docs, similarity).select(F.col("key").alias("_key"), F.col("lines").alias("_gone"))
     size = gone.agg(F.coalesce(F.sum(F.size("_gone") * 8 + 40), F.lit(0))).first()[0]
     small = small_enough(size, 1)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("whole"), document_key().alias("_key"))

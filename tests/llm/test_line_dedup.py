@@ -15,7 +15,7 @@ def grams(line):
 def brute(rows):
     """Cleaned texts by every pair, for rows (id, text) with distinct ids."""
     lines = [(d, k, grams(v)) for d, t in rows if t is not None for k, v in enumerate(t.split("\n"))]
-    lines = sorted((x for x in lines if x[2]), key=lambda x: (x[0] is not None, x[0], x[1]))
+    lines = sorted((x for x in lines if x[2]), key=lambda x: (x[0] is None, x[0], x[1]))
     gone = set()
     for i, (d, k, own) in enumerate(lines):
         for _, _, other in lines[:i]:
@@ -58,8 +58,8 @@ def test_edges(spark):
     out = line_dedup.clean(docs)
     assert out.columns == ["doc_id", "text", "key", "n_lines", "n_removed"]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
-    assert got[None] == ("THE SAME  five words here\nand a line that is its own", 2, 0)
-    assert got[1] == ("short", 3, 2) and got[3] == ("", 1, 1)
+    assert got[None] == ("and a line that is its own", 2, 1)
+    assert got[1] == (one + "\nshort", 3, 1) and got[3] == ("", 1, 1)
     assert got[2] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == ("short\nshort", 2, 0)
     assert got[6] == (long, 1, 0) and got[7] == ("last", 2, 1) and got[8] == ("a b c d\ne f", 2, 0)
 
