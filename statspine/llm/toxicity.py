@@ -35,8 +35,9 @@ from statspine.llm.common import logistic, training_rows, written
 
 #: labelled rows that the lexicon and the weights are learnt from, at most
 SAMPLE = 20_000
-#: a learnt entry stands in so many toxic training texts at least, and in so few others for each of them
-LEAST, SHARE = 5, 0.02
+#: a learnt entry stands in so many different toxic training texts at least and in such a share of them, and in
+#: so few others for each of them; a word that only the copies of one text hold is no entry
+LEAST, SUPPORT, SHARE = 5, 0.02, 0.02
 #: letters of a word's beginning that may form an entry
 STEMS = (4, 5, 6)
 #: entries that are learnt, at most, those in most toxic texts first
@@ -183,7 +184,7 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Lexicon and weights from at most ``sample`` labelled training rows."""
-    rows = written(training_rows(docs, labels, "toxic", sample), "toxic-training")
+    rows = written(training_rows(docs, labels, "toxic", sample).dropDuplicates(["text", "label"]), "toxic-training")
     words = base_words()
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     clean = n - toxic
@@ -191,13 +192,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
         return Grammar(words)
     # in how many texts of either kind a word or a beginning of words stands
     counts = rows.mapInArrow(_form_counts, "form string, t long, c long").groupBy("form").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counts.where((F.col("t") >= LEAST) & (F.col("c") * toxic <= F.col("t") * SHARE * clean))
+    kept = counts.where((F.col("t") >= max(LEAST, SUPPORT * toxic)) & (F.col("c") * toxic <= F.col("t") * SHARE * clean))
     stems: dict[str, float] = {}
     learnt: dict[str, tuple[int, float]] = {}
     for r in kept.orderBy(F.desc("t"), "form").limit(ENTRIES).collect():
         weight = min(2.0, 0.25 * math.log(((r["t"] + 0.5) / toxic) / ((r["c"] + 0.5) / clean)))
         if r["form"].endswith("*"):
-            stems[r["form"][:-1]] = weight
+            # the beginning of a word that is an entry itself says nothing new
+            if not any(w.startswith(r["form"][:-1]) for w in words):
+                stems[r["form"][:-1]] = weight
         elif words.get(r["form"], (INSULT,))[0] in (INSULT, THREAT):
             learnt[r["form"]] = (INSULT, weight)
     # an entry that a shorter beginning already covers says nothing new
