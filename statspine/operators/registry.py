@@ -140,7 +140,7 @@ def upsert_latest(stored: DataFrame, incoming: DataFrame, key: str = "dataset_id
     return newest.select(*[F.col(c) if c == key else F.col(f"r.{c}") for c in stored.columns])
 
 
-# columns a conflicting insert overwrites; the others keep their stored value
+# fixed values: columns a conflicting insert overwrites; the others keep their stored value
 UPSERT_COLUMNS = (
     "dataset_name", "category", "priority", "description", "completeness_score", "data_quality_score",
     "processing_status", "updated_at",
