@@ -4,12 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from statspine.operators import ranking as R
+from statspine.plans import load
 from statspine.plans import standin as S
 from tests.conftest import SF_DIR
 
-QUERIES = entry.queries()
+QUERIES = load().QUERIES
 
 
 def plan(df):

@@ -7,12 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from statspine.plans import load
 from tests.conftest import SF_DIR
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# those of the training-data operators have tests of their own
+QUERIES, SQL = load().QUERIES, load().SQL
 
 
 @pytest.fixture(scope="module")
