@@ -27,7 +27,7 @@ from statspine.llm.common import components, whole_groups, written
 THRESHOLD = 0.98
 #: length of the lists, orders they begin with, places to either side in an order
 LIST, ORDERS, REACH = 10, 6, 12
-#: members of either kind that a vector joins in a round, as in the published method
+#: members of either kind that a vector joins in a round, for lists of ``LIST``; more as lists get longer
 JOINED = 5
 #: rounds at most between two audits, audits at most, growth of the links below which rounds end
 ROUNDS, AUDITS, GROWTH = 6, 4, 0.002
@@ -120,21 +120,30 @@ def shortened(offers: DataFrame, length: int) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= length)
 
 
-def local_join(pts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
-    """(u, v, cos) offers: members that meet at a vector, if one of them is new there and u's list has worse or fewer."""
+def joined(length: int) -> int:
+    return max(JOINED, JOINED * length // LIST)
+
+
+def drawn(lists: DataFrame, length: int, turn: int) -> DataFrame:
+    """(at, id, new): the members that meet at each vector in this turn; every turn draws others."""
     both = lists.select(F.col("u").alias("at"), F.col("v").alias("id"), "new").union(
         lists.select(F.col("v").alias("at"), F.col("u").alias("id"), "new")
     )
     both = both.groupBy("at", "id").agg(F.max("new").alias("new"))
     # a sample by hash of what is new and what is not; in parts first, so that a vector which many list is many tasks
-    draw = F.xxhash64("at", "id")
+    draw, most = F.xxhash64("at", "id", F.lit(turn)), joined(length)
     parted = both.withColumn("part", F.pmod(F.col("id"), F.lit(16)))
-    some = parted.withColumn("r", F.row_number().over(Window.partitionBy("at", "new", "part").orderBy(draw))).where(F.col("r") <= JOINED)
-    few = some.withColumn("r", F.row_number().over(Window.partitionBy("at", "new").orderBy(draw))).where(F.col("r") <= 2 * JOINED)
+    some = parted.withColumn("r", F.row_number().over(Window.partitionBy("at", "new", "part").orderBy(draw, "id"))).where(F.col("r") <= most)
+    few = some.withColumn("r", F.row_number().over(Window.partitionBy("at", "new").orderBy(draw, "id"))).where(F.col("r") <= 2 * most)
+    return few.select("at", "id", "new")
+
+
+def local_join(pts: DataFrame, lists: DataFrame, few: DataFrame, length: int) -> DataFrame:
+    """(u, v, cos) offers: members that meet at a vector, if one of them is new there and u's list has worse or fewer."""
     lows = lists.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n"), F.min("cos").alias("low"))
     low = F.when(F.col("n") >= length, F.col("low")).otherwise(-2.0).alias("low")
     member = pts.select("id", "v").join(lows, "id", "left").select("id", "v", low)
-    meeting = few.select("at", "id", "new").join(member, "id").repartition("at").sortWithinPartitions("at", "id")
+    meeting = few.join(member, "id").repartition("at").sortWithinPartitions("at", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["at"]):
@@ -157,6 +166,12 @@ def local_join(pts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
     return meeting.mapInArrow(meet, "u long, v long, cos double")
 
 
+def after_join(lists: DataFrame, few: DataFrame) -> DataFrame:
+    """(u, v, cos, new) of ``lists``: an entry that was drawn at its own vector is no longer new."""
+    met = few.select(F.col("at").alias("u"), F.col("id").alias("v"), F.lit(True).alias("met"))
+    return lists.join(met, ["u", "v"], "left").select("u", "v", "cos", (F.col("new") & F.col("met").isNull()).alias("new"))
+
+
 def truth(pts: DataFrame, threshold: float, sample: int = AUDITED, block: int = 4096) -> DataFrame:
     """(u, v): links of sampled points by brute force; the sample is fixed in size and meets all points in blocks."""
     asked = pts.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("id", "label", "size", "v").collect()
@@ -190,9 +205,10 @@ def search(pts: DataFrame, threshold: float = THRESHOLD, length: int = LIST) ->
     recall = 1.0
     for audit in range(AUDITS):
         held = -1
-        for _ in range(ROUNDS):
-            offers = local_join(pts, lists, length).withColumn("new", F.lit(True))
-            lists = written(shortened(lists.select("u", "v", "cos", F.lit(False).alias("new")).union(offers), length), "lists")
+        for turn in range(ROUNDS):
+            few = written(drawn(lists, length, audit * ROUNDS + turn), "drawn")
+            offers = local_join(pts, lists, few, length).withColumn("new", F.lit(True))
+            lists = written(shortened(after_join(lists, few).union(offers), length), "lists")
             now = lists.where(F.col("cos") >= threshold).count()
             if held >= 0 and now - held <= GROWTH * now:
                 break

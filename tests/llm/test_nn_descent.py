@@ -84,3 +84,11 @@ def test_empty(spark):
     assert out.count() == 0 and recall == 1.0
 
 
+def test_every_turn_draws_other_members_and_longer_lists_draw_more(spark):
+    lists = spark.createDataFrame([(0, i, 0.5, True) for i in range(1, 201)], "u long, v long, cos double, new boolean")
+    at = lambda length, turn: {r.id for r in N.drawn(lists, length, turn).where("at = 0").collect()}
+    first = at(N.LIST, 0)
+    assert len(first) == 2 * N.JOINED and at(N.LIST, 1) != first
+    assert len(at(4 * N.LIST, 0)) == 8 * N.JOINED
+    kept = N.after_join(lists, N.drawn(lists, N.LIST, 0)).collect()
+    assert {r.v for r in kept if not r.new} == first and len(kept) == 200
