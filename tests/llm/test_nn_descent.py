@@ -84,6 +84,50 @@ def test_empty(spark):
     assert out.count() == 0 and recall == 1.0
 
 
+
+
+def by_id(rows):
+    return sorted(((r.vec_id, r.n_links, r.component_id) for r in rows), key=str)
+
+
+def test_groups_that_fail_their_audit_are_compared_as_a_whole(spark, monkeypatch):
+    """A search that sees next to nothing: links are rare, so that an audit by hash alone meets none."""
+    for name, value in (("LIST", 2), ("ORDERS", 1), ("REACH", 1), ("JOINED", 1), ("ROUNDS", 1), ("AUDITS", 2), ("BLOCK", 64), ("AUDITED", 10)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    vectors = list(rng.normal(size=(500, 24)))
+    for centre in rng.normal(size=(12, 24)):
+        vectors += [centre + rng.normal(size=24) * 0.09 for _ in range(3)]
+    rows = [(i, v.astype(np.float32).tolist(), i % 2, "x") for i, v in enumerate(vectors)]
+    expected = brute(rows)
+    assert any(e[1] for e in expected)
+    assert by_id(N.near_duplicates(spark.createDataFrame(rows, SCHEMA))[0].collect()) == expected
+
+
+def test_audit_asks_every_label_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(N, "AUDITED", 8)
+    own = spark.createDataFrame([(g, g * 1000 + i, 1000) for g in range(3) for i in range(1000)], "gid long, id long, many long")
+    lists = spark.createDataFrame([(g * 1000 + i, -1, 0.97 if i < 10 else 0.3) for g in range(3) for i in range(1000)], "u long, v long, cos double")
+    got = [r.id for r in N.asked(own, lists, 0.98).collect()]
+    for g in range(3):
+        assert {g * 1000 + i for i in range(10)} <= set(got) and 30 < sum(x // 1000 == g for x in got) < 130
+    sizes = []
+    for n in (10_000, 40_000):
+        many = spark.range(n).selectExpr("0L AS gid", "id", f"{n}L AS many")
+        sizes.append(N.asked(many, lists.limit(0), 0.98).count())
+    assert 1.5 < sizes[1] / sizes[0] < 2.5
+
+
+def test_few_links_met_do_not_settle_a_group(spark):
+    """One link between 3000 vectors: no sample can tell, so every vector is compared."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(3000, 32)).astype(np.float32)
+    vectors[2999] = vectors[0] + rng.normal(size=32).astype(np.float32) * 0.1
+    own = N.points(spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(vectors)], SCHEMA))
+    lists, recall, failed = N.search(own)
+    assert failed.count() == 3000 and lists.count() == 0
+
+
 def test_every_turn_draws_other_members_and_longer_lists_draw_more(spark):
     lists = spark.createDataFrame([(0, i, 0.5, True) for i in range(1, 201)], "u long, v long, cos double, new boolean")
     at = lambda length, turn: {r.id for r in N.drawn(lists, length, turn).where("at = 0").collect()}
