@@ -6,8 +6,10 @@ n - need + 1 tokens; those are looked up in an index. Further filters ask for en
 left in both orders from the first shared token on. Blocks that pass are verified on the sets.
 
 A block is a line; a longer one than ``BLOCK`` words is cut into windows of ``BLOCK`` words that overlap by half, so
-that every passage of up to half a window lies in one block. Beside the join, phrases are counted where their words stand
-consecutively in the whole text.
+that every passage of up to half a window lies in one block. Notices that are wrapped over lines are found in passages:
+windows of the same kind over the words of the whole text, line ends being white space, twice as long as the longest
+template if that is more than ``BLOCK``. Beside the join, phrases are counted where their words stand consecutively in the
+whole text.
 
 Templates are configuration, a few hundred tokens that every task holds. Defined results: null texts are empty; a text
 without words has no labels and score 0; repeated rows give repeated results; an empty table gives an empty table (all
@@ -78,6 +80,7 @@ class Index:
         self.templates = [(label, sorted(set(plain(t).split()), key=self.order)) for label, t in templates.items()]
         self.need = [math.ceil(round(containment * 1000) * len(ts) / 1000) for _, ts in self.templates]
         self.tokens = frozenset(w for _, ts in self.templates for w in ts)
+        self.window = max(BLOCK, 2 * max((len(plain(t).split()) for t in templates.values()), default=0))
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for i, (_, ts) in enumerate(self.templates):
             for at, w in enumerate(ts[: len(ts) - self.need[i] + 1]):
@@ -105,11 +108,16 @@ def blocks(text: bytes, size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     start = 0
     for line in text.split(b"\n"):
         words = line.split()
-        for at in range(0, max(1, len(words) - size // 2), size // 2):
-            yield start + at, words[at : at + size]
+        yield from windows(words, size, start)
         start += len(words)
 
 
+def windows(words: list[bytes], size: int, start: int = 0) -> Iterator[tuple[int, list[bytes]]]:
+    """Windows of ``size`` words that overlap by half, with their places from ``start`` on."""
+    for at in range(0, max(1, len(words) - size // 2), size // 2):
+        yield start + at, words[at : at + size]
+
+
 def places(words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     """Starts, in words, of each phrase."""
     joined = b" " + b" ".join(words) + b" "
@@ -121,8 +129,17 @@ def places(words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     return found
 
 
+def matched(index: Index, cut: Iterator[tuple[int, list[bytes]]]) -> list[dict]:
+    """What the blocks of ``cut`` meet."""
+    found = []
+    for start, own in cut:
+        if not index.prefix.keys().isdisjoint(own):
+            found += [{"label": k, "start": start, "length": len(own), "containment": c} for k, c in index.matches(own)]
+    return found
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, n_words, phrase places (phrase, start), blocks (label, start, length, containment) of every row."""
+    """doc_id, n_words, phrase places (phrase, start), blocks and passages (label, start, length, containment) of every row."""
     counts = token_counts(docs, templates)
     kind = dict(docs.dtypes)["doc_id"]
     place = pa.list_(pa.struct([("phrase", pa.string()), ("start", pa.int64())]))
@@ -131,24 +148,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates, counts, containment)
         for batch in batches:
-            n, at, met = [], [], []
+            n, at, met, across = [], [], [], []
             for text in batch.column("text").to_pylist():
                 text = plain(text)
                 words = text.split()
                 n.append(len(words))
                 at.append([{"phrase": p, "start": s} for p, starts in places(words, phrases).items() for s in starts])
                 # a text without a prefix token has no block that meets a template
-                found = []
-                if not index.prefix.keys().isdisjoint(words):
-                    for start, own in blocks(text):
-                        if not index.prefix.keys().isdisjoint(own):
-                            found += [{"label": k, "start": start, "length": len(own), "containment": c} for k, c in index.matches(own)]
-                met.append(found)
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(at, place), pa.array(met, block)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "places", "blocks"])
+                any_ = not index.prefix.keys().isdisjoint(words)
+                met.append(matched(index, blocks(text)) if any_ else [])
+                across.append(matched(index, windows(words, index.window)) if any_ else [])
+            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(at, place), pa.array(met, block), pa.array(across, block)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "places", "blocks", "passages"])
 
     schema = (
         f"doc_id {kind}, n_words long, places array<struct<phrase: string, start: long>>, "
-        "blocks array<struct<label: string, start: long, length: long, containment: double>>"
+        "blocks array<struct<label: string, start: long, length: long, containment: double>>, "
+        "passages array<struct<label: string, start: long, length: long, containment: double>>"
     )
     return docs.select("doc_id", "text").mapInArrow(each, schema)

@@ -148,9 +148,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     of_phrase = F.create_map(*(F.lit(x) for pair in licenses.PHRASES.items() for x in pair))
     base = F.array_distinct(F.transform("places", lambda p: F.element_at(of_phrase, p.phrase)))
-    own = F.transform("blocks", lambda b: b.label)
+    met = F.concat("blocks", "passages")
+    own = F.transform(met, lambda b: b.label)
     starts = F.transform("places", lambda p: p.start)
-    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b.containment)), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.transform(met, lambda b: b.containment)), F.lit(0.0))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),

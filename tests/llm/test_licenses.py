@@ -73,3 +73,48 @@ def test_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, TEXT), (1, TEXT), (None, TEXT)], "doc_id long, text string")
     assert [len(r.blocks) for r in L.scan(docs).collect()] == [1, 1, 1]
     assert L.scan(docs.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "gpl-text": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at",
+}
+
+
+@pytest.mark.parametrize("lead", [0, 17, 40, 64, 100])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n * "])
+def test_wrapped_notices(spark, lead, end):
+    rows = [(i, "word " * lead + "\n" + t.replace("\n", end) + "\n" + "word\n" * 70) for i, t in enumerate(WRAPPED.values())]
+    got = scanned(spark, rows)
+    for i, label in enumerate(WRAPPED):
+        assert label in {b.label for b in got[i].passages} and not got[i].blocks
+
+
+def test_passages_are_every_window_of_the_text(spark):
+    rng = random.Random(3)
+    templates = L.TEMPLATES | {"long": " ".join(f"t{i}" for i in range(50))}
+    pool = [w for t in templates.values() for w in words(t)] + [f"x{i}" for i in range(20)]
+    rows = []
+    for i in range(60):
+        w = [x for _ in range(3) for x in words(rng.choice(list(templates.values()))) + rng.choices(pool, k=rng.choice([0, 5, 90]))]
+        rows.append((i, "".join(x + rng.choice(["\n", " ", " ", " "]) for x in w)))
+    got = scanned(spark, rows, templates=templates)
+    size = 100
+    for i, t in rows:
+        w, found = words(t), []
+        for at in range(0, max(1, len(w) - size // 2), size // 2):
+            for label, template in templates.items():
+                ts = set(words(template))
+                if len(ts & set(w[at : at + size])) >= math.ceil(800 * len(ts) / 1000):
+                    found.append((label, at))
+        assert sorted((b.label, b.start) for b in got[i].passages) == sorted(found)
+
+
+def test_query_takes_wrapped_notices(spark, tmp_path):
+    from statspine.llm import queries
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(WRAPPED.values())], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op10_license_scan"](spark, str(tmp_path)).collect()}
+    assert [got[i].labels for i in range(3)] == ["gpl,gpl-3.0,gpl-text", "bsd-text", "mpl-2.0"]
+    assert all(r.score >= 0.8 for r in got.values())
