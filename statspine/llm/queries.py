@@ -123,7 +123,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "_mix.pass", "_mix.block", "_mix.weight", "_mix.tokens")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "_mix.pass", "_mix.block", "_mix.weight", "_mix.tokens", "_mix.place")
 
 
 @query

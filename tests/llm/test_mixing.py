@@ -77,3 +77,32 @@ def test_repeated_rows(spark):
 
 def test_empty(spark):
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_every_pass_is_a_permutation_of_its_own(spark):
+    rows, docs = corpus(spark)
+    got = mixing.mixed(docs, repeats=2.6, block=100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs, repeats=2.6, block=100).collect()))
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r._mix["pass"]), []).append((r._mix.place, r._mix.block, r.doc_id))
+    for rows_ in by.values():
+        assert sorted(p for p, _, _ in rows_) == list(range(len(rows_)))
+        blocks = [b for _, b, _ in sorted(rows_)]
+        assert sum(x != y for x, y in zip(blocks, blocks[1:])) == len(set(blocks)) - 1  # a block comes in one piece
+    first, second = ([d for _, _, d in sorted(by["small", k])] for k in (0, 1))
+    again = set(second)
+    assert len(again) > 10 and [d for d in first if d in again] != second and first != sorted(first)
+    other = mixing.mixed(docs, repeats=2.6, block=100, seed=1).where("source = 'small' AND _mix.pass = 0").collect()
+    assert [r.doc_id for r in sorted(other, key=lambda r: r._mix.place)] != first
+
+
+def test_entropy_below_the_corpus_needs_an_exponent_above_one():
+    sizes = {"a": 900, "b": 90, None: 10}
+    own = -sum(n / 1000 * math.log(n / 1000) for n in sizes.values())
+    mix = mixing.solve(sizes, entropy=own / 2)
+    assert mix.exponent > 1 and min(mix.passes.values()) == pytest.approx(1.0)
+    assert -sum(w * math.log(w) for w in mix.weights.values()) == pytest.approx(own / 2, abs=1e-6)
+    with pytest.raises(ValueError):
+        mixing.solve({"a": 5, "b": 5, "c": 1}, entropy=0.5)
+    assert mixing.solve({"a": 5}, entropy=0.0).passes == {"a": 1.0}
