@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line matches; n_chars follows the text."""
-    cleaned = line_dedup.clean(docs)
+    """All documents, without the lines, short ones too, that an earlier line matches; n_chars follows the text."""
+    cleaned = line_dedup.clean(docs, short=True)
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cleaned.withColumns(chars).select(*docs.columns)
 

@@ -13,7 +13,8 @@ near copies costs two pairs for each of its members.
 A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
 document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
 place, so that one long number names and orders it. Words are the parts of a lower-cased line between single spaces.
-Lines of fewer than ``WORDS`` words always stay.
+Lines of fewer than ``WORDS`` words always stay, unless ``short`` is asked for: then words are parted by any white space,
+and a shorter line that has words is one token, its whole sequence of words, so that it goes if an earlier one equals it.
 
 Defined results: null texts stay null; empty texts stay empty; a document that loses all lines becomes an empty text and
 keeps its row; rows with the same id and text count as one document, and each copy gets the same cleaned text; an empty
@@ -46,12 +47,12 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def words(line: Column, short: bool = False) -> Column:
+    return F.array_remove(F.split(F.lower(line), r"(?U)\s+" if short else " "), "")
 
 
 def shingle(w: Column, at: Column) -> Column:
-    """Hash of the ``WORDS`` words from 0-based position ``at``."""
+    """Hash of the ``WORDS`` words from 0-based position ``at``, or of those that there are."""
     return F.xxhash64(*(F.get(w, at + i) for i in range(WORDS)))
 
 
@@ -59,16 +60,20 @@ def bucket(token: Column) -> Column:
     return F.pmod(token, F.lit(BUCKETS)).cast("int")
 
 
-def long_lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """(keep, line, w) of lines with enough words."""
+def last_start(w: Column) -> Column:
+    return F.greatest(F.size(w) - WORDS, F.lit(0))
+
+
+def long_lines(docs: DataFrame, *keep: str, short: bool = False) -> DataFrame:
+    """(keep, line, w) of lines with enough words, or with any."""
     # lines become words before they become rows: a filter on the rows would else split every line twice
-    split = F.transform(lines(F.col("text")), words)
-    return docs.select(*keep, F.posexplode(split).alias("line", "w")).where(F.size("w") >= WORDS)
+    split = F.transform(lines(F.col("text")), lambda line: words(line, short))
+    return docs.select(*keep, F.posexplode(split).alias("line", "w")).where(F.size("w") >= (1 if short else WORDS))
 
 
-def rarity(docs: DataFrame) -> Column:
+def rarity(docs: DataFrame, short: bool = False) -> Column:
     """Array of ranks by bucket, from rare to frequent, over all tokens of all lines."""
-    each = long_lines(docs).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - WORDS)).alias("at"))
+    each = long_lines(docs, short=short).select("w", F.explode(F.sequence(F.lit(0), last_start(F.col("w")))).alias("at"))
     counts = each.groupBy(bucket(shingle(F.col("w"), F.col("at"))).alias("b")).count().collect()
     ranks = [0] * BUCKETS
     for r in counts:
@@ -79,7 +84,7 @@ def rarity(docs: DataFrame) -> Column:
 
 def token_set(w: Column, ranks: Column) -> Column:
     """Tokens of a line in ascending order of rarity, each as its rank and 55 bits of its hash."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda at: shingle(w, at))
+    hashes = F.transform(F.sequence(F.lit(0), last_start(w)), lambda at: shingle(w, at))
     packed = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, bucket(h)), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
     return F.sort_array(F.array_distinct(packed))
 
@@ -124,11 +129,11 @@ def line_number(n: Column, line: Column) -> Column:
     return F.when(line < (1 << PLACE_BITS), F.shiftleft(n, PLACE_BITS).bitwiseOR(line.cast("long"))).otherwise(far)
 
 
-def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def removals(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """(key, lines): the lines that an earlier line matches, by document."""
-    ranks, order = rarity(docs), numbered(docs)
+    ranks, order = rarity(docs, short), numbered(docs)
     keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 24), "key")
-    tokens = long_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("w"), ranks).alias("tokens"))
+    tokens = long_lines(keyed, "n", short=short).select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("w"), ranks).alias("tokens"))
     each = written(
         tokens.select(
             "id", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"),
@@ -140,7 +145,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = each.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     copies = written(each.select("id", "h1", "h2").join(first, ["h1", "h2"]).where("id <> first").select("id", "first").distinct(), "line-copies")
     classes = each.join(_guarded(copies.select("id"), 16), "id", "left_anti")
-    near = _later_classes(docs, order, ranks, classes, similarity)
+    near = _later_classes(docs, order, ranks, classes, similarity, short)
     # a copy has an earlier line that equals it
     gone = near.union(copies.select("id")).distinct()
     line = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
@@ -148,7 +153,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return written(listed.join(order, "n").select("key", "lines"), "line-removals")
 
 
-def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float) -> DataFrame:
+def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float, short: bool) -> DataFrame:
     """(id) of the classes whose first line an earlier line matches."""
     posting = classes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.select("token", "id", packed(F.col("size"), F.col("pos")).alias("y"))
@@ -162,24 +167,24 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
     two = lists.where("last > first").select(F.col("last").alias("x"), F.col("id").alias("y"), F.col("last_x").alias("x_at"), F.col("y").alias("y_at"))
     tried = one.union(two).where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
     tried = written(tried, "line-pairs")
-    gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
+    gone = written(_verified(docs, order, ranks, tried, similarity, short), "line-gone")
     # the others meet the rest of their lists
     open_ = lists.where("last > first").join(gone.withColumnRenamed("id", "gone"), F.col("id") == F.col("gone"), "left_anti")
     x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"))
     rest = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at")).join(x, "token")
     rest = rest.where((F.col("x") < F.col("y_id")) & possible("x_at", "y_at", similarity)).select("x", F.col("y_id").alias("y")).distinct()
     rest = written(rest.join(tried, ["x", "y"], "left_anti"), "line-pairs")
-    return written(gone.union(_verified(docs, order, ranks, rest, similarity)), "line-gone")
+    return written(gone.union(_verified(docs, order, ranks, rest, similarity, short)), "line-gone")
 
 
-def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float, short: bool) -> DataFrame:
     """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
     t = round(similarity * 1000)
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-wanted")
     # only documents with a wanted line are taken apart again
     whose = written(wanted.select(F.shiftright("id", PLACE_BITS).alias("n")).distinct().join(order, "n").select("n", "key"), "line-whose")
     keyed = docs.select("text", document_key().alias("key")).join(_guarded(whose, 24), "key")
-    found = long_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), "w").join(_guarded(wanted, 16), "id")
+    found = long_lines(keyed, "n", short=short).select(line_number(F.col("n"), F.col("line")).alias("id"), "w").join(_guarded(wanted, 16), "id")
     sets = written(found.select("id", token_set(F.col("w"), ranks).alias("tokens")), "line-tokens")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
@@ -187,9 +192,9 @@ def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame
     return pairs.join(x, "x").join(y, "y").where(same).select(F.col("y").alias("id")).distinct()
 
 
-def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def clean(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; n_lines and n_removed replace columns of these names."""
-    gone = removals(docs, similarity).select(F.col("key").alias("_key"), F.col("lines").alias("_gone"))
+    gone = removals(docs, similarity, short).select(F.col("key").alias("_key"), F.col("lines").alias("_gone"))
     size = gone.agg(F.coalesce(F.sum(F.size("_gone") * 8 + 40), F.lit(0))).first()[0]
     small = small_enough(size, 1)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("whole"), document_key().alias("_key"))

@@ -80,3 +80,34 @@ def test_large_group_of_near_copies_stays_linear(spark):
 
 def test_empty(spark):
     assert line_dedup.clean(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_and_white_space(spark):
+    def tokens(line):
+        w = line.lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else None
+
+    rng = random.Random(4)
+    base = ["All rights reserved.", "a", "a b", "b a", "", "  ", "one two\tthree four five six", "one two three four", "a b c d e", "x\u00a0y\r"]
+    base += [" ".join(rng.choices("pqrs", k=n)) for n in (3, 4, 5, 12)] + ["\t".join(f"w{i}" for i in range(30))]
+    rows = [(i * 7 % 61, "\n".join(rng.choice(base).replace(" ", rng.choice([" ", "\t", "  "])) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    seen, expected = [], {}
+    for d, t in sorted(rows):
+        kept = []
+        for line in t.split("\n"):
+            own = tokens(line)
+            if own is None or not any(len(own & x) * 1800 >= (len(own) + len(x)) * 800 for x in seen):
+                kept.append(line)
+            if own is not None:
+                seen.append(own)
+        expected[d] = "\n".join(kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs, short=True).collect()} == expected
+
+
+def test_pipeline_removes_short_repeats(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"own {i}\nAll rights\treserved.\n\nown {i}") for i in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {0: "own 0\nAll rights\treserved.\n", 1: "own 1\n", 2: "own 2\n"}
