@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statspine.llm import chat, licenses, line_dedup, mixing, nn_descent, packing, quality, simhash, toxicity, winnowing
+from statspine.llm import chat, licenses, line_dedup, mixing, nn_descent, packed_ids, packing, quality, simhash, toxicity, winnowing
 from statspine.llm.common import held_out, ship, table
+from statspine.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -158,3 +160,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
     )
+
+
+@query
+def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "packed-ids")
+    packed_ids.write(table(spark, sf_dir, "documents"), path, JSON, close=2)
+    return packed_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
