@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statspine.llm import chat, licenses, line_dedup, mixing, nn_descent, packed_ids, packing, quality, simhash, toxicity, winnowing
+from statspine.llm import chat, licenses, line_dedup, merkle, mixing, nn_descent, packed_ids, packing, quality, simhash, toxicity, winnowing
 from statspine.llm.common import held_out, ship, table
 from statspine.session import scratch_dir
 
@@ -167,3 +167,58 @@ def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "packed-ids")
     packed_ids.write(table(spark, sf_dir, "documents"), path, JSON, close=2)
     return packed_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def manifest_rows(docs: DataFrame) -> DataFrame:
+    """Digests, proof and the check of every document; where 7 divides the crc32 of its id, the row is tampered with."""
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    changed = F.when(touched, F.unhex(merkle.tampered_leaf()))
+    leaves = docs.select("lang", "doc_id", F.unhex(merkle.leaf()).alias("digest"), changed.alias("changed"))
+    found = merkle.manifest(leaves).withColumn("leaf", merkle.shown(F.col("digest")))
+    folded = merkle.fold(F.coalesce(merkle.shown(F.col("changed")), F.col("leaf")), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_rows(table(spark, sf_dir, "documents"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, merkle.FIELDS)) + ")"
+SQL["op13_merkle_manifest"] = f"""
+    WITH RECURSIVE known AS (
+        SELECT doc_id, lang, {_LEAF} AS leaf, {_LEAF.replace(_field("n_chars"), _field("n_chars + 1"))} AS other,
+            xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte:
+                list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, byte)), 4294967295)) % 7 = 0 AS touched
+        FROM documents
+    ), doc AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS r FROM known
+    ), tree AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY r) AS h FROM doc GROUP BY lang
+        UNION ALL SELECT lang, level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], ''))) FROM tree WHERE len(h) > 1
+    ), subroots AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM tree WHERE len(h) = 1
+    ), top AS (
+        SELECT 1000 AS level, list(subroot ORDER BY r) AS h FROM subroots
+        UNION ALL SELECT level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], ''))) FROM top WHERE len(h) > 1
+    ), steps AS (
+        SELECT doc_id, doc.lang, doc.r, level, (doc.r >> level) % 2 AS side, h[xor(doc.r >> level, 1) + 1] AS sibling
+        FROM doc JOIN tree ON doc.lang IS NOT DISTINCT FROM tree.lang AND len(h) > 1
+        UNION ALL SELECT doc_id, doc.lang, doc.r, level, (s.r >> (level - 1000)) % 2, h[xor(s.r >> (level - 1000), 1) + 1]
+        FROM doc JOIN subroots s ON doc.lang IS NOT DISTINCT FROM s.lang CROSS JOIN top WHERE len(h) > 1
+    ), path AS (
+        SELECT lang, r, string_agg(sibling, '' ORDER BY level) AS proof,
+            list(CASE WHEN sibling IS NULL THEN 'N' WHEN side = 1 THEN 'L' || sibling ELSE 'R' || sibling END ORDER BY level) AS steps
+        FROM steps GROUP BY lang, r
+    ), folded AS (
+        SELECT doc_id, leaf, subroot, (SELECT h[1] FROM top WHERE len(h) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+            list_reduce(coalesce(steps, []), lambda node, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || node WHEN 'R' THEN node || s[2:] ELSE node END),
+                CASE WHEN touched THEN other ELSE leaf END) AS folded_root
+        FROM doc JOIN subroots ON doc.lang IS NOT DISTINCT FROM subroots.lang LEFT JOIN path ON path.lang IS NOT DISTINCT FROM doc.lang AND path.r = doc.r
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+"""
