@@ -21,10 +21,10 @@ doc_id are kept, ordered by a hash of their text; no documents give a manifest w
 from __future__ import annotations
 
 import json
-import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,8 +44,6 @@ MANIFEST = "manifest.json"
 BLOCK = 1 << 16
 #: ids that a reader takes at a time, and more only for a longer document
 READ = 1 << 20
-#: characters of the words whose ids a worker remembers
-REMEMBERED = 1 << 22
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -246,77 +244,23 @@ class PackedIds(DataSource):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The tokenizer of a JSON file, and the ids of words that it has met, by whether a space stands before them."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def vocabulary(path: str) -> int:
+    """Ids of a tokenizer's JSON file, added ones included."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Remembered()
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
-class Remembered(dict):
-    """Ids of words, forgotten together when the words take more than ``REMEMBERED`` characters."""
-
-    size = 0
-
-    def room_for(self, words: set[str]) -> None:
-        more = sum(map(len, words.difference(self)))
-        if self.size + more > REMEMBERED:
-            self.clear()
-            more = sum(map(len, words))
-        self.size = more if not self else self.size + more
-
-
-def words(text: str) -> list[str]:
-    """Parts that byte-level BPE never joins: a space before a character that is no white space begins one.
-
-    The first part is as it stands, the others without their space.
-    """
-    parts = text.split(" ")
-    if all(parts) and not any(p[0].isspace() for p in parts):
-        return parts
-    out = parts[:1]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
-
-
-def encoded(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for the whole text.
-
-    Words are looked up before they are encoded. A text with the name of a special token is encoded as a whole.
-    """
-    code, known = tokenizer(path)
-    special = [t.content for t in code.get_added_tokens_decoder().values()]
-
-    def ids(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in code.encode_batch_fast(parts, add_special_tokens=False)]
-
-    plain = [t or "" for t in texts]
-    whole = [k for k, t in enumerate(plain) if any(s in t for s in special)]
-    taken = dict(zip(whole, ids([plain[k] for k in whole])))
-    split = [[""] if k in taken else words(t) for k, t in enumerate(plain)]
-    met = {w for parts in split for w in parts[1:]}
-    known.room_for(met)
-    new = list(met.difference(known))
-    known.update(zip(new, ids([" " + w for w in new])))
-    heads = ids([parts[0] for parts in split])
-    return [taken.get(k, head + b"".join(map(known.__getitem__, parts[1:]))) for k, (head, parts) in enumerate(zip(heads, split))]
-
-
-def tokens(docs: DataFrame, path: str, close: int | None = None) -> DataFrame:
+def tokens(docs: DataFrame, encode: Callable[[str | None], array], close: int | None = None) -> DataFrame:
     """(doc_id, ids) of every document, ``close`` after the ids of each; the order of the rows stays."""
-    end = b"" if close is None else np.array([close], "<u4").tobytes()
+    end = array("I", [] if close is None else [close])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a few texts at a time: their ids take several times the room of the texts
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x + end for x in encoded(part.column("text").to_pylist(), path)]
+                ids = [(encode(t) + end).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -329,11 +273,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange("doc_id", "_hash", "_at").sortWithinPartitions("doc_id", "_hash", "_at").select("doc_id", "text")
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, close: int | None = None, block: int = BLOCK) -> None:
-    """Encode ``docs`` and write their ids under ``path`` in ascending order of doc_id."""
+def write(docs: DataFrame, path: str, encode: Callable[[str | None], array], size: int, close: int | None = None, block: int = BLOCK) -> None:
+    """Encode ``docs`` with ids below ``size`` and write them under ``path`` in ascending order of doc_id."""
     docs.sparkSession.dataSource.register(PackedIds)
-    size = tokenizer(tokenizer_path)[0].get_vocab_size(with_added_tokens=True)
-    rows = tokens(in_order(docs), tokenizer_path, close)
+    rows = tokens(in_order(docs), encode, close)
     rows.write.format("packed_ids").option("vocabulary", max(size, (close or 0) + 1)).option("block", block).mode("append").save(path)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -165,7 +165,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "packed-ids")
-    packed_ids.write(table(spark, sf_dir, "documents"), path, JSON, close=2)
+    encode = partial(packing.token_ids, ranks=RANKS, pattern=PATTERN)
+    packed_ids.write(table(spark, sf_dir, "documents"), path, encode, packed_ids.vocabulary(JSON), close=2)
     return packed_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
