@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statspine.llm import chat, licenses, line_dedup, merkle, mixing, nn_descent, packed_ids, packing, quality, simhash, toxicity, winnowing
+from statspine.llm import chat, divergence, licenses, line_dedup, merkle, mixing, nn_descent, packed_ids, packing, quality, simhash, toxicity, winnowing
 from statspine.llm.common import held_out, ship, table
 from statspine.session import scratch_dir
 
@@ -162,6 +162,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    ), word AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc
+    ), kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+    ), many AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+    ), grp AS (SELECT DISTINCT lang, source FROM doc
+    ), own AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term
+    ), cell AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM grp JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)
+    ), p AS (
+        SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+            1 + 1000000000::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+        FROM cell JOIN many USING (lang)
+    ), far AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+        WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+    ), every AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM every QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 @query
 def op12_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "packed-ids")
