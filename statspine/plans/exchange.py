@@ -120,6 +120,55 @@ def _(spark, d):
     return X.files_without_observations(index).select("dataset_id", F.lit(True).alias("looked"))
 
 
+def write_compact(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as elements of other names, one file for each remainder of their key by 6; returns the folder.
+
+    0: rows with a period and a value among their attributes, every third closed by an end tag; 1: cells with an obsValue
+    and, of even customers, a period in a child; 2: numbers as text between texts; 3: as 0, each after an observation that is
+    commented out, every fifth inside a comment over two of them; 4: as 0, nested across each other; 5: as 0, in a comment
+    that is never closed.
+    """
+    path = scratch_dir(spark, "compact")
+    key, value = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    period = F.date_format("o_orderdate", "yyyy-MM")
+    row = F.concat(F.lit('<Row TIME_PERIOD="'), period, F.lit('" STATUS="a &gt; b" obsValue="'), value, F.when(key % 18 < 6, '"></Row>').otherwise('"/>'))
+    child = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('<x:ObsDimension id="TIME_PERIOD" value="'), period, F.lit('"/>'))).otherwise("")
+    gone = F.lit('<Obs><ObsValue value="1"/></Obs>')
+    text = (
+        F.when(key % 6 == 1, F.concat(F.lit('<cell obsValue="'), value, F.lit('">'), child, F.lit("</cell>")))
+        .when(key % 6 == 2, F.concat(F.lit("<name>order "), key.cast("string"), F.lit("</name><total>"), value, F.lit("</total>")))
+        .when((key % 6 == 3) & (key % 5 == 0), F.concat(F.lit("<!-- "), gone, row, gone, F.lit(" -->")))
+        .when(key % 6 == 3, F.concat(F.lit("<!-- "), gone, F.lit(" -->"), row))
+        .when(key % 6 == 4, F.concat(F.lit("<a><b>"), row, F.lit("</a></b>")))
+        .otherwise(row)
+    )
+    lines = S.table(spark, sf_dir, "orders").select((key % 6).alias("_d"), key.alias("a"), text.alias("value"))
+    every = lines.select("_d").distinct()
+    head = every.select("_d", F.lit(-1).cast("long").alias("a"), F.when(F.col("_d") == 5, "<D><!-- ").otherwise("<D>").alias("value"))
+    foot = every.select("_d", F.lit(2**62).alias("a"), F.lit("</D>").alias("value"))
+    rows = lines.unionByName(head).unionByName(foot).withColumn("dataset_id", F.concat(F.lit("CO_"), F.col("_d").cast("string")))
+    rows.repartition("dataset_id").sortWithinPartitions("dataset_id", "a").select("dataset_id", "value").write.partitionBy("dataset_id").text(path)
+    return path
+
+
+TOTAL, MONTH = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m')"
+
+
+@query("I1_elements_of_any_name", f"""SELECT 'CO_' || CAST(o_orderkey % 6 AS VARCHAR) AS dataset_id, CAST(ROW_NUMBER() OVER (PARTITION BY o_orderkey % 6 ORDER BY o_orderkey) - 1 AS BIGINT) AS record_id,
+  CASE WHEN o_orderkey % 6 <> 2 THEN {TOTAL} END AS obs_value, CASE WHEN o_orderkey % 6 IN (0, 3) OR (o_orderkey % 6 = 1 AND o_custkey % 2 = 0) THEN {MONTH} ELSE '' END AS time_period,
+  CASE WHEN o_orderkey % 6 = 2 THEN {TOTAL} END AS number FROM orders WHERE o_orderkey % 6 < 4 AND NOT (o_orderkey % 6 = 3 AND o_orderkey % 5 = 0)""")
+def _(spark, d):
+    rows = X.ingest_sdmx(spark, write_compact(spark, d), NOW)
+    return rows.select("dataset_id", "record_id", "obs_value", "time_period", F.col("additional_attributes")["raw_text"].alias("number"))
+
+
+@query("I4_crossed_and_unclosed", """SELECT DISTINCT 'CO_' || CAST(o_orderkey % 6 AS VARCHAR) AS dataset_id,
+  CASE WHEN o_orderkey % 6 = 4 THEN 'not well-formed: unbalanced tags' ELSE 'not well-formed: invalid token' END AS parse_error FROM orders WHERE o_orderkey % 6 IN (4, 5)""")
+def _(spark, d):
+    fragments = X.read_fragments(spark, write_compact(spark, d))
+    return X.quarantine(fragments, X.file_index(fragments), NOW).select("dataset_id", "parse_error")
+
+
 @query("I2_clean_observations", f"""SELECT record_id, CASE WHEN obs_value = '' OR (length(obs_value) > 15 AND (contains(obs_value, 'T') OR regexp_matches(obs_value, '-.*-'))) THEN NULL ELSE obs_value END AS obs_value,
   CASE WHEN time_period IS NULL OR (length(time_period) > 15 AND (contains(time_period, 'T') OR regexp_matches(time_period, '-.*-'))) THEN '' ELSE time_period END AS time_period
   FROM (SELECT record_id, CASE WHEN record_id % 50 = 1 THEN '2024-01-01 00:00:00' ELSE obs_value END AS obs_value, time_period FROM {S.RAW} r)""")

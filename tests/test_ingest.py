@@ -74,7 +74,7 @@ def test_small_splits_give_the_same_records(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert cut == whole and len(whole) == 12
+    assert cut == whole and len(whole) == 11
 
 
 COMPACT = '<D><S AREA="Z9"><Obs TIME_PERIOD="2020" OBS_VALUE="1"/><Obs TIME_PERIOD="2021" OBS_VALUE="2"/></S><p:Observation TIME="2022" VALUE="3" /></D>'
@@ -97,7 +97,8 @@ def test_every_dialect_of_a_mixed_folder(spark, tmp_path):
         got.setdefault(r.dataset_id, []).append((r.record_id, r.obs_value, r.time_period))
     assert got["T"] == got["007"] == [(0, "17", ""), (1, "18", "")]
     assert got["U"] == [(0, None, "2020")]
-    assert got["C"] == [(0, "1", "2020"), (1, "2", "2021"), (2, "3", "2022")]
+    # the first kind of observation that a file has is the only one that counts
+    assert got["C"] == [(0, "1", "2020"), (1, "2", "2021")]
     assert got["M"] == [(0, "1", "1"), (1, "2", ""), (2, "3", "3"), (3, "4", "4")]
     assert len(got["G"]) == 5 and "NOTHING" not in got
     fragments = X.read_fragments(spark, path)
@@ -106,6 +107,96 @@ def test_every_dialect_of_a_mixed_folder(spark, tmp_path):
     assert X.quarantine(fragments, index, NOW).count() == 0
 
 
+OTHERS = {
+    # first pattern that the file has wins, in this order
+    "OBS": '<r><Observation TIME="1" VALUE="1"/><x:Obs TIME="2" VALUE="2"/><Row TIME_PERIOD="3" obsValue="3"/></r>',
+    "OBSERVATION": '<r><Observation TIME="1" VALUE="1"/><Row TIME_PERIOD="3" obsValue="3"/><n>4</n></r>',
+    "PERIOD": '<r><Row A="x > y" TIME_PERIOD="3" obsValue="3"/><Cell obsValue="5"/><s:Any TIME_PERIOD=\'6\' VALUE="6"><note>7</note></s:Any><n>4</n></r>',
+    "VALUE": '<r><Cell obsValue="5"/><n>4</n><Cell obsValue="6"><ObsDimension id="TIME_PERIOD" value="2020"/></Cell></r>',
+    "NUMBER": "<r><n>4</n><n> 5</n><m>-1.5</m><m>1-2</m><m>x1</m><n>2020-01<k/></n><m>.</m></r>",
+    "SIMILAR": '<r><ObsX TIME="1"/><Obser VALUE="1"/><Row TIME_PERIODS="1" xobsValue="2" note="TIME_PERIOD=3"/></r>',
+}
+
+
+def test_elements_of_any_name(spark, tmp_path):
+    path = write(tmp_path / "o", **OTHERS)
+    got = {}
+    for r in X.ingest_sdmx(spark, path, NOW).orderBy("dataset_id", "record_id").collect():
+        got.setdefault(r.dataset_id, []).append((r.record_id, r.obs_value, r.time_period))
+    assert got == {
+        "OBS": [(0, "2", "2")],
+        "OBSERVATION": [(0, "1", "1")],
+        "PERIOD": [(0, "3", "3"), (1, "6", "6")],
+        "VALUE": [(0, "5", ""), (1, "6", "2020")],
+        "NUMBER": [(0, None, ""), (1, None, ""), (2, None, ""), (3, None, "")],
+    }
+    numbers = X.ingest_sdmx(spark, path, NOW).where("dataset_id = 'NUMBER'").orderBy("record_id").collect()
+    assert [r.additional_attributes for r in numbers] == [{"raw_text": x} for x in ("4", "-1.5", "1-2", "2020-01")]
+
+
+SECTIONS = {
+    "GONE": '<D><!-- <Obs TIME="1" VALUE="1"/> --><Row TIME_PERIOD="2" obsValue="2"/></D>',
+    "ONLY": '<D><!-- <Obs TIME="1" VALUE="1"></Obs> --><n>no number</n></D>',
+    "CUT": '<D><Obs TIME="1" VALUE="1"></Obs><!-- <Obs TIME="2" VALUE="2"></Obs> <Obs TIME="3" VALUE="3"></Obs> --><Obs TIME="4" VALUE="4"></Obs></D>',
+    "INSIDE": '<D><Obs><!-- </Obs> --><ObsValue value="1"/><!-- </Obs><Obs> --></Obs><Obs><ObsValue value="2"/></Obs></D>',
+    "CDATA": '<D><Obs TIME="1" VALUE="1"><t><![CDATA[ </Obs> <!-- ]]></t></Obs><Obs TIME="2" VALUE="2"></Obs><?x </Obs> ?><Obs TIME="3" VALUE="3"></Obs></D>',
+    "OPEN": '<D><Obs TIME="1" VALUE="1"></Obs></D><!-- <Obs TIME="2" VALUE="2"></Obs>',
+    "PLAIN": '<D><Obs TIME="1" VALUE="1"></Obs><Obs TIME="2" VALUE="2"></Obs></D>',
+    "LONG": "<D>" + "".join(f'<Obs TIME="{i}" VALUE="{i}"></Obs><!-- <Obs></Obs>{"x" * (i % 40)}<Obs></Obs> -->' for i in range(60)) + "</D>",
+}
+FOUND = {"GONE": ["2"], "CUT": ["1", "4"], "INSIDE": ["1", "2"], "CDATA": ["1", "2", "3"], "PLAIN": ["1", "2"], "LONG": [str(i) for i in range(60)]}
+
+
+@pytest.mark.parametrize("split, cell", [(None, 512), (400, 3)])
+def test_sections_that_hold_tags(spark, tmp_path, monkeypatch, split, cell):
+    monkeypatch.setattr(X, "CELL", cell)
+    path = write(tmp_path / "s", **SECTIONS)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {}
+        for r in X.ingest_sdmx(spark, path, NOW).orderBy("dataset_id", "record_id").collect():
+            got.setdefault(r.dataset_id, []).append((r.record_id, r.obs_value))
+        assert got == {k: list(enumerate(v)) for k, v in FOUND.items()}
+        fragments = X.read_fragments(spark, path)
+        index = X.file_index(fragments)
+        assert [r.dataset_id for r in X.files_without_observations(index).collect()] == ["ONLY"]
+        bad = X.quarantine(fragments, index, NOW).collect()
+        assert [(r.dataset_id, r.parse_error, r.raw_data_sample) for r in bad] == [("OPEN", "not well-formed: invalid token", SECTIONS["OPEN"])]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+NESTED = {
+    "CROSSED": "<D><a><b><Obs></Obs></a></b></D>",
+    "TWICE": "<D><a></a></a><a></D>",
+    "SWAPPED": '<D></Series><Obs TIME="1" VALUE="1"></Obs><Series></D>',
+    "DEEP": "".join(f"<e{i}>" for i in range(100)) + "<Obs></Obs>" + "".join(f"</e{i}>" for i in reversed(range(100))),
+    "ROOT": '<Obs TIME="1" VALUE="1"></Obs>',
+    "NOROOT": '<Obs TIME="1" VALUE="1"><a></a>',
+    "MARK": '\ufeff<Obs TIME="1" VALUE="1"></Obs>',
+    "LAST": '<D><Obs TIME="1" VALUE="1"></Obs><Obs TIME="2" VALUE="2"></Obs>',
+}
+
+
+@pytest.mark.parametrize("split", [None, 40])
+def test_nesting(spark, tmp_path, split):
+    path = write(tmp_path / "w", **NESTED)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        fragments = X.read_fragments(spark, path)
+        bad = X.quarantine(fragments, X.file_index(fragments), NOW).collect()
+        assert {r.dataset_id for r in bad} == {"CROSSED", "TWICE", "SWAPPED", "NOROOT", "LAST"}
+        assert {r.parse_error for r in bad} == {"not well-formed: unbalanced tags"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_text_of_an_element(spark, tmp_path):
     path = write(tmp_path / "n", U='<G><Obs TIME="2020">note</Obs></G>')
     assert X.ingest_sdmx(spark, path, NOW).first().additional_attributes == {"obs_time": "2020", "raw_text": "note"}
