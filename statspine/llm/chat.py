@@ -4,7 +4,7 @@
     turn         = "[INST] " role NL text NL "[/INST]" NL
 
 Control strings are ``<s> </s> [INST] [/INST]``; one that a backslash precedes is text. A turn is rendered as it is and
-read again by a parser that splits at control strings; where the turn that comes back differs from the source, a backslash
+read again by a parser of this grammar; where the turn that comes back differs from the source, or nothing does, a backslash
 is put before every control string in its text, with the backslashes that stand before it, and reading takes it away
 again. The whole conversation is then read back the same way, and escaped throughout should any turn still differ.
 The loss mask marks the texts of assistant turns.
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statspine.functions.columns import let
+
 CONTROL = r"(</?s>|\[/?INST\])"
 OPEN, TURN, CLOSE_TURN, CLOSE = "<s>\n", "[INST] ", "\n[/INST]\n", "</s>"
 
@@ -51,22 +53,39 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(TURN), escape_role(role), F.lit("\n"), text, F.lit(CLOSE_TURN))
 
 
+#: the control strings of a conversation, one after the other
+GRAMMAR = r"^<s>(?:\[INST\]\[/INST\])*</s>$"
+
+
 def segments(formatted: Column) -> Column:
     """What stands between the control strings; turns are at 2, 4, ... up to the last but two."""
     return F.split(formatted, r"(?<!\\)" + CONTROL, -1)
 
 
+def controls(formatted: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(formatted, F.lit(r"(?<!\\)" + CONTROL), F.lit(1)), "")
+
+
 def parse(formatted: Column) -> Column:
-    """Turns (role, text) of a formatted conversation."""
+    """Turns (role, text) of a formatted conversation; null if it is none of the grammar's.
+
+    The control strings have to come in the grammar's order, with nothing but the line ends that it asks for between turns,
+    before the first and after the last one; a turn is a space, a line with the role, and lines with the text.
+    """
 
     def turn(segment):
         line = F.substring_index(segment, "\n", 1)
         text = F.substr(segment, F.length(line) + 2, F.length(segment) - F.length(line) - 2)
         return F.struct(unescape_role(F.substr(line, F.lit(2))).alias("role"), unescape(text).alias("text"))
 
-    parts = segments(formatted)
-    inner = F.filter(parts, lambda _, i: (i % 2 == 0) & (i >= 2) & (i < F.size(parts) - 1))
-    return F.transform(inner, turn)
+    def read(parts):
+        last = F.size(parts) - 1
+        inner = F.filter(parts, lambda _, i: (i % 2 == 0) & (i >= 2) & (i < last))
+        between = F.forall(F.transform(parts, lambda p, i: F.when(i % 2 == 1, p == "\n").otherwise((p.startswith(" ") & p.endswith("\n")) | (i == 0) | (i == last))), lambda ok: ok)
+        outside = (F.element_at(parts, 1) == "") & (F.element_at(parts, -1) == "")
+        return F.when(between & outside, F.transform(inner, turn))
+
+    return F.when(controls(formatted).rlike(GRAMMAR), let(segments(formatted), read))
 
 
 def whole(turns: Column) -> Column:
@@ -82,7 +101,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     back = parse(whole(render(F.col("role"), F.col("text"))))
-    same = (F.size(back) == 1) & (F.get(back, F.lit(0)) == F.struct("role", "text"))
+    same = F.coalesce(back == F.array(F.struct("role", "text")), F.lit(False))
     said = said.withColumn("wire", F.when(same, F.col("text")).otherwise(escape(F.col("text"))))
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "wire")))
     talk = said.groupBy("conv_id").agg(turns.alias("turns"))
@@ -91,7 +110,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
         return whole(F.array_join(F.transform("turns", lambda t: render(t.role, wire(t))), ""))
 
     source = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
-    first = talk.withColumn("formatted", joined(lambda t: t.wire)).withColumn("exact", parse(F.col("formatted")) == source)
+    first = talk.withColumn("formatted", joined(lambda t: t.wire)).withColumn("exact", F.coalesce(parse(F.col("formatted")) == source, F.lit(False)))
     again = first.withColumn(
         "turns",
         F.when(F.col("exact"), F.col("turns")).otherwise(
@@ -119,5 +138,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 def loss_texts(formatted_: Column, mask: Column) -> Column:
     """Texts under the mask, without escapes, in order."""
-    parts = segments(formatted_)
-    return F.transform(mask, lambda m: unescape(F.substr(F.get(parts, 2 + 2 * m.turn), m.skip + 1, m.length)))
+
+    def read(parts):
+        return F.transform(mask, lambda m: unescape(F.substr(F.get(parts, 2 + 2 * m.turn), m.skip + 1, m.length)))
+
+    return let(segments(formatted_), read)

@@ -65,5 +65,29 @@ def test_long_conversation_and_clashing_columns(spark):
     assert digest == hashlib.sha256("".join(r[3] for r in rows if r[2] == "assistant").encode()).hexdigest()
 
 
+def test_what_is_not_of_the_grammar_is_not_read(spark):
+    good = "<s>\n[INST] user\nhi\n[/INST]\n[INST] assistant\nyes\n[/INST]\n</s>"
+    bad = [
+        good[1:], good + "x", "x" + good, good.replace("[/INST]\n[INST]", "[/INST]\nx[INST]"), good.replace("[INST]", "[/INST]", 1), good.replace("</s>", "<s>"),
+        good.replace("<s>", "</s>"), good.replace("[/INST]\n</s>", "</s>"), good.replace("hi\n[/INST]", "hi[/INST]"), good.replace("[INST] a", "[INST]a"), good + good, "",
+    ]
+    shown = spark.createDataFrame([(i, t) for i, t in enumerate([good, "<s>\n</s>", *bad])], "i int, t string")
+    got = [r.turns for r in shown.select("i", chat.parse(F.col("t")).alias("turns")).orderBy("i").collect()]
+    assert [tuple(t) for t in got[0]] == [("user", "hi"), ("assistant", "yes")] and got[1] == [] and got[2:] == [None] * len(bad)
+
+
+def test_time_follows_the_turns(spark):
+    import time
+
+    def seconds(n):
+        rows = [(1, i, "assistant" if i % 2 else "user", f"text {i} </s> " * 5) for i in range(n)]
+        start = time.perf_counter()
+        assert len(read(spark, rows)[1].turns) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(4000) < 10 * max(seconds(1000), 1)
+
+
 def test_empty(spark):
     assert read(spark, []) == {}
