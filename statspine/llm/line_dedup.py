@@ -1,24 +1,24 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-The tokens of a line are its word 5-grams, as a set. Tokens are ordered by rarity: how often they occur in the corpus,
-counted in a table of hashed buckets whose size is fixed, then by hash. Any fixed order gives the same matches; this one
-keeps frequent tokens out of the prefixes. A line of n tokens can reach a similarity of t only with lines that share one
-of its first n - ceil(t n) + 1 tokens, have between t n and n / t tokens, and leave room for the overlap after the
-positions of the shared token. What passes these filters is verified on the token sets.
+The tokens of a line are its word 5-grams, as a set; a line of fewer words is one token, its whole sequence of words. Words
+are the parts of a lower-cased line between white space. Tokens are ordered by rarity, which is that of their rarest word, and
+then by hash; words are counted in a table of hashed buckets whose size is fixed, so that a bucket's count says how often its
+words occur among all words, whatever the size of the corpus. Any fixed order gives the same matches; this one keeps phrases
+of common words out of the prefixes. A line of n tokens can reach a similarity of t only with lines that share one of its
+first n - ceil(t n) + 1 tokens, have between t n and n / t tokens, and leave room for the overlap after the positions of the
+shared token. What passes these filters is verified on the token sets.
 
 Equal token sets are one class before the join. Within a list of classes that share a token, a class meets the earliest
-and the next earlier one first; only classes that neither of them removes meet the rest of the list. So a large group of
-near copies costs two pairs for each of its members.
+and the next earlier one first; only classes that neither of them removes meet those of the rest of the list that have a size
+within reach, which is part of the join's key. So a large group of near copies costs two pairs for each of its members.
 
 A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
 document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
-place, so that one long number names and orders it. Words are the parts of a lower-cased line between single spaces.
-Lines of fewer than ``WORDS`` words always stay, unless ``short`` is asked for: then words are parted by any white space,
-and a shorter line that has words is one token, its whole sequence of words, so that it goes if an earlier one equals it.
+place, so that one long number names and orders it. An earlier line that matches removes a later one whether or not it stays.
 
-Defined results: null texts stay null; empty texts stay empty; a document that loses all lines becomes an empty text and
-keeps its row; rows with the same id and text count as one document, and each copy gets the same cleaned text; an empty
-table gives an empty table; other columns are carried along whatever their names.
+Defined results: null texts stay null; empty texts stay empty; a line without words stays; a document that loses all lines
+becomes an empty text and keeps its row; rows with the same id and text count as one document, and each copy gets the same
+cleaned text; an empty table gives an empty table; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statspine.functions.columns import let
 from statspine.llm.common import small_enough, written
 from statspine.operators.ranking import global_row_number
 
 WORDS = 5
 SIMILARITY = 0.8
-#: rows of the table of token counts, whatever the corpus
-BUCKETS = 1 << 12
+#: rows of the table of word counts, whatever the corpus
+BUCKETS = 1 << 16
 #: bits of a line's number that are its place in the document; the others number documents
 PLACE_BITS = 27
+#: parts that the lines of repeated classes are dealt over where their table is not small
+SALTS = 32
+SPACE = r"(?U)\s+"
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -47,34 +51,25 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def words(line: Column, short: bool = False) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"(?U)\s+" if short else " "), "")
+def words(line: Column) -> Column:
+    return F.array_remove(F.split(line, SPACE), "")
 
 
-def shingle(w: Column, at: Column) -> Column:
-    """Hash of the ``WORDS`` words from 0-based position ``at``, or of those that there are."""
-    return F.xxhash64(*(F.get(w, at + i) for i in range(WORDS)))
+def bucket(word_hash: Column) -> Column:
+    return F.pmod(word_hash, F.lit(BUCKETS)).cast("int")
 
 
-def bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
-
-
-def last_start(w: Column) -> Column:
-    return F.greatest(F.size(w) - WORDS, F.lit(0))
-
-
-def long_lines(docs: DataFrame, *keep: str, short: bool = False) -> DataFrame:
-    """(keep, line, w) of lines with enough words, or with any."""
+def worded_lines(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep, line, h): hashes of the words of every line that has any."""
     # lines become words before they become rows: a filter on the rows would else split every line twice
-    split = F.transform(lines(F.col("text")), lambda line: words(line, short))
-    return docs.select(*keep, F.posexplode(split).alias("line", "w")).where(F.size("w") >= (1 if short else WORDS))
+    hashes = F.transform(lines(F.lower("text")), lambda line: F.transform(words(line), lambda w: F.xxhash64(w)))
+    return docs.select(*keep, F.posexplode(hashes).alias("line", "h")).where(F.size("h") > 0)
 
 
-def rarity(docs: DataFrame, short: bool = False) -> Column:
-    """Array of ranks by bucket, from rare to frequent, over all tokens of all lines."""
-    each = long_lines(docs, short=short).select("w", F.explode(F.sequence(F.lit(0), last_start(F.col("w")))).alias("at"))
-    counts = each.groupBy(bucket(shingle(F.col("w"), F.col("at"))).alias("b")).count().collect()
+def rarity(docs: DataFrame) -> Column:
+    """Array of ranks by bucket, from rare to frequent, over all words."""
+    each = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
+    counts = each.groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
     ranks = [0] * BUCKETS
     for r in counts:
         # in steps of a quarter of a doubling, at most 255: counts that differ by chance share a rank
@@ -82,11 +77,19 @@ def rarity(docs: DataFrame, short: bool = False) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def token_set(w: Column, ranks: Column) -> Column:
-    """Tokens of a line in ascending order of rarity, each as its rank and 55 bits of its hash."""
-    hashes = F.transform(F.sequence(F.lit(0), last_start(w)), lambda at: shingle(w, at))
-    packed = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, bucket(h)), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
-    return F.sort_array(F.array_distinct(packed))
+def token_set(h: Column, ranks: Column) -> Column:
+    """Tokens of a line in ascending order of rarity, each as the rank of its rarest word and 55 bits of its hash."""
+    coded = F.transform(h, lambda x: F.shiftleft(F.get(ranks, bucket(x)), 55).bitwiseOR(F.shiftrightunsigned(x, 9)))
+
+    def grams(codes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(codes) - (WORDS - 1), F.lit(1)))
+        return F.transform(starts, lambda at: F.slice(codes, at, WORDS))
+
+    def token(gram: Column) -> Column:
+        rank = F.shiftleft(F.shiftright(F.array_min(gram), 55), 55)
+        return rank.bitwiseOR(F.shiftrightunsigned(F.xxhash64(gram), 9))
+
+    return F.sort_array(F.array_distinct(F.transform(let(coded, grams), token)))
 
 
 def overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -129,11 +132,11 @@ def line_number(n: Column, line: Column) -> Column:
     return F.when(line < (1 << PLACE_BITS), F.shiftleft(n, PLACE_BITS).bitwiseOR(line.cast("long"))).otherwise(far)
 
 
-def removals(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, lines): the lines that an earlier line matches, by document."""
-    ranks, order = rarity(docs, short), numbered(docs)
+    ranks, order = rarity(docs), numbered(docs)
     keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 24), "key")
-    tokens = long_lines(keyed, "n", short=short).select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("w"), ranks).alias("tokens"))
+    tokens = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("h"), ranks).alias("tokens"))
     each = written(
         tokens.select(
             "id", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"),
@@ -141,11 +144,9 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, short: bool = Fals
         ),
         "lines",
     )
-    # equal token sets: all but the first line of a class are copies
-    first = each.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    copies = written(each.select("id", "h1", "h2").join(first, ["h1", "h2"]).where("id <> first").select("id", "first").distinct(), "line-copies")
+    copies = _copies(each)
     classes = each.join(_guarded(copies.select("id"), 16), "id", "left_anti")
-    near = _later_classes(docs, order, ranks, classes, similarity, short)
+    near = _later_classes(docs, order, ranks, classes, similarity)
     # a copy has an earlier line that equals it
     gone = near.union(copies.select("id")).distinct()
     line = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
@@ -153,7 +154,26 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, short: bool = Fals
     return written(listed.join(order, "n").select("key", "lines"), "line-removals")
 
 
-def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float, short: bool) -> DataFrame:
+def _copies(each: DataFrame) -> DataFrame:
+    """(id) of every line whose token set an earlier line has."""
+    repeated = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    repeated = written(repeated.select("h1", "h2", "first"), "line-repeated")
+    rows = each.select("id", "h1", "h2")
+    if small_enough(repeated.count(), 40):
+        met = rows.join(F.broadcast(repeated), ["h1", "h2"])
+    else:
+        # a line may be in a third of all documents: its rows are dealt over several tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(repeated.select("*", salts), ["h1", "h2", "salt"])
+    return written(met.where("id <> first").select("id").distinct(), "line-copies")
+
+
+def band(size: Column, similarity: float) -> Column:
+    """Number of a range of sizes: sets that can match are in the same or in neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / math.log(1 / similarity) + 1e-9).cast("int")
+
+
+def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float) -> DataFrame:
     """(id) of the classes whose first line an earlier line matches."""
     posting = classes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.select("token", "id", packed(F.col("size"), F.col("pos")).alias("y"))
@@ -162,45 +182,52 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
         "token", "id", "y", F.first("id").over(by).alias("first"), F.first("y").over(by).alias("first_x"),
         F.lag("id").over(by).alias("last"), F.lag("y").over(by).alias("last_x"), F.lead("id").over(by).isNotNull().alias("more"),
     )
+    # a token of one class posts nothing
     lists = written(lists.where(F.col("last").isNotNull() | F.col("more")), "line-lists")
     one = lists.where("last IS NOT NULL").select(F.col("first").alias("x"), F.col("id").alias("y"), F.col("first_x").alias("x_at"), F.col("y").alias("y_at"))
     two = lists.where("last > first").select(F.col("last").alias("x"), F.col("id").alias("y"), F.col("last_x").alias("x_at"), F.col("y").alias("y_at"))
     tried = one.union(two).where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
     tried = written(tried, "line-pairs")
-    gone = written(_verified(docs, order, ranks, tried, similarity, short), "line-gone")
-    # the others meet the rest of their lists
-    open_ = lists.where("last > first").join(gone.withColumnRenamed("id", "gone"), F.col("id") == F.col("gone"), "left_anti")
-    x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"))
-    rest = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at")).join(x, "token")
+    gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
+    # the others meet the rest of their lists, as far as sizes are within reach
+    open_ = lists.where("last > first").join(_guarded(gone.withColumnRenamed("id", "gone"), 16), F.col("id") == F.col("gone"), "left_anti")
+    size = band(F.shiftright("y", 32), similarity)
+    x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"), size.alias("band"))
+    near_bands = F.explode(F.array(*[size + d for d in (-1, 0, 1)])).alias("band")
+    rest = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at"), near_bands).join(x, ["token", "band"])
     rest = rest.where((F.col("x") < F.col("y_id")) & possible("x_at", "y_at", similarity)).select("x", F.col("y_id").alias("y")).distinct()
     rest = written(rest.join(tried, ["x", "y"], "left_anti"), "line-pairs")
-    return written(gone.union(_verified(docs, order, ranks, rest, similarity, short)), "line-gone")
+    return written(gone.union(_verified(docs, order, ranks, rest, similarity)), "line-gone")
 
 
-def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float, short: bool) -> DataFrame:
+def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float) -> DataFrame:
     """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
     t = round(similarity * 1000)
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-wanted")
     # only documents with a wanted line are taken apart again
     whose = written(wanted.select(F.shiftright("id", PLACE_BITS).alias("n")).distinct().join(order, "n").select("n", "key"), "line-whose")
     keyed = docs.select("text", document_key().alias("key")).join(_guarded(whose, 24), "key")
-    found = long_lines(keyed, "n", short=short).select(line_number(F.col("n"), F.col("line")).alias("id"), "w").join(_guarded(wanted, 16), "id")
-    sets = written(found.select("id", token_set(F.col("w"), ranks).alias("tokens")), "line-tokens")
+    found = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), "h").join(_guarded(wanted, 16), "id")
+    sets = written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     same = shared * (1000 + t) >= (F.size("a") + F.size("b")) * t
     return pairs.join(x, "x").join(y, "y").where(same).select(F.col("y").alias("id")).distinct()
 
 
-def clean(docs: DataFrame, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that an earlier line matches; n_lines and n_removed replace columns of these names."""
-    gone = removals(docs, similarity, short).select(F.col("key").alias("_key"), F.col("lines").alias("_gone"))
+    gone = removals(docs, similarity).select(F.col("key").alias("_key"), F.col("lines").alias("_gone"))
     size = gone.agg(F.coalesce(F.sum(F.size("_gone") * 8 + 40), F.lit(0))).first()[0]
     small = small_enough(size, 1)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("whole"), document_key().alias("_key"))
     joined = rows.join(F.broadcast(gone) if small else gone, "_key", "left")
-    kept = F.filter(lines(F.col("whole")), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("text")
+
+    def left(parts: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
+        return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col("_gone").isNull(), F.col("whole")).otherwise(let(lines(F.col("whole")), left)).alias("text")
     count = F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines(F.col("whole")))).alias("n_lines")
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

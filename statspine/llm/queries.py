@@ -53,15 +53,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-SQL["op3_line_dedup"] = """
+SQL["op3_line_dedup"] = r"""
     WITH line AS (
         SELECT doc_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS value
         FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
     ), word AS (
-        SELECT doc_id, n, list_filter(string_split(lower(value), ' '), lambda x: x <> '') AS w FROM line
+        SELECT doc_id, n, list_filter(string_split_regex(lower(value), '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w FROM line
     ), tokens AS (
-        SELECT doc_id, n, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS t
-        FROM word WHERE len(w) >= 5
+        SELECT doc_id, n, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS t
+        FROM word WHERE len(w) > 0
     ), each AS (SELECT doc_id, n, len(t) AS size, unnest(t) AS token FROM tokens
     ), gone AS (
         SELECT DISTINCT doc_id, n FROM (

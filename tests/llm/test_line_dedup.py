@@ -8,8 +8,8 @@ from statspine.llm import line_dedup
 
 
 def grams(line):
-    w = [x for x in line.lower().split(" ") if x]
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else None
+    w = line.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else None
 
 
 def brute(rows):
@@ -60,7 +60,7 @@ def test_edges(spark):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
     assert got[None] == ("and a line that is its own", 2, 1)
     assert got[1] == (one + "\nshort", 3, 1) and got[3] == ("", 1, 1)
-    assert got[2] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == ("short\nshort", 2, 0)
+    assert got[2] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == ("", 2, 2)
     assert got[6] == (long, 1, 0) and got[7] == ("last", 2, 1) and got[8] == ("a b c d\ne f", 2, 0)
 
 
@@ -78,15 +78,33 @@ def test_large_group_of_near_copies_stays_linear(spark):
     assert line_dedup.clean(docs).where("text <> ''").count() == 1
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "small_enough", lambda *_: False)
+    rng = random.Random(9)
+    base = [" ".join(rng.choices("abcdefgh", k=rng.randint(3, 20))) for _ in range(8)]
+    rows = [(i, "\n".join(varied(rng, rng.choice(base)) for _ in range(4))) for i in range(40)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_a_document_of_many_equal_lines(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "the same line again and again\n" * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert line_dedup.clean(docs).first().n_removed == n - 1
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(100_000) < 60
+
+
 def test_empty(spark):
     assert line_dedup.clean(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_short_lines_and_white_space(spark):
-    def tokens(line):
-        w = line.lower().split()
-        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else None
-
     rng = random.Random(4)
     base = ["All rights reserved.", "a", "a b", "b a", "", "  ", "one two\tthree four five six", "one two three four", "a b c d e", "x\u00a0y\r"]
     base += [" ".join(rng.choices("pqrs", k=n)) for n in (3, 4, 5, 12)] + ["\t".join(f"w{i}" for i in range(30))]
@@ -95,14 +113,14 @@ def test_short_lines_and_white_space(spark):
     for d, t in sorted(rows):
         kept = []
         for line in t.split("\n"):
-            own = tokens(line)
+            own = grams(line)
             if own is None or not any(len(own & x) * 1800 >= (len(own) + len(x)) * 800 for x in seen):
                 kept.append(line)
             if own is not None:
                 seen.append(own)
         expected[d] = "\n".join(kept)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.clean(docs, short=True).collect()} == expected
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == expected
 
 
 def test_pipeline_removes_short_repeats(spark):
