@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +32,32 @@ def get_session(app: str = "statspine", master: str | None = None, conf: dict[st
     return builder.getOrCreate()
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders named inside are deleted when it is left, but for those that ``outlives`` names.
+
+    For steps whose result is a written table: nothing that they wrote before is read again.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _open_scopes.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def outlives(folder: str) -> None:
+    """Leave a scratch folder to the scope around the present one, if there is any."""
+    if _open_scopes and folder in _open_scopes[-1]:
+        _open_scopes[-1].remove(folder)
+        if len(_open_scopes) > 1:
+            _open_scopes[-2].append(folder)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the shared folder named by ``spark.checkpoint.dir``, or under the checkpoint
     folder that the session was given.
@@ -43,4 +71,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="statspine-")
-    return f"{root.rstrip('/')}/statspine/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/statspine/{purpose}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(folder)
+    return folder
