@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statspine.session import scratch_dir
+from statspine.session import outlives, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,13 @@ def ship(spark: SparkSession) -> None:
     context._statspine_shipped = True
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, result: bool = False) -> DataFrame:
     """``df`` written once to the shared scratch folder and read again: lineage ends there,
-    and a lost executor costs no more than a read."""
+    and a lost executor costs no more than a read. A ``result`` stays when the present scratch scope is left."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
+    if result:
+        outlives(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

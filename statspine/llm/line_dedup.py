@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from statspine.functions.columns import let
 from statspine.llm.common import small_enough, written
 from statspine.operators.ranking import global_row_number
+from statspine.session import scratch_scope
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -134,6 +135,11 @@ def line_number(n: Column, line: Column) -> Column:
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(key, lines): the lines that an earlier line matches, by document."""
+    with scratch_scope(docs.sparkSession):
+        return _removals(docs, similarity)
+
+
+def _removals(docs: DataFrame, similarity: float) -> DataFrame:
     ranks, order = rarity(docs), numbered(docs)
     keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 24), "key")
     tokens = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("h"), ranks).alias("tokens"))
@@ -151,7 +157,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = near.union(copies.select("id")).distinct()
     line = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     listed = gone.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_set(line).alias("lines"))
-    return written(listed.join(order, "n").select("key", "lines"), "line-removals")
+    return written(listed.join(order, "n").select("key", "lines"), "line-removals", result=True)
 
 
 def _copies(each: DataFrame) -> DataFrame:
