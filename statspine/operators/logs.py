@@ -217,39 +217,55 @@ SPANS = 60
 def rolling_request_count(requests: DataFrame, seconds: int = 3600, max_requests: int | None = None) -> DataFrame:
     """Requests of an identifier in the last ``seconds``, at each time it made one.
 
-    Each time adds its requests to a running sum and takes them away again when the window has passed,
-    so a row is read once however many the window holds. Time is cut into ``SPANS`` parts of a window;
-    a part's sum starts from the totals of the parts before it, so a busy identifier is many tasks.
-    Exact to the microsecond.
+    Each time adds its requests to a running sum and takes them away again when the window has passed, so a row is read once
+    however many the window holds. Time is cut into ``SPANS`` parts of a window; a part's sum starts from the totals of the
+    parts before it, so a busy identifier is many tasks. The rows are dealt by identifier and part once: totals, running sums
+    and the join of both use that. Exact to the microsecond.
     """
     size = seconds * 1_000_000
     part = max(1, size // SPANS)
-    per_time = requests.groupBy("identifier", "timestamp").agg(F.count("*").alias("_n"))
+    kind = requests.schema["timestamp"].dataType
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     change = F.explode(
         F.array(
             F.struct(at.alias("us"), F.col("_n").alias("by"), F.col("timestamp").alias("own")),
-            F.struct((at + size).alias("us"), (-F.col("_n")).alias("by"), F.lit(None).cast(requests.schema["timestamp"].dataType).alias("own")),
+            F.struct((at + size).alias("us"), (-F.col("_n")).alias("by"), F.lit(None).cast(kind).alias("own")),
         )
     ).alias("c")
+    # a struct equals another one whose fields are NULL too, so that it can be dealt and joined by
+    key = F.struct(F.col("identifier").alias("identifier")).alias("_key")
+    steps = requests.withColumn("_n", F.lit(1)).select(key, change)
+    dealt = steps.select("_key", F.floor(F.col("c.us") / part).alias("_part"), "c.*").repartition("_key", "_part")
     # a time that one request enters and another leaves is one row
-    steps = (
-        per_time.select("identifier", change)
-        .groupBy("identifier", F.floor(F.col("c.us") / part).alias("_part"), F.col("c.us").alias("_us"))
-        .agg(F.sum("c.by").alias("_by"), F.max("c.own").alias("timestamp"), F.sum(F.greatest("c.by", F.lit(0))).alias("request_count"))
-    )
-    before = Window.partitionBy("identifier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = steps.groupBy("identifier", "_part").agg(F.sum("_by").alias("_total"))
-    starts = totals.select("identifier", "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    upto = Window.partitionBy("identifier", "_part").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
-    sums = steps.withColumn("_sum", F.sum("_by").over(upto)).where("timestamp IS NOT NULL").alias("s")
-    same = F.col("s.identifier").eqNullSafe(F.col("t.identifier")) & (F.col("s._part") == F.col("t._part"))
-    out = sums.join(starts.alias("t"), same).select(
-        "s.identifier", "timestamp", "request_count", (F.col("_start") + F.col("_sum")).alias("rolling_count")
-    )
+    times = dealt.groupBy("_key", "_part", "us").agg(F.sum("by").alias("_by"), F.max("own").alias("timestamp"), F.sum(F.greatest("by", F.lit(0))).alias("request_count"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_key", "_part").agg(F.sum("by").alias("_total"))
+    starts = totals.select("_key", "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    upto = Window.partitionBy("_key", "_part").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    sums = times.withColumn("_sum", F.sum("_by").over(upto)).where("timestamp IS NOT NULL")
+    out = sums.join(starts, ["_key", "_part"]).select("_key.identifier", "timestamp", "request_count", (F.col("_start") + F.col("_sum")).alias("rolling_count"))
     return out if max_requests is None else out.withColumn("allowed", F.col("rolling_count") <= max_requests)
 
 
+def rolling_from_panes(panes: DataFrame, panes_in_window: int, pane: str) -> DataFrame:
+    """(identifier, border, rolling_count): requests of the ``panes_in_window`` panes that end at a border, from their counts.
+
+    ``panes`` (identifier, window_start, request_count) are counts of windows of length ``pane``. A pane is in as many
+    windows as these have panes; it is its count that is handed to them, not its requests.
+    """
+    steps = F.explode(F.sequence(F.lit(1), F.lit(panes_in_window))).alias("_k")
+    each = panes.select("identifier", "window_start", "request_count", steps)
+    border = F.col("window_start") + F.col("_k") * F.expr(f"INTERVAL {pane}")
+    return each.groupBy("identifier", border.alias("border")).agg(F.sum("request_count").alias("rolling_count"))
+
+
+def wider_windows(minutes: DataFrame, windows: tuple[str, ...] = WINDOWS) -> DataFrame:
+    """``request_counts`` of all windows from those of minutes, which the wider ones are made of."""
+    spans = F.array(*[F.struct(F.lit(w).alias("window_type"), F.date_trunc(w, "window_start").alias("window_start")) for w in windows])
+    each = minutes.select("identifier", "endpoint", "request_count", F.explode(spans).alias("w"))
+    return each.groupBy("identifier", "endpoint", "w.window_type", "w.window_start").agg(F.sum("request_count").alias("request_count"))
+
+
 def expired_windows_removed(counts: DataFrame, now: datetime) -> DataFrame:
     """Window counters still open at ``now``."""
     start = F.col("window_start")

@@ -26,7 +26,7 @@ def gathered(text):
     return [lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
 
 
-SLOW_TO_BUILD = re.compile(r"^(I|K|T1_request_counts_stream|T4|T5|N2)")
+SLOW_TO_BUILD = re.compile(r"^(I|K|T\d_\w+_stream|T2_hourly|N2)")
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not SLOW_TO_BUILD.match(n)])
