@@ -11,7 +11,8 @@ from statspine.functions.columns import exact_avg, growth_pct, nulls_last, perce
 from statspine.model import Star
 from statspine.operators.aggregates import join_on
 from statspine.operators.predicates import attribute, territories, year_range
-from statspine.operators.ranking import cut_into_ranges, global_rank, ranged_median, top_k_per_group
+from statspine.operators.ranking import global_rank, selected_median, top_k_per_group
+from statspine.session import scratch_dir
 
 
 def series_totals(observations: DataFrame) -> DataFrame:
@@ -148,22 +149,19 @@ def _category_rows(star: Star, categories: list[str], start: int | None, end: in
 def _yearly(rows: DataFrame) -> DataFrame:
     """Counts, mean, spread and median of every category and year.
 
-    The joined observations are counted by value once and written in ranges; all numbers are taken from those.
+    The joined observations are written once, narrow and where they are; one aggregate and the rounds of the median read
+    them, and none of these moves an observation.
     """
-    keys, n = ["category", "year"], F.col("_n")
-    order = [*keys, "obs_value", "dataset_id"]
-    ranged = cut_into_ranges(rows.groupBy(*order).agg(F.count("*").alias("_n")), order)
-    stats = ranged.groupBy(*keys).agg(
+    keys, path = ["category", "year"], scratch_dir(rows.sparkSession, "trends")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    stats = rows.groupBy(*keys).agg(
         F.count_distinct("dataset_id").alias("dataset_count"),
-        F.sum("_n").alias("total_observations"),
-        ratio(F.sum(F.col("obs_value") * n), F.sum("_n")).alias("avg_value"),
-    )
-    off = F.col("obs_value").cast("double") - F.col("avg_value")
-    spread = join_on(ranged, stats, keys).groupBy(*keys).agg(
-        F.sqrt(F.try_divide(F.sum(n * off * off), F.sum("_n") - 1)).alias("std_dev")
+        F.count("obs_value").alias("total_observations"),
+        exact_avg("obs_value").alias("avg_value"),
+        F.stddev_samp(F.col("obs_value").cast("double")).alias("std_dev"),
     )
-    median = ranged_median(ranged, keys, order, "obs_value", "_n", "median_value")
-    return join_on(join_on(stats, spread, keys), median, keys)
+    return join_on(stats, selected_median(rows, keys, "obs_value", "median_value"), keys)
 
 
 def category_trends(star: Star, categories: list[str], start_year: int, end_year: int) -> DataFrame:

@@ -4,7 +4,7 @@ A window without PARTITION BY moves every row to one task, and a window over a h
 key moves that key's rows to one task. Here the distinct sort keys are counted first
 (copies collapse before the shuffle) and cut into ordered ranges; the ranges are
 written to the shared scratch folder, so that the totals per range and the numbering
-inside a range are taken from the same cut.
+inside a range are taken from the same cut. Medians are selected by counts alone.
 """
 
 from __future__ import annotations
@@ -89,15 +89,91 @@ def top_k_per_group(df: DataFrame, keys: list[str], order_by: list[Column], k: i
     return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
 
 
+# intervals that a group's values are counted in at a time, and rows of a group that are counted by value in the end
+INTERVALS = 1024
+COUNTED = 50_000
+# groups whose bounds are handed to every task, and rounds of narrowing; beyond either, values are cut into ranges
+GROUPS = 50_000
+ROUNDS = 12
+
+
 def grouped_median(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
     """Exact interpolated median per group, also for groups too large for one task.
 
-    Equal values of a group are counted first, then all groups are cut into ranges together:
-    a large group is many ranges, and no group's values are held in memory.
+    By selection: values are counted by group and interval where they lie, the interval that holds the middle is cut
+    again, and when few values are left these are counted one by one. What is shuffled are counts. The rows are written
+    once, since each round reads them.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    return ranged_median(cut_into_ranges(counted, [*keys, "_v"]), keys, [*keys, "_v"], "_v", "_n", name)
+    path = scratch_dir(df.sparkSession, "values")
+    rows.write.parquet(path)
+    return selected_median(df.sparkSession.read.schema(rows.schema).parquet(path), keys, "_v", name)
+
+
+def selected_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``grouped_median`` of a written table whose values are not NULL."""
+    spark, v = rows.sparkSession, F.col(value).cast("double")
+    places = [F.floor((F.count("*") - 1) / 2), F.floor(F.count("*") / 2)]
+    bounds = rows.groupBy(*keys).agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_n"), *[p.alias(f"_r{i}") for i, p in enumerate(places)]
+    )
+    schema = bounds.schema
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = scratch_dir(spark, "bounds")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def inside(open_: DataFrame) -> DataFrame:
+        """Rows within the bounds of their group, which stay on every machine: there is one row for each group."""
+        named = open_.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_lo", "_hi", "_r0", "_r1")
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+        return rows.join(F.broadcast(named), on).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+
+    bounds, found = stored(bounds), []
+    for _ in range(ROUNDS):
+        span = F.col("_hi") - F.col("_lo")
+        groups, left, wide = bounds.agg(
+            F.count("*"), F.coalesce(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_n"))), F.lit(0)), F.coalesce(F.max(F.isnan(span) | (span == float("inf"))), F.lit(False))
+        ).first()
+        if groups > GROUPS or wide:
+            break
+        found.append(bounds.where("_lo = _hi").select(*keys, F.col("_lo").alias("_m0"), F.col("_lo").alias("_m1")))
+        open_ = bounds.where("_lo < _hi")
+        if left <= COUNTED:
+            if left:
+                found.append(_counted_middle(inside(open_), keys, v))
+            out = found[0]
+            for more in found[1:]:
+                out = out.unionByName(more)
+            return out.select(*keys, ((F.col("_m0") + F.col("_m1")) / 2).alias(name))
+        at = F.least(F.floor((v - F.col("_lo")) / span * INTERVALS), F.lit(INTERVALS - 1)).cast("int")
+        counts = inside(open_).groupBy(*keys, at.alias("_at")).agg(F.count("*").alias("_c"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.max("_r0").alias("_r0"), F.max("_r1").alias("_r1"))
+        before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        holds = [(F.col("_b") <= F.col(r)) & (F.col(r) < F.col("_b") + F.col("_c")) for r in ("_r0", "_r1")]
+        halves = [F.max(F.when(h, F.struct("_b", "_c", "_min", "_max"))).alias(f"_h{i}") for i, h in enumerate(holds)]
+        middle = stored(counts.groupBy(*keys).agg(*halves, F.max("_r0").alias("_r0"), F.max("_r1").alias("_r1")))
+        # the two middle values are on either side of an edge, or in the same interval
+        same = F.col("_h0._b") == F.col("_h1._b")
+        found.append(middle.where(~same).select(*keys, F.col("_h0._max").alias("_m0"), F.col("_h1._min").alias("_m1")))
+        bounds = middle.where(same).select(
+            *keys, F.col("_h0._min").alias("_lo"), F.col("_h0._max").alias("_hi"), F.col("_h0._c").alias("_n"),
+            *[(F.col(r) - F.col("_h0._b")).alias(r) for r in ("_r0", "_r1")],
+        ).select(*schema.names)
+    counted = rows.withColumn("_x", v).groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    return ranged_median(cut_into_ranges(counted, [*keys, "_x"]), keys, [*keys, "_x"], "_x", "_n", name)
+
+
+def _counted_middle(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """The values at places ``_r0`` and ``_r1`` of every group."""
+    counts = rows.groupBy(*keys, value.alias("_x")).agg(F.count("*").alias("_c"), F.max("_r0").alias("_r0"), F.max("_r1").alias("_r1"))
+    before = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    holds = [(F.col("_b") <= F.col(r)) & (F.col(r) < F.col("_b") + F.col("_c")) for r in ("_r0", "_r1")]
+    return counts.groupBy(*keys).agg(*[F.max(F.when(h, F.col("_x"))).alias(f"_m{i}") for i, h in enumerate(holds)])
 
 
 def ranged_median(ranged: DataFrame, keys: list[str], order: list[str], value: str, weight: str, name: str) -> DataFrame:

@@ -59,6 +59,40 @@ def test_median_groups_with_missing_key(spark):
     assert {r.g: r.m for r in R.grouped_median(df, ["g"], "v", "m").collect()} == {None: 2.5, "a": 2.0}
 
 
+@pytest.mark.parametrize("intervals, counted, groups", [(1024, 50_000, 50_000), (4, 3, 50_000), (2, 0, 50_000), (16, 10, 0)])
+def test_median_by_selection(spark, monkeypatch, intervals, counted, groups):
+    import random
+
+    monkeypatch.setattr(R, "INTERVALS", intervals)
+    monkeypatch.setattr(R, "COUNTED", counted)
+    monkeypatch.setattr(R, "GROUPS", groups)
+    rng = random.Random(intervals)
+    values = {
+        "even": [1.0, 2.0, 3.0, 4.0], "odd": [5.0, 1.0, 9.0], "one": [7.5], "two": [1.0, 2.0], "same": [3.0] * 50,
+        "hot": [rng.choice([1.0, 1.0, 1.0, 2.0]) for _ in range(400)], "far": [1e300, -1e300, 0.0, 1e-300, 5e-324, 1.0],
+        "tail": [10.0**k for k in range(40)], "many": [rng.gauss(0, 1) for _ in range(999)], None: [rng.random() for _ in range(64)],
+    }
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("even", None), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    assert {r.g: r.m for r in R.grouped_median(df, ["g"], "v", "m").collect()} == {g: statistics.median(v) for g, v in values.items()}
+
+
+def test_median_of_values_without_a_span(spark):
+    rows = [("nan", float("nan")), ("nan", 1.0), ("nan", 2.0), ("inf", float("inf")), ("inf", 1.0), ("inf", -float("inf")), ("wide", 1.7e308), ("wide", -1.7e308), ("wide", 2.0)]
+    got = {r.g: r.m for r in R.grouped_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "m").collect()}
+    assert got == {"nan": 2.0, "inf": 1.0, "wide": 2.0}
+    assert R.grouped_median(spark.createDataFrame([], "g string, v double"), ["g"], "v", "m").count() == 0
+
+
+def test_selection_moves_no_values(spark, skewed):
+    """Every exchange above the written values is one of counts by interval or value."""
+    plan = R.grouped_median(skewed, ["g"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert below and all("partial_" in line for line in below)
+
+
 def test_top_k_per_group(spark, skewed):
     got = R.top_k_per_group(skewed, ["g"], [F.col("id").desc()], 2)
     assert got.count() == 12 and got.where("row_number = 1").agg(F.max("id")).first()[0] == 2999
