@@ -8,9 +8,9 @@ of common words out of the prefixes. A line of n tokens can reach a similarity o
 first n - ceil(t n) + 1 tokens, have between t n and n / t tokens, and leave room for the overlap after the positions of the
 shared token. What passes these filters is verified on the token sets.
 
-Equal token sets are one class before the join. Within a list of classes that share a token, a class meets the earliest
-and the next earlier one first; only classes that neither of them removes meet those of the rest of the list that have a size
-within reach, which is part of the join's key. So a large group of near copies costs two pairs for each of its members.
+Equal token sets are one class before the join. Within a list of classes that share a token, a class meets the earliest one
+and the ``TRIED`` before it first; only classes that none of them removes meet those of the rest of the list that have a size
+within reach, which is part of the join's key. So a large group of near copies costs a few pairs for each of its members.
 
 A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
 document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
@@ -35,13 +35,16 @@ from statspine.session import scratch_scope
 
 WORDS = 5
 SIMILARITY = 0.8
-#: rows of the table of word counts, whatever the corpus
-BUCKETS = 1 << 16
+#: bits of a word's hash that choose its row in the table of word counts, whatever the corpus
+BITS = 16
 #: bits of a line's number that are its place in the document; the others number documents
 PLACE_BITS = 27
+#: classes before it in a list that a class meets first
+TRIED = 8
 #: parts that the lines of repeated classes are dealt over where their table is not small
 SALTS = 32
-SPACE = r"(?U)\s+"
+#: white space other than blanks and line ends
+ODD = "[\\t\\x0B-\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -52,43 +55,50 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+def plain(text: Column) -> Column:
+    """Lower-cased text whose words are parted by blanks and line ends only, which are quicker to split at."""
+    low = F.lower(text)
+    return F.when(low.rlike(ODD), F.regexp_replace(low, ODD, " ")).otherwise(low)
+
+
+def word_hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
 
 
 def bucket(word_hash: Column) -> Column:
-    return F.pmod(word_hash, F.lit(BUCKETS)).cast("int")
+    """A word's bucket: the first bits of its hash."""
+    return F.shiftrightunsigned(word_hash, 64 - BITS).cast("int")
 
 
 def worded_lines(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep, line, h): hashes of the words of every line that has any."""
     # lines become words before they become rows: a filter on the rows would else split every line twice
-    hashes = F.transform(lines(F.lower("text")), lambda line: F.transform(words(line), lambda w: F.xxhash64(w)))
+    hashes = F.transform(lines(plain(F.col("text"))), word_hashes)
     return docs.select(*keep, F.posexplode(hashes).alias("line", "h")).where(F.size("h") > 0)
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array of ranks by bucket, from rare to frequent, over all words."""
-    each = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
+    """Array of ranks by bucket, from rare to frequent, over all words, each shifted to where a token has it."""
+    text = F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" "))
+    each = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
     counts = each.groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
-    ranks = [0] * BUCKETS
+    ranks = [0] * (1 << BITS)
     for r in counts:
         # in steps of a quarter of a doubling, at most 255: counts that differ by chance share a rank
-        ranks[r["b"]] = min(255, round(4 * math.log2(r["count"] + 1)))
+        ranks[r["b"]] = min(255, round(4 * math.log2(r["count"] + 1))) << 55
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def token_set(h: Column, ranks: Column) -> Column:
     """Tokens of a line in ascending order of rarity, each as the rank of its rarest word and 55 bits of its hash."""
-    coded = F.transform(h, lambda x: F.shiftleft(F.get(ranks, bucket(x)), 55).bitwiseOR(F.shiftrightunsigned(x, 9)))
+    coded = F.transform(h, lambda x: F.get(ranks, bucket(x)).bitwiseOR(F.shiftrightunsigned(x, 9)))
 
     def grams(codes: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(codes) - (WORDS - 1), F.lit(1)))
         return F.transform(starts, lambda at: F.slice(codes, at, WORDS))
 
     def token(gram: Column) -> Column:
-        rank = F.shiftleft(F.shiftright(F.array_min(gram), 55), 55)
-        return rank.bitwiseOR(F.shiftrightunsigned(F.xxhash64(gram), 9))
+        return F.array_min(gram).bitwiseAND(F.lit(255 << 55)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(gram), 9))
 
     return F.sort_array(F.array_distinct(F.transform(let(coded, grams), token)))
 
@@ -141,7 +151,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _removals(docs: DataFrame, similarity: float) -> DataFrame:
     ranks, order = rarity(docs), numbered(docs)
-    keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 24), "key")
+    keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 200), "key")
     tokens = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("h"), ranks).alias("tokens"))
     each = written(
         tokens.select(
@@ -151,7 +161,7 @@ def _removals(docs: DataFrame, similarity: float) -> DataFrame:
         "lines",
     )
     copies = _copies(each)
-    classes = each.join(_guarded(copies.select("id"), 16), "id", "left_anti")
+    classes = each.join(_guarded(copies.select("id"), 100), "id", "left_anti")
     near = _later_classes(docs, order, ranks, classes, similarity)
     # a copy has an earlier line that equals it
     gone = near.union(copies.select("id")).distinct()
@@ -165,7 +175,7 @@ def _copies(each: DataFrame) -> DataFrame:
     repeated = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     repeated = written(repeated.select("h1", "h2", "first"), "line-repeated")
     rows = each.select("id", "h1", "h2")
-    if small_enough(repeated.count(), 40):
+    if small_enough(repeated.count(), 200):
         met = rows.join(F.broadcast(repeated), ["h1", "h2"])
     else:
         # a line may be in a third of all documents: its rows are dealt over several tasks
@@ -184,19 +194,19 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
     posting = classes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.select("token", "id", packed(F.col("size"), F.col("pos")).alias("y"))
     by = Window.partitionBy("token").orderBy("id")
-    lists = posting.select(
-        "token", "id", "y", F.first("id").over(by).alias("first"), F.first("y").over(by).alias("first_x"),
-        F.lag("id").over(by).alias("last"), F.lag("y").over(by).alias("last_x"), F.lead("id").over(by).isNotNull().alias("more"),
-    )
+    ranked = posting.select("*", F.row_number().over(by).alias("nth"), F.lead("id").over(by).isNotNull().alias("more"))
     # a token of one class posts nothing
-    lists = written(lists.where(F.col("last").isNotNull() | F.col("more")), "line-lists")
-    one = lists.where("last IS NOT NULL").select(F.col("first").alias("x"), F.col("id").alias("y"), F.col("first_x").alias("x_at"), F.col("y").alias("y_at"))
-    two = lists.where("last > first").select(F.col("last").alias("x"), F.col("id").alias("y"), F.col("last_x").alias("x_at"), F.col("y").alias("y_at"))
-    tried = one.union(two).where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
+    lists = written(ranked.where((F.col("nth") > 1) | F.col("more")).select("token", "id", "y", "nth"), "line-lists")
+    # every class meets the first of its list and those just before it
+    entry = F.struct("id", "y")
+    near = F.concat(F.collect_list(entry).over(by.rowsBetween(-TRIED, -1)), F.array(F.first(entry).over(by)))
+    met = lists.select("id", "y", F.explode(near).alias("x")).select(F.col("x.id").alias("x"), F.col("id").alias("y"), F.col("x.y").alias("x_at"), F.col("y").alias("y_at"))
+    tried = met.where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
     tried = written(tried, "line-pairs")
     gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
     # the others meet the rest of their lists, as far as sizes are within reach
-    open_ = lists.where("last > first").join(_guarded(gone.withColumnRenamed("id", "gone"), 16), F.col("id") == F.col("gone"), "left_anti")
+    later = lists.where(F.col("nth") > TRIED + 2)
+    open_ = later.join(_guarded(gone.withColumnRenamed("id", "gone"), 100), F.col("id") == F.col("gone"), "left_anti")
     size = band(F.shiftright("y", 32), similarity)
     x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"), size.alias("band"))
     near_bands = F.explode(F.array(*[size + d for d in (-1, 0, 1)])).alias("band")
@@ -210,10 +220,14 @@ def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame
     """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
     t = round(similarity * 1000)
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-wanted")
-    # only documents with a wanted line are taken apart again
-    whose = written(wanted.select(F.shiftright("id", PLACE_BITS).alias("n")).distinct().join(order, "n").select("n", "key"), "line-whose")
-    keyed = docs.select("text", document_key().alias("key")).join(_guarded(whose, 24), "key")
-    found = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), "h").join(_guarded(wanted, 16), "id")
+    # only the wanted lines of documents that have any are taken apart again
+    place = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    by_document = wanted.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_list(place).alias("places"))
+    whose = written(by_document.join(order, "n"), "line-whose")
+    size = whose.agg(F.coalesce(F.sum(F.size("places") * 8 + 200), F.lit(0))).first()[0]
+    keyed = docs.select("text", document_key().alias("key")).join(F.broadcast(whose) if small_enough(size, 1) else whose, "key")
+    picked = let(lines(plain(F.col("text"))), lambda parts: F.transform("places", lambda i: F.struct(i.alias("line"), word_hashes(F.get(parts, i)).alias("h"))))
+    found = keyed.select("n", F.explode(picked).alias("p")).select(line_number(F.col("n"), F.col("p.line")).alias("id"), "p.h")
     sets = written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
