@@ -200,7 +200,7 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
     # every class meets the first of its list and those just before it
     entry = F.struct("id", "y")
     near = F.concat(F.collect_list(entry).over(by.rowsBetween(-TRIED, -1)), F.array(F.first(entry).over(by)))
-    met = lists.select("id", "y", F.explode(near).alias("x")).select(F.col("x.id").alias("x"), F.col("id").alias("y"), F.col("x.y").alias("x_at"), F.col("y").alias("y_at"))
+    met = lists.select("id", "y", near.alias("near")).select("id", "y", F.explode("near").alias("x")).select(F.col("x.id").alias("x"), F.col("id").alias("y"), F.col("x.y").alias("x_at"), F.col("y").alias("y_at"))
     tried = met.where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
     tried = written(tried, "line-pairs")
     gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
