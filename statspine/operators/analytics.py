@@ -347,28 +347,30 @@ def dataset_stats(star: Star) -> DataFrame:
 def kpi_metrics(star: Star, categories: list[str], start_year: int, end_year: int) -> DataFrame:
     """Per category: latest value, growth on the value before it, mean, share of values, range.
 
-    Only the last two rows of a category are ranked; the rest is one aggregate.
+    Observations shrink to one row per series, which is written and feeds both parts: the aggregate, and the choice of the
+    two last series of a category, the only ones whose observations are looked at one by one.
     """
+    spark, path = star.observations.sparkSession, scratch_dir(star.observations.sparkSession, "kpi")
     meta = star.metadata.where(F.col("category").isin(list(categories))).select("dataset_id", "category")
     series = year_range(star.series, start_year, end_year).select("id", "dataset_id", "year", "time_period")
-    values = star.observations.select("dataset_row_id", "obs_value")
-    rows = Star(meta, series, values).joined()
-    latest = top_k_per_group(
-        rows.select("category", "year", "time_period", "dataset_row_id", "obs_value"),
-        ["category"],
-        nulls_last("-year", "-time_period", "-dataset_row_id", "-obs_value"),
-        2,
-    )
+    totals = Star(meta, series, series_totals(star.observations)).joined()
+    totals.select("category", "year", "time_period", "dataset_row_id", "_rows", "_values", "_sum", "_min", "_max").write.parquet(path)
+    totals = spark.read.parquet(path)
+    newest = ["-year", "-time_period", "-dataset_row_id"]
+    # two series at most of each of the asked categories
+    last = top_k_per_group(totals.select("category", "year", "time_period", "dataset_row_id"), ["category"], nulls_last(*newest), 2, "_nth")
+    values = star.observations.select("dataset_row_id", "obs_value").join(F.broadcast(last), "dataset_row_id")
+    latest = top_k_per_group(values, ["category"], nulls_last(*newest, "-obs_value"), 2)
     at = lambda n: F.max(F.when(F.col("row_number") == n, F.col("obs_value"))).cast("double")
     last_two = latest.groupBy("category").agg(at(1).alias("latest"), at(2).alias("_previous"))
-    stats = rows.groupBy("category").agg(
-        exact_avg("obs_value").alias("avg"),
-        percent(F.count("obs_value"), F.count("*")).alias("quality"),
-        F.min("obs_value").cast("double").alias("min_value"),
-        F.max("obs_value").cast("double").alias("max_value"),
+    stats = totals.groupBy("category").agg(
+        ratio(F.sum("_sum"), F.sum("_values")).alias("avg"),
+        percent(F.sum("_values"), F.sum("_rows")).alias("quality"),
+        F.min("_min").cast("double").alias("min_value"),
+        F.max("_max").cast("double").alias("max_value"),
         F.min("year").alias("first_period"),
         F.max("year").alias("last_period"),
-        F.count("*").alias("points"),
+        F.sum("_rows").alias("points"),
     )
     return (
         stats.join(last_two, "category")

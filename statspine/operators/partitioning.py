@@ -84,6 +84,23 @@ def partition_stats(df: DataFrame, key: str = "partition_key") -> DataFrame:
     )
 
 
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose Parquet scans answer counts, smallest and largest values from file footers."""
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.sources.useV1SourceList", "csv,json,orc,text")
+    beside.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return beside
+
+
+def stored_partition_stats(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows, first and last year by decade and territory group of a table that ``write_partitioned`` wrote.
+
+    All of it stands in the files' footers: no data column is read.
+    """
+    rows = read_partitioned(footer_session(spark), path, schema)
+    return rows.groupBy(*PARTITION_COLUMNS).agg(F.count("*").alias("row_count"), F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+
+
 def partition_totals(stats: DataFrame) -> DataFrame:
     return stats.agg(
         F.count("*").alias("total_partitions"),

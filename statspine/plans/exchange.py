@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statspine.operators import partitioning as N
 from statspine.plans import standin as S
-from statspine.plans.catalog import query
+from statspine.plans.catalog import SQL, query
 from statspine.session import scratch_dir
 from statspine.sinks import export as K
 from statspine.sources import sdmx as X
@@ -295,6 +295,13 @@ def _(spark, d):
     return I.scan_dataset(S.raw_observations(spark, d), "7", "1996-01-01", "1998", ["time_period", "obs_value", "no_such_column"])
 
 
+@query("I11_scan_clustered", SQL["I11_scan_dataset"])
+def _(spark, d):
+    path = scratch_dir(spark, "clustered")
+    I.write_clustered(S.raw_observations(spark, d), path, ["dataset_id", "time_period"], ["dataset_id"])
+    return I.scan_dataset(I.read_store(spark, path), "7", "1996-01-01", "1998", ["time_period", "obs_value"])
+
+
 # export
 
 
@@ -434,6 +441,15 @@ def _(spark, d):
     return N.prune(N.read_partitioned(spark, path, rows.schema), 1996, 1999, ["ITA0", "EC2"])
 
 
+@query("N4_stored_partition_stats", f"""SELECT CAST(year // 10 * 10 AS INTEGER) AS decade, substr(territory_code, 1, 2) AS territory_group, COUNT(*) AS row_count,
+  MIN(year) AS min_year, MAX(year) AS max_year FROM {S.SERIES} d GROUP BY 1, 2""")
+def _(spark, d):
+    path = scratch_dir(spark, "partitioned")
+    rows = S.series(spark, d).select("id", "dataset_id", "year", "territory_code")
+    N.write_partitioned(rows, path)
+    return N.stored_partition_stats(spark, path, rows.schema)
+
+
 @query("N2_write_partitioned_text_groups", "SELECT c_custkey AS id, printf('%02d', c_nationkey) AS territory_code, printf('%02d', c_nationkey) AS territory_group, 2020 AS decade FROM customer")
 def _(spark, d):
     path = scratch_dir(spark, "partitioned")

@@ -10,8 +10,10 @@ from statspine.operators import aggregates as A
 from statspine.operators import analytics as D
 from statspine.operators import predicates as P
 from statspine.operators import ranking as R
+from statspine.operators import sketches as K
 from statspine.plans import standin as S
 from statspine.plans.catalog import query
+from statspine.session import scratch_dir
 
 HIGH = "1-URGENT"
 
@@ -269,6 +271,38 @@ def _(spark, d):
     return A.aggregate(S.table(spark, d, "lineitem"), ["l_returnflag"], parts=("COUNT_DISTINCT", "l_partkey"))
 
 
+def _month_sketches(spark, d) -> DataFrame:
+    """Sketches of every month, as they are stored."""
+    lines = S.table(spark, d, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    path = scratch_dir(spark, "sketches")
+    K.sketched(lines, ["l_returnflag", "month"], ("l_extendedprice",), ("l_partkey",)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+SPAN_SQL = "FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '1993-04' AND '1996-09' GROUP BY l_returnflag"
+
+
+@query("A4_median_sketch", f"SELECT l_returnflag, COUNT(*) AS n, true AS within_error {SPAN_SQL}")
+def _(spark, d):
+    # months merged over a span; the estimate's rank among the values themselves says how far off it is
+    span = K.estimated(K.merged(_month_sketches(spark, d).where("month BETWEEN '1993-04' AND '1996-09'"), ["l_returnflag"]))
+    lines = S.table(spark, d, "lineitem").where("date_format(l_shipdate, 'yyyy-MM') BETWEEN '1993-04' AND '1996-09'")
+    held = lines.join(span.select("l_returnflag", "l_extendedprice_quantile", F.col("rows").alias("n")), "l_returnflag")
+    below = F.count_if(F.col("l_extendedprice") < F.col("l_extendedprice_quantile")) / F.count("*")
+    upto = F.count_if(F.col("l_extendedprice") <= F.col("l_extendedprice_quantile")) / F.count("*")
+    near = (below <= 0.5 + K.RANK_ERROR) & (upto >= 0.5 - K.RANK_ERROR)
+    return held.groupBy("l_returnflag").agg(F.max("n").alias("n"), near.alias("within_error"))
+
+
+@query("A5_distinct_sketch", f"SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, true AS within_error {SPAN_SQL}")
+def _(spark, d):
+    span = K.estimated(K.merged(_month_sketches(spark, d).where("month BETWEEN '1993-04' AND '1996-09'"), ["l_returnflag"]))
+    lines = S.table(spark, d, "lineitem").where("date_format(l_shipdate, 'yyyy-MM') BETWEEN '1993-04' AND '1996-09'")
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"))
+    off = F.abs(F.col("l_partkey_distinct") - F.col("parts"))
+    return exact.join(span, "l_returnflag").select("l_returnflag", "parts", (off <= F.col("parts") * K.COUNT_ERROR + 1).alias("within_error"))
+
+
 @query(
     "A6_count_distinct_tuple",
     f"SELECT COUNT(DISTINCT (dataset_id, obs_value, time_period, record_id)) AS distinct_rows FROM {S.RAW} r",

@@ -14,7 +14,9 @@ from statspine.operators import registry as M
 from statspine.operators import table_query as O
 from statspine.plans import standin as S
 from statspine.plans.analytic import STATS
-from statspine.plans.catalog import query
+from statspine.plans.catalog import SQL, query
+from statspine.session import scratch_dir
+from statspine.sources.bucketed import BucketedTable
 
 AS_OF = datetime(2024, 1, 20, 12)
 AS_OF_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
@@ -90,6 +92,20 @@ def _(spark, d):
     return M.upsert_latest(stored, _incoming(spark, d))
 
 
+def _stored_registry(spark, d, columns: list[str]) -> BucketedTable:
+    rows = S.registry(spark, d).select(*columns)
+    table = BucketedTable(scratch_dir(spark, "registry"), rows.schema)
+    table.create(rows)
+    return table
+
+
+@query("M5_upsert_stored", SQL["M5_upsert_latest"])
+def _(spark, d):
+    table = _stored_registry(spark, d, UPSERT_COLS.split(", "))
+    table.merge(_incoming(spark, d), M.upsert_latest)
+    return table.read(spark)
+
+
 # two rows for every key: the later name, by text, wins; the unit of a new key is that of its first row
 M6_INCOMING = f"""(SELECT dataset_id + 7 AS dataset_id, dataset_name || suffix AS dataset_name, 'altro' AS category, 1 AS priority, unit AS unit_of_measure
   FROM {S.METADATA} m, (VALUES (' new', 'kg'), (' newer', 'g')) v(suffix, unit) WHERE dataset_id % 3 = 0)"""
@@ -136,6 +152,14 @@ def _(spark, d):
     return M.soft_delete(S.registry(spark, d).select("dataset_id", "is_active", "updated_at"), gone, AS_OF)
 
 
+@query("M7_soft_delete_stored", SQL["M7_soft_delete"])
+def _(spark, d):
+    table = _stored_registry(spark, d, ["dataset_id", "is_active", "updated_at"])
+    gone = S.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("dataset_id"))
+    table.merge(gone, lambda rows, ids: M.soft_delete(rows, ids, AS_OF))
+    return table.read(spark)
+
+
 @query("M7_retention", f"""SELECT id, "timestamp" FROM {S.AUDIT} a WHERE "timestamp" >= {AS_OF_SQL} - INTERVAL 10 DAY""")
 def _(spark, d):
     return M.retain_since(S.audit_log(spark, d), "timestamp", AS_OF, 10).select("id", "timestamp")
