@@ -123,9 +123,11 @@ def places(words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     joined = b" " + b" ".join(words) + b" "
     found = {}
     for phrase in phrases:
-        sought, at = b" " + phrase.encode() + b" ", -1
+        sought, at, place, counted = b" " + phrase.encode() + b" ", -1, 0, 0
         while (at := joined.find(sought, at + 1)) >= 0:
-            found.setdefault(phrase, []).append(joined.count(b" ", 0, at))
+            place += joined.count(b" ", counted, at)
+            counted = at
+            found.setdefault(phrase, []).append(place)
     return found
 
 

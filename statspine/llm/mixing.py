@@ -135,7 +135,7 @@ def mixed(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | Non
         F.collect_list(F.struct("pass", (F.col("base") + F.col("r") - 1).alias("place"))).alias("places")
     )
     places = written(places, "mix-places")
-    if small_enough(places.count(), 64):
+    if small_enough(places.count(), 256):
         places = F.broadcast(places)
 
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("source").alias("src"), tokens(F.col("text")).alias("tokens"))

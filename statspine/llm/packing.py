@@ -28,8 +28,6 @@ from statspine.llm.common import written
 CAPACITY = 2048
 #: closes each document
 CLOSE = 0
-#: runs that one task sweeps; beyond that, runs are dealt over tasks that each fill sequences of their own
-RUNS = 100_000
 #: pieces of one length that one task numbers
 PART = 20_000
 SPECIAL = "<|endoftext|>"
@@ -79,13 +77,13 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY)
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-RUN = "share int, kind int, size long, start long, n long, seq long, gap long"
+RUN = "kind int, size long, start long, n long, seq long, gap long"
 
 
-def sweep(capacity: int, share: int, first: int, docs: list[list[int]], gaps: list[list[int]]) -> Iterator[tuple]:
-    """One share's documents (size, rank, n) and gaps (gap, sequence, n): what was placed (kind 2) and the gaps left (kind 1).
+def sweep(capacity: int, first: int, docs: list[list[int]], gaps: list[list[int]]) -> Iterator[tuple]:
+    """Runs of documents (size, rank, n) and gaps (gap, sequence, n): what was placed (kind 2) and the gaps left (kind 1).
 
-    ``first`` numbers the sequences that this share opens in this round.
+    ``first`` numbers the sequences that are opened in this round.
     """
     heap = [(gap, seq, n) for gap, seq, n in gaps]
     waiting = sorted(heap, reverse=True)  # gaps below the present size, largest last in line for the next
@@ -103,7 +101,7 @@ def sweep(capacity: int, share: int, first: int, docs: list[list[int]], gaps: li
             c = min(n, m)
             if m > c:
                 heapq.heappush(fits, (gap, seq + c, m - c))
-            yield share, 2, size, rank, c, seq, gap
+            yield 2, size, rank, c, seq, gap
             rank, n, gap = rank + c, n - c, gap - size
             if gap >= size:
                 heapq.heappush(fits, (gap, seq, c))
@@ -113,7 +111,7 @@ def sweep(capacity: int, share: int, first: int, docs: list[list[int]], gaps: li
                     at -= 1
                 waiting.insert(at, (gap, seq, c))
     for gap, seq, n in [*fits, *waiting]:
-        yield share, 1, gap, seq, n, 0, 0
+        yield 1, gap, seq, n, 0, 0
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -121,25 +119,24 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = items.sparkSession
     items = written(items, "pack-items")
     sizes = written(items.groupBy(F.col("length").cast("long").alias("size")).agg(F.count("*").alias("n")), "pack-sizes")
-    shares = max(1, -(-sizes.count() // RUNS))
     docs = sizes.select(
-        F.pmod(F.xxhash64("size"), F.lit(shares)).cast("int").alias("share"), F.lit(0).alias("kind"), "size",
-        F.lit(0).cast("long").alias("start"), "n", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("gap"),
-    )
+        F.lit(0).alias("kind"), "size", F.lit(0).cast("long").alias("start"), "n", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("gap")
+    )
     rounds, gaps, top, number = [], spark.createDataFrame([], RUN), capacity, 0
     while top:
 
         def one_round(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
+            # a run for each length and for each gap that a round left: the capacity bounds both
             runs = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], SCHEMA)])
-            by_share: dict[int, tuple[list, list]] = {}
+            by_kind: tuple[list, list] = ([], [])
             for r in runs.to_pylist():
-                by_share.setdefault(r["share"], ([], []))[r["kind"]].append([r["size"], r["start"], r["n"]])
-            for share, (d, g) in by_share.items():
-                out = list(sweep(capacity, share, (number * shares + share) << 42, d, g))
+                by_kind[r["kind"]].append([r["size"], r["start"], r["n"]])
+            out = list(sweep(capacity, number << 42, *by_kind))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SCHEMA.types)], schema=SCHEMA)
 
         band = docs.where((F.col("size") <= top) & (F.col("size") > top // 2))
-        runs = band.unionByName(gaps).repartition(shares, "share").sortWithinPartitions("share", "size")
+        runs = band.unionByName(gaps).coalesce(1).sortWithinPartitions("size")
         done = written(runs.mapInArrow(one_round, RUN), "pack-round")
         rounds.append(done.where("kind = 2"))
         gaps, top, number = done.where("kind = 1"), top // 2, number + 1
@@ -162,7 +159,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return found.select(*items.columns, number_.alias("sequence_id"), (capacity - F.col("gap")).alias("offset"))
 
 
-SCHEMA = pa.schema([("share", pa.int32()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("size", "start", "n", "seq", "gap"))])
+SCHEMA = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("size", "start", "n", "seq", "gap"))])
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:

@@ -47,10 +47,13 @@ THRESHOLD = 0.3
 INSULTS = "idiot moron stupid loser trash pathetic disgusting scum worthless clown fool dumb vermin"
 THREATS = "kill hurt destroy beat punish"
 TARGETS = "you your yours yourself they them he she him her these those"
-NEGATIONS = "not no never neither nor without isnt arent wasnt dont doesnt"
+NEGATIONS = "not no never neither nor without cannot isnt arent wasnt werent dont doesnt didnt cant couldnt wont wouldnt shouldnt aint"
 REPORTS = "said says called calls wrote quoted claimed reported according"
 
 WORD = re.compile(r"[^\W\d_]+")
+#: words with what is contracted to them
+CONTRACTED = re.compile(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*")
+APOSTROPHES = {ord("'"): None, 0x2019: None}
 CLAUSE_ENDS = ".!?;:\n"
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -126,6 +129,17 @@ class Grammar:
                 return INSULT, weight
         return NONE, 0.0
 
+    def clause_words(self, text: str, start: int, end: int) -> list[str]:
+        """Words of a clause; a contraction with a negation is one word, any other is its parts."""
+        out = []
+        for word in CONTRACTED.findall(text, start, end):
+            whole = word.translate(APOSTROPHES)
+            if whole == word or self.words.get(whole, (NONE, 0.0))[0] == NEGATION:
+                out.append(whole)
+            else:
+                out += WORD.findall(word)
+        return out
+
     def clause(self, words: list[str]) -> float:
         """Weight of a clause; 0 unless an insult or a threat is matched in it."""
         state, weight = 0, 0.0
@@ -144,11 +158,11 @@ class Grammar:
             at = last + 1 - size
             if at < end or at and text[at - 1].isalpha():
                 continue
-            # the clause around the hit, between the ends before and after it
-            start = max(text.rfind(c, 0, at) for c in CLAUSE_ENDS) + 1
+            # the clause around the hit, between the ends before and after it; no further back than the clause before
+            start = max(max(text.rfind(c, max(end, 0), at) for c in CLAUSE_ENDS) + 1, 0)
             after = CLAUSE.search(text, last + 1)
             clause_end = after.start() if after else len(text)
-            weight = self.clause(WORD.findall(text, start, clause_end))
+            weight = self.clause(self.clause_words(text, start, clause_end))
             end = clause_end
             if weight:
                 yield start, end, weight

@@ -56,15 +56,6 @@ def test_as_few_sequences_as_one_by_one(spark, seed, monkeypatch):
     assert check_places(rows, 64) == best_fit_decreasing(lengths, 64)
 
 
-def test_runs_dealt_over_tasks(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RUNS", 7)
-    lengths = [1 + i * 37 % 64 for i in range(400)]
-    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
-    rows = packing.best_fit(items, 64).collect()
-    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
-    check_places(rows, 64)
-
-
 def test_documents_round_trip(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(2, TEXTS[8], 1)] * 2 + [(None, "no id", 2)], "doc_id long, text string, length int")
     rows = packing.pack(docs, RANKS, PATTERN, 64).collect()

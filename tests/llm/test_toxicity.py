@@ -35,6 +35,46 @@ def test_composition_is_the_product():
     assert states[start][3] == T.SCOPE and states[table[start][T.NONE]][3] == T.SCOPE - 1
 
 
+def test_clauses_by_the_machines_side_by_side():
+    """Scores of random clauses from the five transducers run one beside the other, without their product."""
+    rng = random.Random(8)
+    grammar = T.Grammar(T.base_words(), {"vexor": 0.7})
+    pool = "idiot moron kill beat you they not never said quoted vexorus plain word and so".split()
+    for _ in range(2000):
+        words = [rng.choice(pool) for _ in range(rng.randrange(1, 14))]
+        states, total = [0] * len(T.PARTS), 0.0
+        for word in words:
+            kind, weight = grammar.classify(word)
+            if kind in (T.INSULT, T.THREAT):
+                total += weight * (0.5 if states[3] else 1) * (0.5 if states[4] else 1)
+            states = [p.next(s, kind) for p, s in zip(T.PARTS, states)]
+        total *= 1 + (0.5 if states[2] else 0) + (0.25 if states[0] == 2 else 0)
+        assert grammar.clause(words) == pytest.approx(total, abs=0)
+
+
+def test_contractions_negate():
+    whole, not_ = weight("you are an idiot"), weight("you are not an idiot")
+    assert not_ < whole
+    for text in ("you arent an idiot", "you aren't an idiot", "you aren\u2019t an idiot"):
+        assert weight(text) == not_
+    assert weight("l'idiot") == weight("l idiot") > 0 and weight("you're an idiot") == weight("you re an idiot")
+
+
+def test_time_follows_the_clauses():
+    import time
+
+    grammar = T.Grammar(T.base_words())
+
+    def seconds(n):
+        text = "you idiot, " * 3 + "you moron. " * n
+        start = time.perf_counter()
+        assert len(list(grammar.clauses(text))) >= n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 24 * max(seconds(10_000), 0.02)
+
+
 def corpus(spark, n=400):
     rng = random.Random(1)
     docs, labels = [], []
