@@ -90,10 +90,13 @@ def first(df: DataFrame, *order: Column) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(1)
 
 
-def _with_ties(df: DataFrame, order_by: list[str]) -> list[str]:
-    """``order_by`` and then all other columns that can be sorted: no two different rows tie."""
+def _with_ties(df: DataFrame, order_by: list[str]) -> list[Column]:
+    """Sort keys: ``order_by`` and then all other columns, maps by their sorted entries; no two different rows tie."""
     named = {c.lstrip("-") for c in order_by}
-    return [*order_by, *(f.name for f in df.schema if f.name not in named and not isinstance(f.dataType, T.MapType))]
+    rest = [f for f in df.schema if f.name not in named]
+    return nulls_last(*order_by) + [
+        (F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)).asc_nulls_last() for f in rest
+    ]
 
 
 def limit_offset(df: DataFrame, order_by: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -104,7 +107,7 @@ def limit_offset(df: DataFrame, order_by: list[str], limit: int | None = None, o
     """
     if (limit is not None and limit < 0) or offset < 0:
         raise ValueError("limit and offset must not be negative")
-    order = nulls_last(*_with_ties(df, order_by))
+    order = _with_ties(df, order_by)
     if offset and (limit is None or offset + limit > NEAR_ROWS):
         numbered = global_row_number(df, order_by, "_row")
         last = F.lit(True) if limit is None else F.col("_row") <= offset + limit

@@ -227,8 +227,7 @@ IDS_SQL = """(SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN source |
 @query("M12_validate_dataset_ids", f"""SELECT doc_id, dataset_id, CASE WHEN trim(dataset_id) = '' THEN 'empty' WHEN NOT regexp_full_match(trim(dataset_id), '[A-Za-z0-9_-]+') THEN 'invalid_characters'
   WHEN length(trim(dataset_id)) < 3 THEN 'too_short' WHEN length(trim(dataset_id)) > 50 THEN 'too_long' WHEN regexp_matches(trim(dataset_id), '^[_-]') THEN 'leading_separator'
   WHEN regexp_matches(trim(dataset_id), '[_-]$') THEN 'trailing_separator' WHEN regexp_matches(trim(dataset_id), '[_-][_-]') THEN 'consecutive_separators' ELSE 'valid' END AS problem,
-  CASE WHEN length(s) >= 3 THEN upper(s) END AS suggestion FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(dataset_id, '[^A-Za-z0-9_\\s-]', '_', 'g'),
-  '\\s+', '_', 'g'), '[_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') AS s FROM {IDS_SQL} i)""")
+  CASE WHEN length(s) >= 3 THEN upper(s) END AS suggestion FROM (SELECT *, array_to_string(regexp_extract_all(dataset_id, '[A-Za-z0-9]+'), '_') AS s FROM {IDS_SQL} i)""")
 def _(spark, d):
     ids = S.table(spark, d, "documents").select(
         "doc_id",

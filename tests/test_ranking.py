@@ -96,3 +96,14 @@ def test_selection_moves_no_values(spark, skewed):
 def test_top_k_per_group(spark, skewed):
     got = R.top_k_per_group(skewed, ["g"], [F.col("id").desc()], 2)
     assert got.count() == 12 and got.where("row_number = 1").agg(F.max("id")).first()[0] == 2999
+
+
+def test_slices_of_rows_that_differ_in_a_map(spark, monkeypatch):
+    from statspine.operators import aggregates as A
+
+    rows = [("k", {"a": str(i * 7 % 20)}, "t") for i in range(20)] + [("j", None, "t"), ("k", None, "t")]
+    df = spark.createDataFrame(rows, "k string, m map<string,string>, t string").repartition(4)
+    near = [A.limit_offset(df, ["k"], 3, at).collect() for at in range(0, 22, 3)]
+    monkeypatch.setattr(A, "NEAR_ROWS", 0)
+    assert [A.limit_offset(df, ["k"], 3, at).collect() for at in range(0, 22, 3)] == near
+    assert sum(map(len, near)) == 22
