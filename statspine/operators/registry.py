@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statspine.functions.columns import contains_ci, let, nulls_last, ratio
+from statspine.functions.columns import contains_ci, nulls_last, ratio
 from statspine.operators.aggregates import limit_offset
+from statspine.operators.keywords import KEY, keyword_hits, text_key
 
 DEFAULT_CATEGORY, DEFAULT_PRIORITY = "altro", 1
 HIGH_PRIORITY = 7
@@ -259,33 +260,27 @@ def active_rules(rules: DataFrame, category: str | None = None, active_only: boo
 def categorise(datasets: DataFrame, rules: DataFrame, text_columns: list[str]) -> DataFrame:
     """Category, priority and score of every dataset by keyword rules.
 
-    The highest-priority active rule with a keyword in the text wins; score is the
-    number of its keywords found; no hit gives the default category. The rule list
-    is configuration, read once and placed in the plan as one array value.
+    The highest-priority active rule with a keyword in the text wins; score is the number of its keywords found; no hit
+    gives the default category. Keywords meet the vocabulary of all texts, not each text (``keyword_hits``), so thousands of
+    rules cost no more passes over the texts than one. An empty keyword is in no text.
     """
-    rule = F.struct((-F.col("priority")).alias("o"), "created_at", "rule_id", "category", "keywords")
-    ordered = rules.where("is_active").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
     text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in text_columns]))
-
-    def best(t: Column) -> Column:
-        scored = F.transform(
-            F.col("_rules"),
-            lambda r: F.struct(
-                r["category"].alias("category"),
-                (-r["o"]).alias("priority"),
-                F.size(F.filter(r["keywords"], lambda k: t.contains(k))).alias("score"),
-            ),
-        )
-        return F.try_element_at(F.filter(scored, lambda r: r["score"] > 0), F.lit(1))
-
-    hit = datasets.withColumn("_rules", ordered.scalar()).withColumn("_hit", let(text, best))
-    return hit.withColumns(
+    order = F.struct((-F.col("priority")).alias("o"), "created_at", "rule_id", "category").alias("rule")
+    listed = rules.where("is_active").select(order, F.explode("keywords").alias("keyword"))
+    times = listed.groupBy("rule", "keyword").agg(F.count("*").alias("n"))
+    hits = keyword_hits(datasets.select(text.alias("t")), times.select("keyword").distinct())
+    # rules are few against texts and their hits; a rule's keywords in a text come together as a count
+    scored = hits.join(times, "keyword").groupBy(*KEY, "rule").agg(F.sum("n").cast("int").alias("score"))
+    best = scored.groupBy(*KEY).agg(F.min(F.struct("rule", "score")).alias("_hit")).withColumnsRenamed({k: f"_{k}" for k in KEY})
+    keyed = datasets.select("*", *text_key(text))
+    joined = keyed.join(best, [F.col(k) == F.col(f"_{k}") for k in KEY], "left")
+    return joined.withColumns(
         {
-            "category": F.coalesce("_hit.category", F.lit(DEFAULT_CATEGORY)),
-            "priority": F.coalesce("_hit.priority", F.lit(DEFAULT_PRIORITY)),
+            "category": F.coalesce("_hit.rule.category", F.lit(DEFAULT_CATEGORY)),
+            "priority": F.coalesce(-F.col("_hit.rule.o"), F.lit(DEFAULT_PRIORITY)),
             "score": F.coalesce("_hit.score", F.lit(0)),
         }
-    ).drop("_rules", "_hit")
+    ).drop("_hit", *KEY, *[f"_{k}" for k in KEY])
 
 
 def validate_dataset_ids(df: DataFrame, column: str = "dataset_id") -> DataFrame:

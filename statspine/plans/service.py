@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from statspine.operators import analytics as D
+from statspine.operators import keywords as KW
 from statspine.operators import logs as G
 from statspine.operators import partitioning as N
 from statspine.operators import quality as Q
@@ -36,6 +37,14 @@ def _(spark, d):
     return M.search(docs, " THE ", "en", columns=("text",)).select("doc_id", "lang", "source")
 
 
+@query("M2_search_indexed", SQL["M2_search"])
+def _(spark, d):
+    docs, path = S.table(spark, d, "documents"), scratch_dir(spark, "search-index")
+    KW.write_search_index(docs, "doc_id", ["text"], path)
+    found = KW.search_indexed(spark, docs, "doc_id", ["text"], path, " THE ")
+    return found.where("lang = 'en'").select("doc_id", "lang", "source")
+
+
 @query("M2_search_registry", f"""SELECT dataset_id, name FROM {S.REGISTRY} r WHERE contains(lower(name), '10') OR contains(lower(description), '10')
   OR contains(CAST(dataset_id AS VARCHAR), '10')""")
 def _(spark, d):
