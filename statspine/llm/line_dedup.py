@@ -35,16 +35,17 @@ from statspine.session import scratch_scope
 
 WORDS = 5
 SIMILARITY = 0.8
-#: bits of a word's hash that choose its row in the table of word counts, whatever the corpus
-BITS = 16
+#: bits of a word's hash that choose its row in the table of word counts, whatever the corpus; the table stands in the plan
+BITS = 13
 #: bits of a line's number that are its place in the document; the others number documents
 PLACE_BITS = 27
+#: bytes of a table that may be broadcast
+BROADCAST = 64 << 20
 #: classes before it in a list that a class meets first
 TRIED = 8
 #: parts that the lines of repeated classes are dealt over where their table is not small
 SALTS = 32
-#: white space other than blanks and line ends
-ODD = "[\\t\\x0B-\\r\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+SPACE = r"(?U)\s+"
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -55,14 +56,8 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def plain(text: Column) -> Column:
-    """Lower-cased text whose words are parted by blanks and line ends only, which are quicker to split at."""
-    low = F.lower(text)
-    return F.when(low.rlike(ODD), F.regexp_replace(low, ODD, " ")).otherwise(low)
-
-
 def word_hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
 
 
 def bucket(word_hash: Column) -> Column:
@@ -73,34 +68,34 @@ def bucket(word_hash: Column) -> Column:
 def worded_lines(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep, line, h): hashes of the words of every line that has any."""
     # lines become words before they become rows: a filter on the rows would else split every line twice
-    hashes = F.transform(lines(plain(F.col("text"))), word_hashes)
+    hashes = F.transform(lines(F.lower("text")), word_hashes)
     return docs.select(*keep, F.posexplode(hashes).alias("line", "h")).where(F.size("h") > 0)
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array of ranks by bucket, from rare to frequent, over all words, each shifted to where a token has it."""
-    text = F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" "))
-    each = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
+    """Array of ranks by bucket, from rare to frequent, over all words."""
+    each = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).where("w <> ''")
     counts = each.groupBy(bucket(F.xxhash64("w")).alias("b")).count().collect()
     ranks = [0] * (1 << BITS)
     for r in counts:
         # in steps of a quarter of a doubling, at most 255: counts that differ by chance share a rank
-        ranks[r["b"]] = min(255, round(4 * math.log2(r["count"] + 1))) << 55
+        ranks[r["b"]] = min(255, round(4 * math.log2(r["count"] + 1)))
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def token_set(h: Column, ranks: Column) -> Column:
     """Tokens of a line in ascending order of rarity, each as the rank of its rarest word and 55 bits of its hash."""
-    coded = F.transform(h, lambda x: F.get(ranks, bucket(x)).bitwiseOR(F.shiftrightunsigned(x, 9)))
+    coded = F.transform(h, lambda x: F.shiftleft(F.get(ranks, bucket(x)), 55).bitwiseOR(F.shiftrightunsigned(x, 9)))
 
-    def grams(codes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(codes) - (WORDS - 1), F.lit(1)))
-        return F.transform(starts, lambda at: F.slice(codes, at, WORDS))
+    def tokens(codes: Column) -> Column:
+        def token(at: Column) -> Column:
+            # beyond the end of a short line there is NULL, which neither function counts
+            gram = [F.get(codes, at + i if i else at) for i in range(WORDS)]
+            return F.least(*gram).bitwiseAND(F.lit(255 << 55)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*gram), 9))
 
-    def token(gram: Column) -> Column:
-        return F.array_min(gram).bitwiseAND(F.lit(255 << 55)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(gram), 9))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - WORDS, F.lit(0))), token)
 
-    return F.sort_array(F.array_distinct(F.transform(let(coded, grams), token)))
+    return F.sort_array(F.array_distinct(let(coded, tokens)))
 
 
 def overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -129,7 +124,7 @@ def possible(x: str, y: str, similarity: float) -> Column:
 
 def _guarded(df: DataFrame, row_bytes: int) -> DataFrame:
     """A written table, to be broadcast if its counted rows are few enough, else joined by shuffles."""
-    return F.broadcast(df) if small_enough(df.count(), row_bytes) else df
+    return F.broadcast(df) if small_enough(df.count(), row_bytes, BROADCAST) else df
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -151,15 +146,14 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _removals(docs: DataFrame, similarity: float) -> DataFrame:
     ranks, order = rarity(docs), numbered(docs)
-    keyed = docs.select("text", document_key().alias("key")).join(_guarded(order, 200), "key")
-    tokens = worded_lines(keyed, "n").select(line_number(F.col("n"), F.col("line")).alias("id"), token_set(F.col("h"), ranks).alias("tokens"))
-    each = written(
-        tokens.select(
-            "id", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"),
-            F.slice("tokens", F.lit(1), prefix_length(F.size("tokens"), similarity)).alias("prefix"),
-        ),
-        "lines",
+    keyed = worded_lines(docs.withColumn("key", document_key()), "key").select("key", "line", token_set(F.col("h"), ranks).alias("tokens"))
+    # lines shrink to their prefixes before they meet the numbers of their documents
+    narrow = keyed.select(
+        "key", "line", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"),
+        F.slice("tokens", F.lit(1), prefix_length(F.size("tokens"), similarity)).alias("prefix"),
     )
+    named = narrow.join(_guarded(order, 200), "key").select(line_number(F.col("n"), F.col("line")).alias("id"), "size", "h1", "h2", "prefix")
+    each = written(named, "lines")
     copies = _copies(each)
     classes = each.join(_guarded(copies.select("id"), 100), "id", "left_anti")
     near = _later_classes(docs, order, ranks, classes, similarity)
@@ -175,7 +169,7 @@ def _copies(each: DataFrame) -> DataFrame:
     repeated = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     repeated = written(repeated.select("h1", "h2", "first"), "line-repeated")
     rows = each.select("id", "h1", "h2")
-    if small_enough(repeated.count(), 200):
+    if small_enough(repeated.count(), 200, BROADCAST):
         met = rows.join(F.broadcast(repeated), ["h1", "h2"])
     else:
         # a line may be in a third of all documents: its rows are dealt over several tasks
@@ -225,8 +219,8 @@ def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame
     by_document = wanted.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_list(place).alias("places"))
     whose = written(by_document.join(order, "n"), "line-whose")
     size = whose.agg(F.coalesce(F.sum(F.size("places") * 8 + 200), F.lit(0))).first()[0]
-    keyed = docs.select("text", document_key().alias("key")).join(F.broadcast(whose) if small_enough(size, 1) else whose, "key")
-    picked = let(lines(plain(F.col("text"))), lambda parts: F.transform("places", lambda i: F.struct(i.alias("line"), word_hashes(F.get(parts, i)).alias("h"))))
+    keyed = docs.select("text", document_key().alias("key")).join(F.broadcast(whose) if small_enough(size, 1, BROADCAST) else whose, "key")
+    picked = let(lines(F.lower("text")), lambda parts: F.transform("places", lambda i: F.struct(i.alias("line"), word_hashes(F.get(parts, i)).alias("h"))))
     found = keyed.select("n", F.explode(picked).alias("p")).select(line_number(F.col("n"), F.col("p.line")).alias("id"), "p.h")
     sets = written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
