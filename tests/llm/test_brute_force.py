@@ -1,0 +1,120 @@
+"""Mixing, and the pipeline from its first stage to its last, against versions that follow the definitions one by one."""
+
+import random
+import struct
+import zlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+import corpus_pipeline
+from statspine.llm import mixing, packing, simhash, toxicity
+from tests.llm.test_line_dedup import brute as lines_left
+from tests.llm.test_packing import best_fit_decreasing, check_places
+from tests.llm.test_simhash import brute_components, brute_fingerprint
+
+
+def h(*values):
+    """Spark's xxhash64 of (kind, value) pairs: l a long, i an integer, s a text; nothing for nulls."""
+    out = 42
+    for kind, v in values:
+        if v is not None:
+            out = xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<q" if kind == "l" else "<i", v), out)
+    return struct.unpack("<q", struct.pack("<Q", out))[0]
+
+
+def mixed_rows(rows, repeats=mixing.REPEATS, size=mixing.BLOCK, seed=0):
+    """(doc_id, source, pass, block, place) of rows (doc_id, text, source)."""
+    tokens = lambda text: len((text or "").split())
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + tokens(text)
+    mix, out = mixing.solve(sizes, repeats), []
+    for source, total in sizes.items():
+        whole = int(mix.passes[source] + 1e-9)
+        budget, blocks = round((mix.passes[source] - whole) * total), max(1, -(-total // size))
+        docs = [(h(("l", d), ("s", t)), d, tokens(t)) for d, t, s in rows if s == source]
+        block = {k: h(("l", k), ("i", seed)) % blocks for k, _, _ in docs}
+        drawn, used = set(), 0
+        for b in sorted(set(block.values()), key=lambda b: (h(("l", b), ("i", whole), ("i", seed)), b)):
+            own = sorted((x for x in docs if block[x[0]] == b), key=lambda x: (h(("l", x[0]), ("i", whole), ("i", seed)), x[0]))
+            held = sum(n for _, _, n in own)
+            if budget and used < budget:
+                end = used
+                for k in dict.fromkeys(k for k, _, _ in own):
+                    end += sum(n for x, _, n in own if x == k)
+                    if used + held <= budget or end <= budget:
+                        drawn.add(k)
+            used += held
+        for p in range(whole + 1):
+            keys = [k for k in block if p < whole or k in drawn]
+            keys.sort(key=lambda k: (h(("l", block[k]), ("i", p), ("i", seed)), block[k], h(("l", k), ("i", p), ("i", seed)), k))
+            place = {k: i for i, k in enumerate(keys)}
+            out += [(d, source, p, block[k], place[k]) for k, d, _ in docs if k in place]
+    return out
+
+
+def order(r):
+    return tuple((v is not None, v) for v in r)
+
+
+def test_mixing_one_by_one(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("ab"[rng.randrange(2)] for _ in range(rng.randrange(9))), rng.choice(["big"] * 6 + ["small", None])) for i in range(300)]
+    rows += [(500, "a b c", "one"), (501, "", "none"), (None, "x y", "big"), (7, None, "big"), (502, "twice x", "small"), (502, "twice x", "small")]
+    for repeats, size, seed in ((1.6, 40, 0), (3.0, 7, 5), (None, 1 << 18, 1)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mixed(docs, repeats, block=size, seed=seed).select("doc_id", "source", "_mix.pass", "_mix.block", "_mix.place")
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(mixed_rows(rows, repeats, size, seed), key=order)
+
+
+def corpus():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    shared, docs = [line(30) for _ in range(4)], []
+    for i in range(90):
+        text = "\n".join([line(rng.randrange(3, 40)) for _ in range(rng.randrange(1, 5))] + ([rng.choice(shared)] if i % 3 == 0 else []) + ["All rights reserved."] * (i % 2))
+        if i % 9 == 4:
+            text += "\nyou idiot, you moron. they are stupid! you pathetic loser"
+        docs.append((i, text, "en", rng.choice(["big", "big", "big", "small", None])))
+    docs += [(100 + i, docs[i][1] + " end", "en", "copies") for i in range(0, 20, 5)] + [(200 + i, docs[i][1], "fr", "copies") for i in (0, 1)]
+    docs += [(300, None, None, "big"), (301, "", "en", "small"), (302, " \n", "en", "small"), (303, line(3000), "en", "long")]
+    docs += [docs[3], (None, line(12), "en", "big")]
+    return [(d, t, lang, s, None if t is None else len(t)) for d, t, lang, s in docs]
+
+
+def test_pipeline_one_by_one(spark, tmp_path):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 4)) for i in range(90)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    grammar = toxicity.learn(docs, labels)
+    kept = [r[:4] for r in rows if grammar.score(r[1]) < toxicity.THRESHOLD]
+    assert {r[0] for r in rows} - {r[0] for r in kept} == {i for i in range(90) if i % 9 == 4}
+    # a document's row that comes twice is one document to the lines
+    texts = lines_left(list(dict.fromkeys((d, t) for d, t, _, _ in kept)))
+    kept = [(d, texts[d], lang, s) for d, _, lang, s in kept]
+    least = brute_components([(d, brute_fingerprint(t)) for d, t, _, _ in kept], simhash.DISTANCE)
+    first = {}
+    for r, component in zip(kept, least):
+        if r[0] == component:
+            first.setdefault(component, r)
+    kept = list(first.values())
+    times = mixed_rows([(d, t, s) for d, t, _, s in kept])
+    code, want, lengths = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], []
+    text = {r[0]: r[1] for r in kept}
+    for d, *_ in times:
+        ids = [*code.encode(text[d] or "", add_special_tokens=False).ids, packing.CLOSE]
+        edges = [0, *range(len(ids) % packing.CAPACITY or packing.CAPACITY, len(ids) + 1, packing.CAPACITY)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            want.append((d, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))))
+            lengths.append(b - a)
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=order) == sorted(want, key=order)
+    assert check_places(out, packing.CAPACITY) == best_fit_decreasing(lengths, packing.CAPACITY)
+    assert len(first) < len(rows) - 12 and len(times) > len(kept)
