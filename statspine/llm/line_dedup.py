@@ -36,7 +36,7 @@ from statspine.session import scratch_scope
 WORDS = 5
 SIMILARITY = 0.8
 #: bits of a word's hash that choose its row in the table of word counts, whatever the corpus; the table stands in the plan
-BITS = 13
+BITS = 16
 #: bits of a line's number that are its place in the document; the others number documents
 PLACE_BITS = 27
 #: bytes of a table that may be broadcast
