@@ -58,8 +58,8 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a few texts at a time: their ids take several times the room of the texts
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 cols: tuple[list, ...] = ([], [], [], [], [])
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = token_ids(text, ranks, pattern)
