@@ -374,3 +374,15 @@ def test_validate_export(spark, tmp_path):
     checked = K.validate_export(spark, path, "csv")
     assert sorted((r.row_count, r.is_valid) for r in checked.collect()) == [(0, False), (1, True)]
     assert tuple(K.export_is_valid(checked).first()) == (2, 0.5, False)
+
+
+def test_crossed_tags_are_kept_as_a_sign(spark, tmp_path):
+    row = '<a><b><Obs TIME="1" VALUE="1"/></a></b>'
+    path = write(tmp_path / "crossed", CROSSED=f"<D>{row * 3000}</D>", TOKEN=f"<D>{row}<x =></x>{row}</D>", DEEP=f"<D>{'<a>' * 200}<Obs VALUE='1'/>{'</a>' * 200}</D>")
+    fragments = X.read_fragments(spark, path)
+    index = X.file_index(fragments)
+    assert {r.dataset_id: r.parse_error for r in X.malformed_files(index).collect()} == {
+        "CROSSED": "not well-formed: unbalanced tags", "TOKEN": "not well-formed: invalid token",
+    }
+    # what one task has to go through for a file does not grow with its faults
+    assert index.where("dataset_id = 'CROSSED'").agg(F.max(F.length("tags") + F.length("ending"))).first()[0] < 100
