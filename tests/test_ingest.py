@@ -386,3 +386,9 @@ def test_crossed_tags_are_kept_as_a_sign(spark, tmp_path):
     }
     # what one task has to go through for a file does not grow with its faults
     assert index.where("dataset_id = 'CROSSED'").agg(F.max(F.length("tags") + F.length("ending"))).first()[0] < 100
+
+
+def test_ingestion_does_not_shuffle_the_text(spark, tmp_path):
+    rows = X.ingest_sdmx(spark, write(tmp_path / "still", D1=GENERIC, NOTHING=NOTHING), NOW)
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
