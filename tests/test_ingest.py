@@ -392,3 +392,12 @@ def test_ingestion_does_not_shuffle_the_text(spark, tmp_path):
     rows = X.ingest_sdmx(spark, write(tmp_path / "still", D1=GENERIC, NOTHING=NOTHING), NOW)
     text = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+
+
+def test_observations_are_found_by_patterns_compiled_once(spark):
+    text = '<g:Obs A="1"/> x <g:Obs><g:V a="2"/></Obs > y </g:Obs><g:Obsolete/><Obs'
+    pieces = spark.createDataFrame([("f", 0, 0, 1, 1, 1, text)], "file string, block long, pos long, raws long, bytes long, size long, text string")
+    taken = X._taken_apart(pieces, 0, "</g:Obs>")
+    assert [tuple(e) for e in taken.first().elements] == [(' A="1"', ""), ("", '<g:V a="2"/>'), ("", "")]
+    # ``split`` compiles its pattern for every piece
+    assert "split(" not in taken._jdf.queryExecution().optimizedPlan().toString()
