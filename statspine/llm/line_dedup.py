@@ -10,7 +10,10 @@ shared token. What passes these filters is verified on the token sets.
 
 Equal token sets are one class before the join. Within a list of classes that share a token, a class meets the earliest one
 and the ``TRIED`` before it first; only classes that none of them removes meet those of the rest of the list that have a size
-within reach, which is part of the join's key. So a large group of near copies costs a few pairs for each of its members.
+within reach, which is part of the join's key, and a signature within reach. A signature tells for 256 hashed parts of a set
+whether the number of its tokens is odd: two of them differ in no more bits than the sets differ in tokens, so no match is
+lost. So a large group of near copies costs a few pairs for each of its members, and one of lines that are alike but below
+the similarity leaves hardly any pairs to verify.
 
 A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
 document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
@@ -45,6 +48,8 @@ BROADCAST = 64 << 20
 TRIED = 8
 #: parts that the lines of repeated classes are dealt over where their table is not small
 SALTS = 32
+#: columns of a set's signature
+SIGNS = ("s0", "s1", "s2", "s3")
 SPACE = r"(?U)\s+"
 
 
@@ -197,32 +202,62 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
     met = lists.select("id", "y", near.alias("near")).select("id", "y", F.explode("near").alias("x")).select(F.col("x.id").alias("x"), F.col("id").alias("y"), F.col("x.y").alias("x_at"), F.col("y").alias("y_at"))
     tried = met.where((F.col("x") < F.col("y")) & possible("x_at", "y_at", similarity)).select("x", "y").distinct()
     tried = written(tried, "line-pairs")
-    gone = written(_verified(docs, order, ranks, tried, similarity), "line-gone")
-    # the others meet the rest of their lists, as far as sizes are within reach
-    later = lists.where(F.col("nth") > TRIED + 2)
-    open_ = later.join(_guarded(gone.withColumnRenamed("id", "gone"), 100), F.col("id") == F.col("gone"), "left_anti")
-    size = band(F.shiftright("y", 32), similarity)
-    x = lists.select("token", F.col("id").alias("x"), F.col("y").alias("x_at"), size.alias("band"))
-    near_bands = F.explode(F.array(*[size + d for d in (-1, 0, 1)])).alias("band")
-    rest = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at"), near_bands).join(x, ["token", "band"])
-    rest = rest.where((F.col("x") < F.col("y_id")) & possible("x_at", "y_at", similarity)).select("x", F.col("y_id").alias("y")).distinct()
+    # one row of a list that goes on beyond those
+    long = written(lists.where(F.col("nth") == TRIED + 3).select("token"), "line-long")
+    in_long = written(lists.join(_guarded(long, 60), "token"), "line-long-lists")
+    ids = tried.select("x").union(tried.select("y")).union(in_long.select("id")).toDF("id").distinct()
+    sets = _token_sets(docs, order, ranks, ids)
+    gone = written(_verified(sets, tried, similarity), "line-gone")
+    # the others meet the rest of their lists, as far as sizes are within reach and signatures are near
+    signed = sets.join(in_long.select("id").distinct(), "id", "left_semi").select("id", signature(F.col("tokens")).alias("s"))
+    signed = in_long.join(written(signed.select("id", "s.*"), "line-signatures"), "id")
+    signed = written(signed.withColumn("band", band(F.shiftright("y", 32), similarity)), "line-signed")
+    open_ = signed.where(F.col("nth") > TRIED + 2).join(_guarded(gone, 100), "id", "left_anti")
+    x = signed.select("token", "band", F.col("id").alias("x"), F.col("y").alias("x_at"), *(F.col(c).alias(f"x_{c}") for c in SIGNS))
+    near_bands = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    y = open_.select("token", F.col("id").alias("y_id"), F.col("y").alias("y_at"), *(F.col(c).alias(f"y_{c}") for c in SIGNS), near_bands)
+    rest = y.join(x, ["token", "band"]).where((F.col("x") < F.col("y_id")) & possible("x_at", "y_at", similarity) & near_signs("x", "y", similarity))
+    rest = rest.select("x", F.col("y_id").alias("y")).distinct()
     rest = written(rest.join(tried, ["x", "y"], "left_anti"), "line-pairs")
-    return written(gone.union(_verified(docs, order, ranks, rest, similarity)), "line-gone")
+    return written(gone.union(_verified(sets, rest, similarity)), "line-gone")
 
 
-def _verified(docs: DataFrame, order: DataFrame, ranks: Column, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
-    t = round(similarity * 1000)
-    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "line-wanted")
+def signature(tokens: Column) -> Column:
+    """Whether the number of tokens is odd, for each of 256 hashed parts of a set, as the bits of four numbers."""
+
+    def part(k: int) -> Column:
+        def flip(bits: Column, x: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+            return F.when(x.bitwiseAND(192) == k << 6, bits.bitwiseXOR(bit)).otherwise(bits)
+
+        return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+
+    return F.struct(*[part(k).alias(c) for k, c in enumerate(SIGNS)])
+
+
+def near_signs(x: str, y: str, similarity: float) -> Column:
+    """Sets differ in at least as many tokens as their signatures do in bits: no more than the similarity allows."""
+    n, m = F.shiftright(f"{x}_at", 32), F.shiftright(f"{y}_at", 32)
+    bits = sum((F.bit_count(F.col(f"{x}_{c}").bitwiseXOR(F.col(f"{y}_{c}"))) for c in SIGNS[1:]), F.bit_count(F.col(f"{x}_{SIGNS[0]}").bitwiseXOR(F.col(f"{y}_{SIGNS[0]}"))))
+    return bits <= n + m - 2 * overlap(n, m, similarity)
+
+
+def _token_sets(docs: DataFrame, order: DataFrame, ranks: Column, ids: DataFrame) -> DataFrame:
+    """(id, tokens) of the lines ``ids``, written."""
     # only the wanted lines of documents that have any are taken apart again
     place = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    by_document = wanted.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_list(place).alias("places"))
+    by_document = ids.groupBy(F.shiftright("id", PLACE_BITS).alias("n")).agg(F.collect_list(place).alias("places"))
     whose = written(by_document.join(order, "n"), "line-whose")
     size = whose.agg(F.coalesce(F.sum(F.size("places") * 8 + 200), F.lit(0))).first()[0]
     keyed = docs.select("text", document_key().alias("key")).join(F.broadcast(whose) if small_enough(size, 1, BROADCAST) else whose, "key")
     picked = let(lines(F.lower("text")), lambda parts: F.transform("places", lambda i: F.struct(i.alias("line"), word_hashes(F.get(parts, i)).alias("h"))))
     found = keyed.select("n", F.explode(picked).alias("p")).select(line_number(F.col("n"), F.col("p.line")).alias("id"), "p.h")
-    sets = written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
+    return written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
+    t = round(similarity * 1000)
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     same = shared * (1000 + t) >= (F.size("a") + F.size("b")) * t

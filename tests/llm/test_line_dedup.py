@@ -78,6 +78,45 @@ def test_large_group_of_near_copies_stays_linear(spark):
     assert line_dedup.clean(docs).where("text <> ''").count() == 1
 
 
+def test_lines_alike_but_below_the_similarity_leave_few_pairs(spark, monkeypatch):
+    made = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda sets, pairs, *more: made.append(pairs.count()) or verified(sets, pairs, *more))
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(80)]
+        for at in rng.sample(range(80), 3):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[i][1] + " more") for i in range(40, 50)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    # 120 lines have 7140 pairs
+    tried, rest = made
+    assert rest < 700, made
+
+
+def test_signatures_never_exclude_a_match(spark):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        own = rng.sample(words, rng.randint(1, 120))
+        like = [w for w in own if rng.random() > 0.08] + rng.sample(words, rng.randint(0, 4))
+        rows.append((i, sorted({hash(w) % (1 << 62) for w in own}), sorted({hash(w) % (1 << 62) for w in like})))
+    pairs = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    F = line_dedup.F
+    signed = pairs.select("a", "b", line_dedup.signature(F.col("a")).alias("p"), line_dedup.signature(F.col("b")).alias("q"))
+    signed = signed.select(
+        "a", "b", *(F.col(f"p.{c}").alias(f"x_{c}") for c in line_dedup.SIGNS), *(F.col(f"q.{c}").alias(f"y_{c}") for c in line_dedup.SIGNS),
+        line_dedup.packed(F.size("a"), F.lit(0)).alias("x_at"), line_dedup.packed(F.size("b"), F.lit(0)).alias("y_at"),
+    )
+    found = signed.select("a", "b", line_dedup.near_signs("x", "y", 0.8).alias("near")).collect()
+    alike = [r.near for r in found if len({*r.a} & {*r.b}) * 1800 >= (len(r.a) + len(r.b)) * 800]
+    assert len(alike) > 10 and all(alike)
+
+
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "small_enough", lambda *_: False)
     rng = random.Random(9)
