@@ -13,7 +13,7 @@ and the ``TRIED`` before it first; only classes that none of them removes meet t
 within reach, which is part of the join's key, and a signature within reach. A signature tells for 256 hashed parts of a set
 whether the number of its tokens is odd: two of them differ in no more bits than the sets differ in tokens, so no match is
 lost. So a large group of near copies costs a few pairs for each of its members, and one of lines that are alike but below
-the similarity leaves hardly any pairs to verify.
+the similarity leaves hardly any pairs to verify. Pairs of the first meeting pass the signatures too, and only sets of pairs that are left move.
 
 A line goes if an earlier line matches it, earlier meaning a smaller doc_id (null last), then a smaller hash of the
 document, then a smaller line number. Documents are numbered in that order, and a line by its document's number and its
@@ -88,21 +88,34 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
+def gram(words: Column, at: Column) -> list[Column]:
+    """The words at a place; beyond the end of a short line there is NULL, which neither ``least`` nor a hash counts."""
+    return [F.get(words, at + i if i else at) for i in range(WORDS)]
+
+
+def places(words: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - WORDS, F.lit(0)))
+
+
 def token_set(h: Column, ranks: Column) -> Column:
     """Tokens of a line in ascending order of rarity, each as the rank of its rarest word and 55 bits of its hash."""
     coded = F.transform(h, lambda x: F.shiftleft(F.get(ranks, bucket(x)), 55).bitwiseOR(F.shiftrightunsigned(x, 9)))
 
     def tokens(codes: Column) -> Column:
         def token(at: Column) -> Column:
-            # beyond the end of a short line there is NULL, which neither function counts
-            gram = [F.get(codes, at + i if i else at) for i in range(WORDS)]
-            return F.least(*gram).bitwiseAND(F.lit(255 << 55)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*gram), 9))
+            own = gram(codes, at)
+            return F.least(*own).bitwiseAND(F.lit(255 << 55)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*own), 9))
 
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - WORDS, F.lit(0))), token)
+        return F.transform(places(codes), token)
 
     return F.sort_array(F.array_distinct(let(coded, tokens)))
 
 
+def bare_token_set(h: Column) -> Column:
+    """Tokens of a line as hashes alone, in any order: all that similarity asks for."""
+    return F.array_distinct(F.transform(places(h), lambda at: F.xxhash64(*gram(h, at))))
+
+
 def overlap(n: Column, m: Column, similarity: float) -> Column:
     """Shared tokens that sets of n and m tokens need; in whole thousandths, so that no rounding decides."""
     t = round(similarity * 1000)
@@ -161,7 +174,7 @@ def _removals(docs: DataFrame, similarity: float) -> DataFrame:
     each = written(named, "lines")
     copies = _copies(each)
     classes = each.join(_guarded(copies.select("id"), 100), "id", "left_anti")
-    near = _later_classes(docs, order, ranks, classes, similarity)
+    near = _later_classes(docs, order, classes, similarity)
     # a copy has an earlier line that equals it
     gone = near.union(copies.select("id")).distinct()
     line = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
@@ -188,7 +201,7 @@ def band(size: Column, similarity: float) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(1 / similarity) + 1e-9).cast("int")
 
 
-def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: DataFrame, similarity: float) -> DataFrame:
+def _later_classes(docs: DataFrame, order: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(id) of the classes whose first line an earlier line matches."""
     posting = classes.select("id", "size", F.posexplode("prefix").alias("pos", "token"))
     posting = posting.select("token", "id", packed(F.col("size"), F.col("pos")).alias("y"))
@@ -206,11 +219,11 @@ def _later_classes(docs: DataFrame, order: DataFrame, ranks: Column, classes: Da
     long = written(lists.where(F.col("nth") == TRIED + 3).select("token"), "line-long")
     in_long = written(lists.join(_guarded(long, 60), "token"), "line-long-lists")
     ids = tried.select("x").union(tried.select("y")).union(in_long.select("id")).toDF("id").distinct()
-    sets = _token_sets(docs, order, ranks, ids)
-    gone = written(_verified(sets, tried, similarity), "line-gone")
+    sets = _token_sets(docs, order, ids)
+    signs = written(sets.select("id", F.size("tokens").alias("size"), signature(F.col("tokens")).alias("s")).select("id", "size", "s.*"), "line-signatures")
+    gone = written(_verified(sets, written(_signed_alike(signs, tried, similarity), "line-pairs"), similarity), "line-gone")
     # the others meet the rest of their lists, as far as sizes are within reach and signatures are near
-    signed = sets.join(in_long.select("id").distinct(), "id", "left_semi").select("id", signature(F.col("tokens")).alias("s"))
-    signed = in_long.join(written(signed.select("id", "s.*"), "line-signatures"), "id")
+    signed = in_long.join(signs.drop("size"), "id")
     signed = written(signed.withColumn("band", band(F.shiftright("y", 32), similarity)), "line-signed")
     open_ = signed.where(F.col("nth") > TRIED + 2).join(_guarded(gone, 100), "id", "left_anti")
     x = signed.select("token", "band", F.col("id").alias("x"), F.col("y").alias("x_at"), *(F.col(c).alias(f"x_{c}") for c in SIGNS))
@@ -242,7 +255,16 @@ def near_signs(x: str, y: str, similarity: float) -> Column:
     return bits <= n + m - 2 * overlap(n, m, similarity)
 
 
-def _token_sets(docs: DataFrame, order: DataFrame, ranks: Column, ids: DataFrame) -> DataFrame:
+def _signed_alike(signs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose signatures are near."""
+    near = _guarded(signs, 200)
+    for side in ("x", "y"):
+        named = near.select(F.col("id").alias(side), packed(F.col("size"), F.lit(0)).alias(f"{side}_at"), *(F.col(c).alias(f"{side}_{c}") for c in SIGNS))
+        pairs = pairs.join(named, side)
+    return pairs.where(near_signs("x", "y", similarity)).select("x", "y")
+
+
+def _token_sets(docs: DataFrame, order: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, tokens) of the lines ``ids``, written."""
     # only the wanted lines of documents that have any are taken apart again
     place = F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
@@ -252,12 +274,15 @@ def _token_sets(docs: DataFrame, order: DataFrame, ranks: Column, ids: DataFrame
     keyed = docs.select("text", document_key().alias("key")).join(F.broadcast(whose) if small_enough(size, 1, BROADCAST) else whose, "key")
     picked = let(lines(F.lower("text")), lambda parts: F.transform("places", lambda i: F.struct(i.alias("line"), word_hashes(F.get(parts, i)).alias("h"))))
     found = keyed.select("n", F.explode(picked).alias("p")).select(line_number(F.col("n"), F.col("p.line")).alias("id"), "p.h")
-    return written(found.select("id", token_set(F.col("h"), ranks).alias("tokens")), "line-tokens")
+    return written(found.select("id", bare_token_set(F.col("h")).alias("tokens")), "line-tokens")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """(id) of the y whose token set has the similarity with that of an x; ``pairs`` (x, y) is written."""
     t = round(similarity * 1000)
+    # only the sets of these pairs move
+    ids = written(pairs.select("x").union(pairs.select("y")).toDF("id").distinct(), "line-verified")
+    sets = sets.join(_guarded(ids, 100), "id", "left_semi")
     x, y = sets.select(F.col("id").alias("x"), F.col("tokens").alias("a")), sets.select(F.col("id").alias("y"), F.col("tokens").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     same = shared * (1000 + t) >= (F.size("a") + F.size("b")) * t

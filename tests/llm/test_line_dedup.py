@@ -98,6 +98,20 @@ def test_lines_alike_but_below_the_similarity_leave_few_pairs(spark, monkeypatch
     assert rest < 700, made
 
 
+def test_lines_that_share_a_rare_part_leave_few_pairs(spark, monkeypatch):
+    made = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda sets, pairs, *more: made.append(pairs.count()) or verified(sets, pairs, *more))
+    rng = random.Random(11)
+    part = " ".join(f"rare{k}" for k in range(25))
+    rows = [(i, part + " " + " ".join(rng.choices([f"w{k}" for k in range(15)], k=35))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and list(got.values()).count("") == 20
+    # every line meets the nine before it and the first, but few of these are near
+    assert made[0] < 60, made
+
+
 def test_signatures_never_exclude_a_match(spark):
     rng = random.Random(5)
     words = [f"v{i}" for i in range(300)]
